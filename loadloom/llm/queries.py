@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loadloom.llm.decontaminate import decontaminate
 from loadloom.llm.ngram_join import ngram_join
+from loadloom.llm.url_filter import Rule, filter_urls
 from loadloom.session import read_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,9 +36,72 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, d.doc_id)
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
 """
 
+#: The rules of the contract and the hosts that are listed for blocking.
+URL_RULES = (
+    Rule("com", "/en/", "block"),
+    Rule("example.com", "/en/7", "allow"),
+    Rule("net", "/de/", "allow"),
+    Rule("example.net", "/de/8", "block"),
+    Rule("org", "/es/", "block"),
+)
+LISTED_HOSTS = tuple(f"{name}.example.{tld}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for tld in ("com", "net", "org"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(h,) for h in LISTED_HOSTS], "key string")
+    return filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES, listed)
+
+
+OP2_SQL = rf"""
+WITH p AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+r(h, s, v) AS (VALUES {", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)}),
+l(h) AS (VALUES {", ".join(f"('{h}')" for h in LISTED_HOSTS)}),
+m AS (
+  SELECT *, (SELECT h || s FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) ORDER BY length(h) DESC, length(s) DESC LIMIT 1) AS rule
+  FROM p)
+SELECT page_id, host, path, rule, coalesce((SELECT v FROM r WHERE h || s = rule),
+  CASE WHEN EXISTS (SELECT 1 FROM l WHERE host = h OR ends_with(host, '.' || h)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM m
+"""
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["last"] - h["first"] + 1)
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce({LOWERED}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(coalesce({LOWERED}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, unnest(CASE WHEN len(w) >= 10 THEN list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i+9], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g, least(len(w), 10) AS k FROM b),
+k AS (SELECT DISTINCT k FROM bw),
+dw AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM d, k WHERE len(w) >= k),
+h AS (SELECT dw.doc_id, dw.i, dw.k, bw.item FROM dw JOIN bw ON bw.k = dw.k AND bw.g = array_to_string(dw.w[dw.i:dw.i+dw.k-1], ' ')),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY doc_id),
+o AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(o.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(o.items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN o ON o.doc_id = d.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_url_filter": op2_url_filter,
+    "op7_decontamination": op7_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
+    "op2_url_filter": OP2_SQL,
+    "op7_decontamination": OP7_SQL,
 }
