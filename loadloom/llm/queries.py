@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loadloom.llm.decontaminate import decontaminate
 from loadloom.llm.ngram_join import ngram_join
+from loadloom.llm.secrets import find_secrets
 from loadloom.llm.url_filter import Rule, filter_urls
 from loadloom.session import read_table
 
@@ -95,10 +96,25 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN o ON o.doc_id = d.doc_id
 """
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(read_table(spark, sf_dir, "documents"))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(told(F.filter("spans", lambda s: s["kind"] != "random")), 256).alias("base_sha256"),
+        told(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filter": op2_url_filter,
     "op7_decontamination": op7_decontamination,
+    "op8_secret_scan": op8_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
