@@ -165,7 +165,7 @@ def signatures(k: int):
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = shingle_set(space_words(text), hashes, k)
                 d = digest_of(s)
-                rows.append((doc_id, len(s), int.from_bytes(d[:8], "little", signed=True), d, count_vector(s, groups_for(len(s), 8)).tobytes() if len(s) else b""))
+                rows.append((doc_id, len(s), int.from_bytes(d[:8], "little", signed=True), d, count_vector(s, groups_for(len(s), 2)).tobytes() if len(s) else b""))
                 if len(s):
                     np.add.at(seen, (s >> pick).astype(np.int64), 1)
             if rows:
@@ -326,9 +326,12 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     nodes = materialize(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("node").alias("node"), F.first("vec").alias("vec")), "ngram-nodes")
 
     keys = docs.select("text").mapInArrow(prefix_keys(k, percent, weights), "key long, node long")
-    blocks = keys.selectExpr("key", "node", "min(node) over (partition by key) lo", "max(node) over (partition by key) hi", "count(*) over (partition by key) members")
-    blocks = materialize(blocks.where("lo < hi").select("key", "node", "members").distinct(), "ngram-blocks")
-    placed = tiles(blocks.join(nodes.select("node", "digest", "n", "vec"), "node"), "key", "digest")
+    blocks = keys.selectExpr("key", "node", "min(node) over (partition by key) lo", "max(node) over (partition by key) hi")
+    blocks = materialize(blocks.where("lo < hi").select("key", "node").distinct(), "ngram-blocks")
+    # near copies share many shingles, so many blocks hold the same nodes; one of each kind stays
+    kinds = blocks.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b"))
+    kinds = kinds.groupBy("members", "a", "b").agg(F.min("key").alias("key")).select("key", "members")
+    placed = tiles(blocks.join(kinds, "key").join(nodes.select("node", "digest", "n", "vec"), "node"), "key", "digest")
     placed = placed.select("key", "tile", "digest", "n", "vec").repartition("key", "tile").sortWithinPartitions("key", "tile")
     near = components(placed.mapInArrow(block_edges(percent), "u binary, v binary"), "ngram-near")
 
