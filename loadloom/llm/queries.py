@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loadloom.llm.decontaminate import decontaminate
 from loadloom.llm.ngram_join import ngram_join
+from loadloom.llm.pii import replace_entities
 from loadloom.llm.quality_rules import judge
 from loadloom.llm.secrets import find_secrets
 from loadloom.llm.url_filter import Rule, filter_urls
@@ -116,12 +117,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "documents"), trusted).drop("ratio")
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filter": op2_url_filter,
     "op7_decontamination": op7_decontamination,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
