@@ -34,6 +34,8 @@ from loadloom.session import materialize
 #: Shingle counts are kept in so many counters; they only decide the order of shingles, never the result.
 BUCKET_BITS = 18
 CHUNK = 1024
+#: Shingles for one group of the vectors that blocks are searched with.
+BLOCK_SHARE = 2
 LEAF = 32
 
 
@@ -104,33 +106,37 @@ class CountTree:
         return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
-def spanning_edges(sizes: list[int], vectors: list[np.ndarray], percent: int, sets: list[np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the graph of the points whose bound (with ``sets``: whose overlap) is enough."""
-    order = np.argsort(np.array(sizes), kind="stable")
-    start = 0
-    for end in range(1, len(order) + 1):
-        if end < len(order) and 100 * sizes[order[end - 1]] >= percent * sizes[order[end]]:
-            continue  # sizes still close enough to the one before
-        run, start = order[start:end], end
-        if len(run) < 2:
+def spanning_edges(sizes: list[int], vectors: list[np.ndarray], percent: int, share: int, sets: list[np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the graph of the points whose bound (with ``sets``: whose overlap) is enough.
+
+    The number of groups grows with a set's size, else long sets would all look alike. Each number of groups has a tree of
+    its own, which also takes the larger sets that its points could still link to, folded to as few groups.
+    """
+    n = np.array(sizes, np.int64)
+    level = np.array([groups_for(int(x), share) for x in sizes])
+    for groups in np.unique(level).tolist():
+        own = level == groups
+        near = np.flatnonzero(own | ((level > groups) & (percent * n <= 100 * n[own].max())))
+        if len(near) > 1:
+            yield from _forest(near, CountTree(n[near], np.stack([fold(vectors[i], groups) for i in near]), percent), percent, sets)
+
+
+def _forest(points: np.ndarray, tree: CountTree, percent: int, sets: list[np.ndarray] | None) -> Iterator[tuple[int, int]]:
+    for first in range(len(points)):
+        if not tree.alive[first]:
             continue
-        groups = min(len(vectors[i]) for i in run)
-        tree = CountTree(np.array([sizes[i] for i in run]), np.stack([fold(vectors[i], groups) for i in run]), percent)
-        for first in range(len(run)):
-            if not tree.alive[first]:
-                continue
-            tree.take(first)
-            queue = [first]
-            while queue:
-                i = queue.pop()
-                for j in tree.reach(i).tolist():
-                    if sets is not None:
-                        a, b = sets[run[i]], sets[run[j]]
-                        if overlap(a, b) * (100 + percent) < percent * (len(a) + len(b)):
-                            continue
-                    tree.take(j)
-                    queue.append(j)
-                    yield int(run[i]), int(run[j])
+        tree.take(first)
+        queue = [first]
+        while queue:
+            i = queue.pop()
+            for j in tree.reach(i).tolist():
+                if sets is not None:
+                    a, b = sets[points[i]], sets[points[j]]
+                    if overlap(a, b) * (100 + percent) < percent * (len(a) + len(b)):
+                        continue
+                tree.take(j)
+                queue.append(j)
+                yield int(points[i]), int(points[j])
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -165,7 +171,7 @@ def signatures(k: int):
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = shingle_set(space_words(text), hashes, k)
                 d = digest_of(s)
-                rows.append((doc_id, len(s), int.from_bytes(d[:8], "little", signed=True), d, count_vector(s, groups_for(len(s), 2)).tobytes() if len(s) else b""))
+                rows.append((doc_id, len(s), int.from_bytes(d[:8], "little", signed=True), d, count_vector(s, groups_for(len(s), BLOCK_SHARE)).tobytes() if len(s) else b""))
                 if len(s):
                     np.add.at(seen, (s >> pick).astype(np.int64), 1)
             if rows:
@@ -232,7 +238,7 @@ def block_edges(percent: int):
                 said.clear()
             blocks.add(same)
             ids = list(own)
-            for i, j in spanning_edges([own[d][1] for d in ids], [np.frombuffer(own[d][2], np.uint8) for d in ids], percent):
+            for i, j in spanning_edges([own[d][1] for d in ids], [np.frombuffer(own[d][2], np.uint8) for d in ids], percent, BLOCK_SHARE):
                 e = (ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])
                 if e not in said:
                     said.add(e)
@@ -270,7 +276,7 @@ def verified_edges(k: int, percent: int):
         for own in loaded():
             ids, sets = list(own), list(own.values())
             sizes = [len(s) for s in sets]
-            edges = [(ids[i], ids[j]) for i, j in spanning_edges(sizes, [count_vector(s, groups_for(len(s), 1)) for s in sets], percent, sets)]
+            edges = [(ids[i], ids[j]) for i, j in spanning_edges(sizes, [count_vector(s, groups_for(len(s), 1)) for s in sets], percent, 1, sets)]
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*edges, strict=True)], names=["u", "v"])
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loadloom.llm.decontaminate import decontaminate
+from loadloom.llm.language_id import identify_languages
 from loadloom.llm.ngram_join import ngram_join
 from loadloom.llm.pii import replace_entities
 from loadloom.llm.quality_rules import judge
@@ -70,6 +71,10 @@ FROM m
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["last"] - h["first"] + 1)
@@ -124,6 +129,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filter": op2_url_filter,
+    "op4_language_id": op4_language_id,
     "op7_decontamination": op7_decontamination,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
