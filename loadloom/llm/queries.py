@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loadloom.llm.decontaminate import decontaminate
 from loadloom.llm.language_id import identify_languages
 from loadloom.llm.ngram_join import ngram_join
+from loadloom.llm.packing import pack
 from loadloom.llm.pii import replace_entities
 from loadloom.llm.quality_rules import judge
 from loadloom.llm.secrets import find_secrets
@@ -71,6 +72,10 @@ FROM m
 """
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read_table(spark, sf_dir, "documents"))
 
@@ -129,6 +134,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filter": op2_url_filter,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_language_id": op4_language_id,
     "op7_decontamination": op7_decontamination,
     "op8_secret_scan": op8_secret_scan,
