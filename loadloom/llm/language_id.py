@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,7 +22,11 @@ from loadloom.session import materialize
 START = "▁"
 #: Words that a task remembers; it forgets all when it has more.
 REMEMBERED = 200_000
+#: Longer words count as their parts of this length.
+LONGEST_WORD = 64
+#: Share of a character that is no piece.
 UNKNOWN = 1e-7
+LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
 
 
@@ -30,15 +36,6 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def word_counts(text: str) -> Counter:
-    """Lower-cased words; a word over 64 characters counts as its parts of 64, which bounds the forward pass for each."""
-    out: Counter = Counter()
-    for w, n in Counter(text.lower().split()).items():
-        for at in range(0, len(w), 64):
-            out[w[at : at + 64]] += n
-    return out
-
-
 _processors: dict[str, sentencepiece.SentencePieceProcessor] = {}
 
 
@@ -58,15 +55,15 @@ def count_pieces(path: str):
             for lang, words in waiting.items():
                 own = totals.setdefault(lang, np.zeros(sp.vocab_size(), np.int64))
                 keys = list(words)
-                for ids, n in zip(sp.encode(keys, num_threads=1), words.values(), strict=True):
-                    for i in ids:
-                        own[i] += n
+                cut = sp.encode(keys, num_threads=1)
+                times = np.repeat(np.fromiter(words.values(), np.int64, len(keys)), list(map(len, cut)))
+                np.add.at(own, np.fromiter(chain.from_iterable(cut), np.int64, len(times)), times)
             waiting.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    waiting.setdefault(lang, Counter()).update(word_counts(text))
+                    waiting.setdefault(lang, Counter()).update(text.lower().split())
             if sum(map(len, waiting.values())) > REMEMBERED:
                 settle()
         settle()
@@ -85,49 +82,63 @@ class Model:
         smoothed = counts + 0.1
         self.share = (smoothed / smoothed.sum(1, keepdims=True)).T.copy()  # piece x language
 
-    def ready(self) -> Scorer:
-        sp = processor(self.path)
-        pieces = {sp.id_to_piece(i): i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-        return Scorer(self, pieces)
-
 
 class Scorer:
-    def __init__(self, model: Model, pieces: dict[str, int]) -> None:
-        self.share, self.pieces, self.memory = model.share, pieces, {}
-        self.longest = max(map(len, pieces), default=1)
-        self.rows = {p: self.share[i] for p, i in pieces.items()}
-
-    def word(self, word: str) -> np.ndarray:
-        """Log of the probability of ``word`` in each language, summed over its segmentations."""
-        found = self.memory.get(word)
-        if found is None:
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            found = self.memory[word] = self.forward(START + word)
-        return found
-
-    def forward(self, s: str) -> np.ndarray:
-        n, rows, longest = len(s), self.rows, self.longest
-        size = self.share.shape[1]
-        ways = np.zeros((n + 1, size))
-        ways[0] = 1.0
-        scale = 0.0
+    """Log-probabilities of words in each language; each word is computed once and has a row in a table."""
+
+    def __init__(self, model: Model) -> None:
+        sp = processor(model.path)
+        kept = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+        self.pieces = {sp.id_to_piece(i): k + 1 for k, i in enumerate(kept)}
+        self.share = np.vstack([np.zeros(len(model.languages)), model.share[kept]])  # row 0: not a piece
+        self.longest = max(map(len, self.pieces), default=1)
+        self.row: dict[str, int] = {}
+        self.table = np.zeros((0, len(model.languages)))
+
+    def forward(self, words: list[str]) -> np.ndarray:
+        """For words of one length: the log of the sum over all segmentations of the product of their pieces' shares."""
+        n, get = len(words[0]), self.pieces.get
+        ways = [np.ones((len(words), self.table.shape[1]))]
+        scale = np.zeros((len(words), 1))
         for end in range(1, n + 1):
-            total = ways[end - 1] * UNKNOWN
-            for start in range(max(0, end - longest), end):
-                p = rows.get(s[start:end])
-                if p is not None:
-                    total = total + ways[start] * p
-            ways[end] = total
-            if end % 16 == 0:  # keeps long words from running out of range
-                top = ways[end].max()
-                ways[max(0, end - longest) : end + 1] /= top
+            total = ways[end - 1] * UNKNOWN  # a character that is no piece
+            for start in range(max(0, end - self.longest), end):
+                at = np.fromiter((get(w[start:end], 0) for w in words), np.int32, len(words))
+                if at.any():
+                    total += ways[start] * self.share[at]
+            ways.append(total)
+            if end % 16 == 0:  # keeps long words within range
+                top = total.max(1, keepdims=True)
                 scale += np.log(top)
-        return np.log(np.maximum(ways[n], 1e-300)) + scale
-
-    def text(self, text: str) -> np.ndarray:
-        words = word_counts(text)
-        return np.array(list(words.values()), float) @ np.stack([self.word(w) for w in words])
+                for k in range(max(0, end - self.longest), end + 1):
+                    ways[k] = ways[k] / top
+        return np.log(ways[n]) + scale
+
+    def learn(self, words: set[str]) -> None:
+        by_length: dict[int, list[str]] = {}
+        for w in words:
+            by_length.setdefault(len(w), []).append(w)
+        found = [self.table]
+        for n, own in by_length.items():
+            for w in own:
+                self.row[w] = len(self.row)
+            if n < LONGEST_WORD:
+                found.append(self.forward([START + w for w in own]))
+            else:  # in parts, which bounds the work for each
+                parts = [[w[at : at + LONGEST_WORD] for w in own] for at in range(0, n, LONGEST_WORD)]
+                found.append(sum(self.forward([(START + w) if k == 0 else w for w in part]) for k, part in enumerate(parts)))
+        self.table = np.vstack(found)
+
+    def texts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        cut = [t.lower().split() for t in texts]
+        new = set().union(*cut)
+        if not new <= self.row.keys():
+            if len(self.row) + len(new) > REMEMBERED:
+                self.row.clear()
+                self.table = self.table[:0]
+            self.learn(new.difference(self.row))
+        for own in cut:
+            yield self.table[np.fromiter(map(self.row.__getitem__, own), np.int64, len(own))].sum(0)
 
 
 _ready: dict[int, tuple] = {}
@@ -138,20 +149,25 @@ def predict(model):
         m = model.value
         if id(m) not in _ready:
             _ready.clear()
-            _ready[id(m)] = (m, m.ready())
+            _ready[id(m)] = (m, Scorer(m))
         scorer = _ready[id(m)][1]
-        for batch in batches:
-            langs, scores = [], []
-            for text in batch.column(2).to_pylist():
-                if not m.languages or not text or not any(c.isalpha() for c in text):
-                    langs.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                log = scorer.text(text)
-                best = int(log.argmax())
-                langs.append(m.languages[best])
-                scores.append(float(1.0 / np.exp(log - log[best]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                texts = batch.column(2).to_pylist()
+                told = [bool(m.languages and t and LETTER.search(t)) for t in texts]
+                logs = scorer.texts([t for t, ok in zip(texts, told, strict=True) if ok])
+                langs, scores = [], []
+                for ok in told:
+                    if ok:
+                        log = next(logs)
+                        best = int(log.argmax())
+                        langs.append(m.languages[best])
+                        scores.append(float(1.0 / np.exp(log - log[best]).sum()))
+                    else:
+                        langs.append(UNDETERMINED)
+                        scores.append(0.0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
