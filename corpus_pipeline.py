@@ -1,5 +1,64 @@
-STAGES, ORACLE_SQL = [], None
+"""From raw documents to packed training sequences: quality, near copies, benchmark passages, personal data, packing."""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from loadloom.llm.decontaminate import drop_contaminated
+from loadloom.llm.line_crf import classify
+from loadloom.llm.ngram_join import ngram_join
+from loadloom.llm.packing import pack
+from loadloom.llm.pii import replace_entities
+from loadloom.session import materialize, read_table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return classify(docs, read_table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group; documents without an id stay, and rows that repeat one are dropped."""
+    found = ngram_join(docs)
+    stay = found.where("doc_id = component_id").select("doc_id")
+    twice = not stay.groupBy("doc_id").count().where("count > 1").isEmpty()
+    kept = docs.join(stay.distinct() if twice else stay, "doc_id", "left_semi")
+    if twice:
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced; n_chars follows the text."""
+    return replace_entities(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, placed in sequences."""
+    return pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("pii_surrogates", pii_surrogates),
+    ("best_fit_packing", best_fit_packing),
+]
+#: The classifier's fit has no SQL form; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each but the last is written to the shared folder and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -72,16 +72,21 @@ def merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
     return [(x, y) for x, y in out]
 
 
-_built: dict[tuple[int, int], Automaton] = {}
+_built: dict[int, tuple[list, int, Automaton]] = {}
+
+
+def automaton(items, size: int) -> Automaton:
+    """A worker that runs several tasks builds it once."""
+    own = items.value
+    if id(own) not in _built or _built[id(own)][0] is not own or _built[id(own)][1] != size:
+        _built.clear()
+        _built[id(own)] = (own, size, Automaton(own, size))
+    return _built[id(own)][2]
 
 
 def scanner(items, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (id(items.value), size)  # a worker that runs several tasks builds the automaton once
-        if key not in _built:
-            _built.clear()
-            _built[key] = Automaton(items.value, size)
-        machine = _built[key]
+        machine = automaton(items, size)
         for batch in batches:
             ids, texts, hits, owners = (c.to_pylist() for c in batch.columns)
             counts, new_hits, new_owners = [], [], []
@@ -112,6 +117,16 @@ def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def item_blocks(items: DataFrame) -> Iterator:
+    """Broadcasts of (item_id, text), each of at most about ``BLOCK_CHARS`` characters."""
+    items = items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null and text is not null")
+    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-chars // BLOCK_CHARS))
+    for b in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        yield items.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in own.toLocalIterator()])
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """Finds the windows of ``size`` words of ``items`` (item_id, text) in ``docs`` (doc_id, text).
 
@@ -122,14 +137,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     Null or empty texts and texts without words: no words, no hits. Null item ids or texts: no windows. Repeated documents
     are each returned; repeated items count once by id. Empty tables: no rows, or no hits. Other columns are not read.
     """
-    spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null and text is not null")
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-chars // BLOCK_CHARS))
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).selectExpr(
         "doc_id", "text", "cast(array() as array<struct<first:int,last:int>>) hits", "cast(array() as array<string>) items"
     )
-    for b in range(blocks):
-        own = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toLocalIterator()]
-        found = found.select("doc_id", "text", "hits", "items").mapInArrow(scanner(spark.sparkContext.broadcast(own), size), SCANNED)
+    for own in item_blocks(items):
+        found = found.select("doc_id", "text", "hits", "items").mapInArrow(scanner(own, size), SCANNED)
     return found.mapInArrow(offsets, "doc_id long, n_words long, hits array<struct<first:int,last:int>>, spans array<struct<start:int,end:int>>, items array<string>")
+
+
+def dropper(items, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton(items, size)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([not machine.scan(normal_words(t))[1] for t in texts], pa.bool_()))
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """The rows of ``docs`` (any columns, one of them text) in which no window of ``items`` occurs, unchanged; without a shuffle."""
+    for own in item_blocks(items):
+        docs = docs.mapInArrow(dropper(own, size), docs.schema)
+    return docs

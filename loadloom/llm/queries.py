@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,8 +15,9 @@ from loadloom.llm.packing import pack
 from loadloom.llm.pii import replace_entities
 from loadloom.llm.quality_rules import judge
 from loadloom.llm.secrets import find_secrets
+from loadloom.llm.sharding import shard_documents
 from loadloom.llm.url_filter import Rule, filter_urls
-from loadloom.session import read_table
+from loadloom.session import read_table, scratch_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWERED = f"translate(text, '{UPPER}', '{LOWER}')"
@@ -81,6 +83,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read_table(spark, sf_dir, "documents"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where compaction put each document: its shard's tier, rows and order among the shards by size."""
+    store = shard_documents(read_table(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}")
+    return store.read().select("doc_id", F.element_at(F.split("_shard", "/"), -1).alias("shard"), F.col("_tier").alias("tier"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return classify(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -142,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_language_id": op4_language_id,
+    "op5_sharding": op5_sharding,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_decontamination": op7_decontamination,
     "op8_secret_scan": op8_secret_scan,
