@@ -95,6 +95,7 @@ def mean_interval(values: DataFrame, t: float, *keys: str) -> DataFrame:
 
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
-    p = ratio(hits, n)
+    n = F.nullif(n, F.lit(0.0))
+    p = hits / n
     middle, half = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     return (middle - half) / (1 + z * z / n), (middle + half) / (1 + z * z / n)

@@ -252,7 +252,7 @@ def d01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d02_purged_split", f"WITH {H} SELECT series_id, count(*) FILTER (WHERE t + 21600 <= {START + 20 * DAY}) AS train, count(*) FILTER (WHERE t >= {START + 20 * DAY}) AS valid, count(*) FILTER (WHERE t + 21600 > {START + 20 * DAY} AND t < {START + 20 * DAY}) AS purged FROM h GROUP BY 1")
 def d02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.purged_split(hourly(spark, sf_dir), START + 20 * DAY, 6 * HOUR).groupBy("series_id").pivot("part", ["train", "valid", "purged"]).count()
+    return ops.purged_split(hourly(spark, sf_dir), START + 20 * DAY, 6 * HOUR).groupBy("series_id").pivot("part", ["train", "valid", "purged"]).count().fillna(0)
 
 
 @query("d03_robust_scaling", f"WITH {H}, f AS (SELECT series_id, median(value) AS m, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS q FROM h WHERE t < {START + 20 * DAY} GROUP BY 1) SELECT h.series_id, h.t, round(CASE WHEN q > 0 THEN (value - m) / q ELSE value - m END, 6) AS scaled FROM h JOIN f ON f.series_id = h.series_id")

@@ -22,7 +22,7 @@ def con(sf):
 def told(df):
     def one(v):
         if isinstance(v, float):
-            return "null" if v != v else f"{v:.6g}"
+            return "null" if v != v else f"{v:.12g}"
         return "null" if v is None or v is pd.NaT or v is pd.NA else str(v)
 
     df = df[sorted(df.columns)]
