@@ -63,6 +63,32 @@ def test_smoothing_grid(spark, sf):
         assert (r.sse, r.alpha, r.level) == pytest.approx(best, rel=1e-6)
 
 
+def test_accepted_rows(spark, sf):
+    got = {(r.series_id, r.pos): r.status for r in QUERIES["w12_accepted"](spark, sf).collect()}
+    last = {}
+    for r in sorted(registry.events(spark, sf).collect(), key=lambda r: r.ord):
+        issued, trained = r.t - r.ord % 17 * 900, r.t - r.user_id * 600
+        before = last.get(r.series_id, (-(1 << 62),) * 2)
+        status = "stale" if issued - trained > 86400 else "out_of_order" if issued < before[0] else "older_model" if trained < before[1] else "ok"
+        if status == "ok":
+            last[r.series_id] = issued, trained
+        assert got[r.series_id, r.ord] == status
+
+
+def test_hysteresis(spark, sf):
+    got = {(r.series_id, r.t): r.trusted for r in QUERIES["k09_trust_hysteresis"](spark, sf).collect()}
+    state = {}
+    for r in sorted(registry.hourly(spark, sf).collect(), key=lambda r: r.t):
+        trusted, since, count = state.get(r.series_id, (True, None, 0))
+        if r.value < 7:
+            since, count = r.t if since is None else since, count + 4
+            trusted = trusted or (r.t - since >= 86400 and count >= 32)
+        else:
+            trusted, since, count = False, None, 0
+        state[r.series_id] = trusted, since, count
+        assert got[r.series_id, r.t] == trusted
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
