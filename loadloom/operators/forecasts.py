@@ -106,3 +106,53 @@ def smoothing_grid(grid: DataFrame, alphas: list[float]) -> DataFrame:
     done = runs.where(F.size("v") > 0).select("series_id", "alpha", folded.alias("f"))
     best = done.groupBy("series_id").agg(F.min(F.struct(F.col("f.sse").alias("sse"), "alpha", F.col("f.level").alias("level"))).alias("m"))
     return best.select("series_id", "m.alpha", "m.sse", "m.level")
+
+
+def seasonal_smoothing(grid: DataFrame, m: int, params: list[tuple[float, float, float]], steps: int) -> DataFrame:
+    """Additive level, trend and season of ``m`` slots under each (alpha, beta, gamma); the triple with the least squared error
+    forecasts ``steps`` slots ahead. Series with under two whole seasons have no row.
+
+    Start: level is the first season's mean, trend the difference of the first two seasons' means over m, season the first
+    season less its mean. Missing slots are filled forward before. Each series is folded in order of time; series and
+    triples run side by side.
+    """
+    filled = grid.withColumn("v", F.last("value", ignorenulls=True).over(by_series().rowsBetween(Window.unboundedPreceding, 0))).where("v is not null")
+    ordered = filled.groupBy("series_id").agg(F.max("t").alias("origin"), F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("v")).where(F.size("v") >= 2 * m)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    head = ordered.withColumns({"m1": total(F.slice("v", 1, m)) / m, "m2": total(F.slice("v", m + 1, m)) / m})
+    tried = head.select("*", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(g).alias("g")) for a, b, g in params])).alias("p"))
+    start = F.struct(F.col("m1").alias("level"), ((F.col("m2") - F.col("m1")) / m).alias("trend"), F.transform(F.slice("v", 1, m), lambda x: x - F.col("m1")).alias("season"), F.lit(0.0).alias("sse"))
+
+    def turn(acc: Column, y: Column) -> Column:
+        s = F.element_at(acc["season"], 1)  # the season turns: its first slot is the one due now
+        error = y - (acc["level"] + acc["trend"] + s)
+        level = acc["level"] + acc["trend"] + F.col("p.a") * error
+        return F.struct(level.alias("level"), (acc["trend"] + F.col("p.a") * F.col("p.b") * error).alias("trend"), F.concat(F.slice(acc["season"], 2, m - 1), F.array(s + F.col("p.g") * error)).alias("season"), (acc["sse"] + error * error).alias("sse"))
+
+    done = tried.select("series_id", "origin", "p", F.aggregate(F.slice(F.col("v"), F.lit(m + 1), F.size("v")), start, turn).alias("f"))
+    best = done.groupBy("series_id", "origin").agg(F.min(F.struct(F.col("f.sse").alias("sse"), "p", "f")).alias("x"))
+    out = best.select("series_id", "origin", "x.sse", "x.p", F.posexplode(F.slice("x.f.season", 1, steps)).alias("k", "s"), "x.f")
+    return out.select("series_id", "origin", (F.col("k") + 1).alias("step"), F.col("p.a").alias("alpha"), F.col("p.b").alias("beta"), F.col("p.g").alias("gamma"), "sse", (F.col("f.level") + (F.col("k") + 1) * F.col("f.trend") + F.col("s")).alias("predicted"))
+
+
+def online_selector(costs: DataFrame, arms: list[str], half_life: float, least: int, penalty: float) -> DataFrame:
+    """The arm in use at each origin: averages of matured costs fade with ``half_life``; another arm takes over when its average plus
+    ``penalty`` is below the one in use, by more than 1e-9, and both have ``least`` costs. ``costs``: series_id, t, c (one cost for
+    each arm, NULL where not matured). Each series is folded in order of time."""
+    keep = 0.5 ** (1 / half_life)
+    ordered = costs.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", "c"))).alias("a"))
+
+    def turn(acc: Column, x: Column) -> Column:
+        mean = F.zip_with(acc["mean"], x["c"], lambda m, c: F.when(c.isNull(), m).when(m.isNull(), c).otherwise(keep * m + (1 - keep) * c))
+        n = F.zip_with(acc["n"], x["c"], lambda k, c: k + c.isNotNull().cast("int"))
+        rated = F.transform(F.sequence(F.lit(1), F.lit(len(arms))), lambda i: F.struct(F.when(F.element_at(acc["n"], i) >= least, F.element_at(acc["mean"], i) + F.when(i == acc["use"], 0.0).otherwise(penalty)).alias("cost"), i.alias("i")))
+        known = F.array_sort(F.filter(rated, lambda r: r["cost"].isNotNull()))
+        now = F.get(F.filter(rated, lambda r: r["i"] == acc["use"]), F.lit(0))["cost"]
+        first = F.get(known, F.lit(0))
+        use = F.when(now.isNotNull() & (first["cost"] < now - 1e-9), first["i"]).otherwise(acc["use"])
+        return F.struct(mean.alias("mean"), n.alias("n"), use.alias("use"), F.concat(acc["out"], F.array(F.struct(x["t"].alias("t"), use.alias("use")))).alias("out"))
+
+    none = F.array(*[F.lit(None).cast("double") for _ in arms])
+    start = F.struct(none.alias("mean"), F.array(*[F.lit(0) for _ in arms]).alias("n"), F.lit(1).alias("use"), F.array().cast("array<struct<t:bigint,use:int>>").alias("out"))
+    used = ordered.select("series_id", F.explode(F.aggregate("a", start, turn, lambda acc: acc["out"])).alias("o"))
+    return used.select("series_id", "o.t", F.element_at(F.array(*[F.lit(a) for a in arms]), F.col("o.use")).alias("arm"))

@@ -89,6 +89,49 @@ def test_hysteresis(spark, sf):
         assert got[r.series_id, r.t] == trusted
 
 
+def test_seasonal_smoothing(spark, sf):
+    from loadloom.plans.selection import PARAMS
+
+    series = {}
+    for r in sorted(registry.grid(spark, sf).collect(), key=lambda r: r.t):
+        own = series.setdefault(r.series_id, [])
+        if r.value is not None or own:
+            own.append(own[-1] if r.value is None else r.value)
+    got = {(r.series_id, r.step): r for r in QUERIES["f07_seasonal_smoothing"](spark, sf).collect()}
+    for s, v in series.items():
+        best = None
+        for p in PARAMS:
+            m1, m2 = sum(v[:24]) / 24, sum(v[24:48]) / 24
+            level, trend, season, sse = m1, (m2 - m1) / 24, [x - m1 for x in v[:24]], 0.0
+            for k, y in enumerate(v[24:]):
+                e = y - (level + trend + season[k % 24])
+                level, trend = level + trend + p[0] * e, trend + p[0] * p[1] * e
+                season[k % 24] += p[2] * e
+                sse += e * e
+            best = min(best or (float("inf"),), (sse, p, [level + (k + 1) * trend + season[(len(v) + k) % 24] for k in range(6)]))
+        for k in range(6):
+            r = got[s, k + 1]
+            assert (r.alpha, r.beta, r.gamma) == best[1]
+            assert (r.sse, r.predicted) == pytest.approx((best[0], best[2][k]), abs=1e-3)
+
+
+def test_online_selector(spark, sf):
+    from loadloom.plans.selection import ARMS, arm_costs
+
+    got = {(r.series_id, r.t): r.arm for r in QUERIES["f16_online_selector"](spark, sf).collect()}
+    state, keep = {}, 0.5 ** (1 / 24)
+    for r in sorted(arm_costs(spark, sf).collect(), key=lambda r: r.t):
+        mean, n, use = state.get(r.series_id, ([None] * 3, [0] * 3, 0))
+        rated = [(mean[i] + (0 if i == use else 0.05), i) for i in range(3) if n[i] >= 12]
+        now = next((c for c, i in rated if i == use), None)
+        if now is not None and min(rated)[0] < now - 1e-9:
+            use = min(rated)[1]
+        mean = [m if c is None else c if m is None else keep * m + (1 - keep) * c for m, c in zip(mean, r.c, strict=True)]
+        n = [k + (c is not None) for k, c in zip(n, r.c, strict=True)]
+        state[r.series_id] = mean, n, use
+        assert got[r.series_id, r.t] == ARMS[use]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
