@@ -75,3 +75,18 @@ def test_batch_windows(spark, source):
     df = spark.createDataFrame(rows, "series_id string, t long, value double").withColumn("ts", F.timestamp_seconds("t"))
     assert jobs.sessions(df, "90 seconds").agg(F.sum("beats")).first()[0] == len(rows)
     assert jobs.sliding_counts(df, "20 minutes", "10 minutes").agg(F.sum("n")).first()[0] == 2 * len(rows)
+
+
+def test_matured_targets(spark, tmp_path):
+    """Every target comes once: with its value where a receipt came, else with NULL when none can come any more."""
+    t0 = 1_704_067_200
+    issued = [("a", t0 + 600 * k, 1.0 + k) for k in range(20)]
+    values = [("a", t0 + 600 * k, float(k)) for k in range(20) if k % 4]
+    far = t0 + 10**6
+    spark.createDataFrame([*issued, ("z", far, 0.0)], "series_id string, t long, predicted double").withColumn("target_ts", F.timestamp_seconds("t")).drop("t").coalesce(1).write.parquet(str(tmp_path / "issued"))
+    spark.createDataFrame([*values, ("z", far, 0.0)], "series_id string, t long, value double").withColumn("ts", F.timestamp_seconds("t")).coalesce(1).write.parquet(str(tmp_path / "seen"))
+    left = spark.readStream.schema("series_id string, predicted double, target_ts timestamp").parquet(str(tmp_path / "issued"))
+    right = spark.readStream.schema("series_id string, t long, value double, ts timestamp").parquet(str(tmp_path / "seen"))
+    drain(jobs.matured(left, right), tmp_path)
+    got = {(r.series_id, int(r.target_ts.timestamp())): r.actual for r in spark.read.parquet(str(tmp_path / "out")).where("series_id = 'a'").collect()}
+    assert got == {("a", t0 + 600 * k): float(k) if k % 4 else None for k in range(20)}
