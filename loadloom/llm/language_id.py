@@ -17,8 +17,6 @@ import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loadloom.session import materialize
-
 START = "▁"
 #: Words that a task remembers; it forgets all when it has more.
 REMEMBERED = 200_000
@@ -28,6 +26,14 @@ LONGEST_WORD = 64
 UNKNOWN = 1e-7
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
+#: Documents that each language is learned from, and languages that are learned.
+MOST_DOCUMENTS, MOST_LANGUAGES = 5_000, 256
+#: ASCII letters become lower case, other ASCII characters spaces; what lies beyond ASCII stays.
+LETTERS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
+
+
+def letter_words(text: str) -> list[bytes]:
+    return text.lower().encode("utf-8", "surrogatepass").translate(LETTERS).split()
 
 
 def vocabulary_path() -> str:
@@ -55,7 +61,7 @@ def count_pieces(path: str):
             for lang, words in waiting.items():
                 own = totals.setdefault(lang, np.zeros(sp.vocab_size(), np.int64))
                 keys = list(words)
-                cut = sp.encode(keys, num_threads=1)
+                cut = sp.encode([w.decode("utf-8", "replace") for w in keys], num_threads=1)
                 times = np.repeat(np.fromiter(words.values(), np.int64, len(keys)), list(map(len, cut)))
                 np.add.at(own, np.fromiter(chain.from_iterable(cut), np.int64, len(times)), times)
             waiting.clear()
@@ -63,7 +69,7 @@ def count_pieces(path: str):
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    waiting.setdefault(lang, Counter()).update(text.lower().split())
+                    waiting.setdefault(lang, Counter()).update(letter_words(text))
             if sum(map(len, waiting.values())) > REMEMBERED:
                 settle()
         settle()
@@ -92,7 +98,7 @@ class Scorer:
         self.pieces = {sp.id_to_piece(i): k + 1 for k, i in enumerate(kept)}
         self.share = np.vstack([np.zeros(len(model.languages)), model.share[kept]])  # row 0: not a piece
         self.longest = max(map(len, self.pieces), default=1)
-        self.row: dict[str, int] = {}
+        self.row: dict[bytes, int] = {}
         self.table = np.zeros((0, len(model.languages)))
 
     def forward(self, words: list[str]) -> np.ndarray:
@@ -114,14 +120,17 @@ class Scorer:
                     ways[k] = ways[k] / top
         return np.log(ways[n]) + scale
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[bytes]) -> None:
         by_length: dict[int, list[str]] = {}
-        for w in words:
+        keys: dict[int, list[bytes]] = {}
+        for key in words:
+            w = key.decode("utf-8", "replace")
             by_length.setdefault(len(w), []).append(w)
+            keys.setdefault(len(w), []).append(key)
         found = [self.table]
         for n, own in by_length.items():
-            for w in own:
-                self.row[w] = len(self.row)
+            for key in keys[n]:
+                self.row[key] = len(self.row)
             if n < LONGEST_WORD:
                 found.append(self.forward([START + w for w in own]))
             else:  # in parts, which bounds the work for each
@@ -130,7 +139,7 @@ class Scorer:
         self.table = np.vstack(found)
 
     def texts(self, texts: list[str]) -> Iterator[np.ndarray]:
-        cut = [t.lower().split() for t in texts]
+        cut = [letter_words(t) for t in texts]
         new = set().union(*cut)
         if not new <= self.row.keys():
             if len(self.row) + len(new) > REMEMBERED:
@@ -172,20 +181,23 @@ def predict(model):
     return run
 
 
-def fit(docs: DataFrame, path: str, most_languages: int = 256) -> Model:
-    """Piece shares of every language in ``docs`` (lang, text), counted over all its rows.
+def fit(docs: DataFrame, path: str, most_documents: int = MOST_DOCUMENTS, most_languages: int = MOST_LANGUAGES) -> Model:
+    """Piece shares of each language in ``docs`` (doc_id, lang, text), from at most about ``most_documents`` of its documents.
 
-    Each task sends one row for each language and piece, so the counts that meet are bounded by languages and vocabulary. With
-    over ``most_languages`` values of lang, those with the fewest pieces are not learned.
+    Documents are chosen by the hash of their ids, so the choice is the same wherever they lie. Each task sends one row for
+    each language and piece. Of over ``most_languages`` values of lang, those with the fewest documents are not learned.
     """
-    known = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    counts = materialize(known.mapInArrow(count_pieces(path), "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")), "language-pieces")
-    kept = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
-    languages = sorted(r["lang"] for r in kept.collect())
+    sizes = docs.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    languages = sorted(r["lang"] for r in sizes)
     table = np.zeros((len(languages), processor(path).vocab_size()))
-    at = {lang: i for i, lang in enumerate(languages)}
-    for r in counts.where(F.col("lang").isin(languages)).toLocalIterator():
-        table[at[r["lang"]], r["piece"]] = r["n"]
+    if languages:
+        whole = 1 << 30
+        share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(whole, most_documents * whole // r["count"]))])
+        chosen = docs.where(F.col("lang").isin(languages) & (F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < F.element_at(share, F.col("lang"))) & F.col("text").isNotNull()).select("lang", "text")
+        counts = chosen.mapInArrow(count_pieces(path), "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+        at = {lang: i for i, lang in enumerate(languages)}
+        for r in counts.collect():  # at most languages times vocabulary rows
+            table[at[r["lang"]], r["piece"]] = r["n"]
     return Model(languages, table, path)
 
 
@@ -201,7 +213,7 @@ def identify_languages(docs: DataFrame, path: str | None = None) -> DataFrame:
     but text beside it, is read for learning; predictions read the text alone.
 
     Null or empty texts, and those without a letter: ``und`` with score 0; so is every text if nothing could be learned. Ties
-    go to the language that comes first. Repeated rows are each returned. Null ids are held out. Empty table: no rows.
+    go to the language that comes first. Digits and ASCII signs are no part of words. Repeated rows are each returned. Null ids are held out. Empty table: no rows.
     """
     path = path or vocabulary_path()
     docs = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id").cast("long"), 4, 2).alias("held_out"), F.col("text").cast("string"), F.col("lang").cast("string"))
