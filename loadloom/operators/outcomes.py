@@ -28,7 +28,9 @@ def window_outcomes(issued: DataFrame, receipts: DataFrame, now: int, settle: in
 def queue_status(issued: DataFrame, observed: DataFrame, late: int) -> DataFrame:
     """Early, matched (seen at most ``late`` after the target) or dropped, from the first observation at or after the target."""
     line = issued.select("series_id", F.col("target").alias("t"), F.lit(0).alias("kind"), "key").unionByName(observed.select("series_id", "t", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("key")))
-    after = F.first(F.when(F.col("kind") == 1, F.col("t")), ignorenulls=True).over(by_series("t", "kind").rowsBetween(0, Window.unboundedFollowing))
+    # read backwards: a frame that only grows is carried along, one up to the end would be read anew for each row
+    back = Window.partitionBy("series_id").orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    after = F.last(F.when(F.col("kind") == 1, F.col("t")), ignorenulls=True).over(back)
     found = line.withColumn("seen", after).where("kind = 0")
     return found.select("series_id", "key", F.when(F.col("seen").isNull(), "early").when(F.col("seen") - F.col("t") <= late, "matched").otherwise("dropped").alias("status"))
 

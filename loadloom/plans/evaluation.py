@@ -174,6 +174,15 @@ def f04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aggregates.weighted_percentile(rows, 0.7, "series_id", "origin", "step"), "value", places=4)
 
 
+@query("f04_weighted_pattern_all")
+def f04_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """f04 from every origin; held against a plain loop in the tests."""
+    g = grid(spark, sf_dir)
+    sent = g.where("value is not null").select("series_id", "t", "value", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("d")).withColumn("target", F.col("t") + F.col("d") * DAY)
+    rows = forecasts.ahead(g, 6, HOUR).join(sent, ["series_id", "target"]).withColumn("weight", F.pow(F.lit(0.3), F.col("d") - 1))
+    return rounded(aggregates.weighted_percentile(rows, 0.7, "series_id", "origin", "step"), "value", places=4)
+
+
 @query(
     "k04_cohort_scores",
     f"WITH {OUTCOMES} SELECT series_id, origin, round(residual / greatest(0.5, 0.2 + 0.1 * bound), 6) AS score FROM oc JOIN iss USING (series_id, origin) WHERE residual IS NOT NULL AND origin % 43200 = 0",

@@ -51,6 +51,13 @@ def k02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.queue_status(e.where("ord % 10 = 0").select("series_id", F.col("ord").alias("key"), (F.col("t") + HOUR).alias("target")), e.select("series_id", "t"), 300)
 
 
+@query("k02_queue_status_all")
+def k02_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k02 issued for every event; held against a plain loop in the tests."""
+    e = events(spark, sf_dir)
+    return ops.queue_status(e.select("series_id", F.col("ord").alias("key"), (F.col("t") + HOUR).alias("target")), e.select("series_id", "t"), 300)
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid(spark, sf_dir).select("series_id", "t", F.col("value").alias("base"), F.lit(1.5).alias("sigma"), ((F.col("value") - F.lag("value", 24).over(Window.partitionBy("series_id").orderBy("t"))) / 1.5).alias("score"))
 
@@ -243,6 +250,14 @@ def v17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.final_attempts(rows, 4)
 
 
+@query("v17_final_attempts_all")
+def v17_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v17 over every order: its date is the hour, the order the attempt, its lines the arms, final where they are; held against a plain loop in the tests."""
+    o, l = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "lineitem")
+    rows = o.join(l, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderdate").alias("hour"), F.col("o_orderkey").alias("attempt"), F.col("l_linenumber").alias("arm"), (F.col("l_linestatus") == "F").cast("int").alias("final"))
+    return ops.final_attempts(rows, 4)
+
+
 @query("d01_sliding_examples", f"""WITH {G}, x AS (SELECT series_id, t, list(value) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS x, list(value) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS y FROM g)
  SELECT series_id, t, array_to_string(list_transform(list_filter(x, lambda v: v IS NOT NULL), lambda v: v::INTEGER), ',') AS x, array_to_string(list_transform(list_filter(y, lambda v: v IS NOT NULL), lambda v: v::INTEGER), ',') AS y FROM x WHERE len(list_filter(x, lambda v: v IS NOT NULL)) = 12 AND len(list_filter(y, lambda v: v IS NOT NULL)) = 6""")
 def d01(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,6 +198,13 @@ def j02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(joins.nearest(targets, e, 300), "found_value")
 
 
+@query("j02_nearest_all")
+def j02_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """j02 asked for every event; held against a plain loop in the tests."""
+    e = events(spark, sf_dir)
+    return rounded(joins.nearest(e.select("series_id", "ord", (F.col("t") - DAY).alias("want")), e, 300), "found_value")
+
+
 @query("j03_step_actual", f"WITH {SCORED} SELECT series_id, origin, step::INTEGER AS step, target, predicted, actual FROM sc")
 def j03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir)
@@ -229,6 +236,15 @@ def j06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.overlaps(left, right, 1800)
 
 
+@query("j06_overlaps_all")
+def j06_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """j06 with an interval of each kind for every event; held against a plain loop in the tests."""
+    e = events(spark, sf_dir)
+    left = e.select("series_id", F.col("ord").alias("l"), F.col("t").alias("a"), (F.col("t") + 240).alias("b"))
+    right = e.select("series_id", F.col("ord").alias("r"), F.col("t").alias("c"), (F.col("t") + F.col("ord") % 4 * 600).alias("d"))
+    return joins.overlaps(left, right, 1800)
+
+
 @query("j10_unmatched", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "customer").join(read_table(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")

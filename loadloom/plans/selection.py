@@ -88,6 +88,13 @@ def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).where("ord % 3 = 0").select("series_id", "ord", F.get(F.array(*[F.lit(r) for _, _, r in wide]), at).alias("explained"))
 
 
+@query("j13_explained_by_mask_all")
+def j13_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """j13 judged for every event; held against a plain loop in the tests."""
+    wide = [(a - 30, b + 30, r) for a, b, r in MASK]
+    return events(spark, sf_dir).select("series_id", "ord", F.get(F.array(*[F.lit(r) for _, _, r in wide]), first_interval(F.col("t"), wide)).alias("explained"))
+
+
 @query("l11_earliest_rejection", "SELECT o_custkey, min(o_orderdate) AS first_at, count(*) AS rejections FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
 def l11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loadloom.session import read_table
