@@ -23,7 +23,8 @@ HEX = r"[0-9a-f]{16,}"
 LEAST_ASSIGNED = 12
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: '=' is padding at a token's end and else cuts, so the value of NAME=VALUE is a token of its own.
+TOKEN = r"[A-Za-z0-9+/_-]{20,}(?:=++(?![A-Za-z0-9+/_-]))?"
 #: Alphabets and, for ordinary text in them, the sum of squared symbol shares (English letters; a-f alike).
 ENCODINGS = {
     "hex": (r"^[0-9A-Fa-f]+$", "0123456789abcdef", 1 / 6),

@@ -315,6 +315,20 @@ def test_secrets_equal_brute_force(spark, rows):
     assert secrets.find_secrets(frame(spark, [])).collect() == []
 
 
+def test_secrets_after_a_name(spark, rows):
+    rng = random.Random(10)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    names = ["AWS_ACCESS=", "see http://a.example.com/x?sig=", "MY_VERY_LONG_SETTING_NAME=", "a='1' b="]
+    made = [(names[k % 4], "".join(rng.choice(signs) for _ in range(44)) + "=" * (k % 3)) for k in range(40)]
+    plain = [(700, "MY_VERY_LONG_SETTING_NAME=thisisaverylongordinarywordwithoutanysecret"), (701, "=" * 60), (702, "some_ordinary_setting_name==some_ordinary_setting_value")]
+    texts = [*rows, *((500 + k, f"{name}{value} &y=2") for k, (name, value) in enumerate(made)), *plain]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(frame(spark, texts)).collect()}
+    exact = [[(s["start"], s["end"], s["kind"]) for s in got[500 + k]] == [(len(n), len(n) + len(v), "random")] for k, (n, v) in enumerate(made)]
+    assert sum(exact) >= 36
+    assert all(any(exact[k] for k in range(j, 40, 4)) for j in range(4))
+    assert not any(got[i] for i, _ in plain)
+
+
 def brute_counts(text):
     t = text or ""
     w = [x.decode() for x in t.encode().split()]
