@@ -15,12 +15,24 @@ from loadloom.llm.columns import let
 from loadloom.session import materialize
 
 #: The patterns, tried in this order at each place.
-MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+MAIL = r"(?<![\p{L}\p{M}\p{N}])[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+'’-]*@[\p{L}\p{M}\p{N}-]+(?:\.[\p{L}\p{M}\p{N}-]+)*\.\p{L}[\p{L}\p{M}]+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
+#: Eight groups, or fewer about one '::'; a digit is demanded, which keeps names of code (a::b) out.
+_H = "[0-9A-Fa-f]{1,4}"
+IPV6 = rf"(?<![\p{{L}}\p{{N}}:.])(?=[A-Fa-f:]*[0-9])(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,6}}(?::{_H}){{1,6}}|(?:{_H}:){{2,7}}:|:(?::{_H}){{2,7}})(?![\p{{L}}\p{{N}}:])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z])"
-PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])"
+#: A plus and 7 to 15 digits in groups; three groups; an area code (no year) in brackets; a trunk 0 (no date) and groups; ten digits of a North American number.
+_GAP = r"[\x20\u00a0\u202f\u2011./-]"
+_PHONES = (
+    r"(?<![0-9A-Za-z])\+(?![0-9]{8,15}(?![0-9A-Za-z]))[0-9](?:[\x20\u00a0\u202f\u2011./()-]{0,2}[0-9]){6,14}(?![0-9A-Za-z])",
+    r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])",
+    rf"(?<![0-9A-Za-z])\((?!(?:19|20)[0-9]{{2}}\))(?=[0-9](?:[\x20\u00a0\u202f\u2011./)-]{{0,2}}[0-9]){{7}})[0-9]{{2,5}}\){_GAP}?[0-9]{{2,8}}(?:{_GAP}[0-9]{{2,8}}){{0,3}}(?![0-9A-Za-z])",
+    rf"(?<![0-9A-Za-z.,:+-])(?![0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{2,4}}(?![0-9]|[./-][0-9]))(?=0[0-9](?:{_GAP}?[0-9]){{7}})0[1-9][0-9]{{0,4}}{_GAP}[0-9](?:{_GAP}?[0-9]){{5,9}}(?![0-9A-Za-z]|[.,:-][0-9])",
+    r"(?<![0-9A-Za-z.,:-])[2-9][0-9]{2}[2-9][0-9]{6}(?![0-9A-Za-z]|[.,:-][0-9])",
+)
+PHONE = "|".join(f"(?:{p})" for p in _PHONES)
 PLUS = r"\+[0-9]{8,15}(?![0-9A-Za-z])"
 #: Titles that make what follows a name, by gender (f, m, or n for neither).
 TITLES = {
@@ -29,11 +41,16 @@ TITLES = {
     "n": ("Dr.", "Dr", "Prof.", "Professor"),
 }
 _ALL = sorted((t for own in TITLES.values() for t in own), key=lambda t: (-len(t), t))
-NAME = r"(?<!\p{L})(?:" + "|".join(t.replace(".", r"\.") for t in _ALL) + r")\x20\p{Lu}[\p{L}\p{M}'’-]+(?:\x20\p{Lu}[\p{L}\p{M}'’-]+){0,2}"
-KINDS = {"mail": MAIL, "iban": IBAN, "ip": IPV4, "ssn": SSN, "card": CARD, "phone": PHONE, "plus": PLUS, "name": NAME}
+#: Small words within a name, which stay as they are.
+PARTICLES = ("da", "das", "de", "del", "della", "den", "der", "des", "di", "do", "dos", "du", "el", "la", "las", "le", "los", "ten", "ter", "van", "vom", "von", "zu", "zum", "zur", "al", "bin", "ben", "ibn", "фон")
+_INITIALS = r"\p{Lu}\.(?:-?\p{Lu}\.){0,2}"
+_SMALL = r"(?:(?:" + "|".join(sorted(PARTICLES, key=lambda t: (-len(t), t))) + r")\x20){0,3}"
+_PART = rf"{_SMALL}(?:{_INITIALS}|\p{{Lu}}[\p{{L}}\p{{M}}'’-]*)"
+NAME = r"(?<!\p{L})(?:" + "|".join(t.replace(".", r"\.") for t in _ALL) + rf")\x20{_PART}(?:\x20{_PART}){{0,3}}"
+KINDS = {"mail": MAIL, "iban": IBAN, "ip": IPV4, "ip6": IPV6, "ssn": SSN, "card": CARD, "phone": PHONE, "plus": PLUS, "name": NAME}
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
-#: A quick test for texts that can't have an entity: no @, no four digits near each other, no title.
-MAYBE = r"@|[0-9][0-9().\x20+-]{5,}[0-9]|[A-Z]{2}[0-9]{2}|" + "|".join(t.replace(".", r"\.") for t in _ALL)
+#: A quick test for texts that can't have an entity: no @, no four digits near each other, no two colons, no title.
+MAYBE = r"@|[0-9][0-9()./\x20\u00a0\u202f\u2011+-]{5,}[0-9]|[A-Z]{2}[0-9]{2}|:[0-9A-Fa-f]{0,4}:|" + "|".join(t.replace(".", r"\.") for t in _ALL)
 
 #: First names and name endings by gender, and syllables, by script.
 FIRST = {
@@ -89,14 +106,14 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def _fill(form: Column, digits: Column) -> Column:
+def _fill(form: Column, digits: Column, sign: str = "[0-9]") -> Column:
     """``form`` with its digits replaced in turn."""
     return F.aggregate(
         F.split(form, ""),
         F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
         lambda acc, c: F.struct(
-            F.concat(acc["out"], F.when(c.rlike("[0-9]"), F.substring(digits, acc["at"], F.lit(1))).otherwise(c)).alias("out"),
-            (acc["at"] + c.rlike("[0-9]").cast("int")).alias("at"),
+            F.concat(acc["out"], F.when(c.rlike(sign), F.substring(digits, acc["at"], F.lit(1))).otherwise(c)).alias("out"),
+            (acc["at"] + c.rlike(sign).cast("int")).alias("at"),
         ),
         lambda acc: acc["out"],
     )
@@ -140,6 +157,23 @@ def _address(value: Column, key: str) -> Column:
     return let(F.split(value, r"\."), whole)
 
 
+def _long_address(value: Column, key: str) -> Column:
+    """An IPv6 address of the same form; its digits are shifted half by half, which is one-to-one on those of each length."""
+    of = lambda c: F.instr(F.lit("0123456789abcdef"), c) - 1
+
+    def turn(own: Column, h: Column) -> Column:
+        by = F.lower(F.lpad(F.hex(h), 16, "0"))
+        signs = F.filter(F.split(own, ""), lambda c: c != "")
+        return F.array_join(F.transform(signs, lambda c, i: F.substring(F.lit("0123456789abcdef"), (of(c) + of(F.substring(by, i + 1, F.lit(1)))) % 16 + 1, F.lit(1))), "")
+
+    def whole(d: Column) -> Column:
+        half = F.floor(F.length(d) / 2).cast("int")
+        return let(_split_rounds(F.substring(d, F.lit(1), half), F.substring(d, half + 1, F.length(d)), key, turn), lambda s: F.concat(s["l"], s["r"]))
+
+    low = F.lower(value)
+    return _fill(low, let(F.regexp_replace(low, ":", ""), whole), "[0-9a-f]")
+
+
 def _drawn(seed: Column, key: str, choices: tuple[str, ...], times: int) -> Column:
     """``times`` keyed draws from ``choices``, run together."""
     table = F.array(*[F.lit(c) for c in choices])
@@ -158,12 +192,12 @@ def _name(value: Column, key: str, extra: int) -> Column:
     people = F.split(F.substring(value, F.length(title) + 1, F.length(value)), " ")
 
     def styled(word: Column, made: Column) -> Column:
-        return F.when((F.upper(word) == word) & (F.length(word) > 1), F.upper(made)).otherwise(made)
+        return F.when((F.upper(word) == word) & (F.length(word) > 1) & ~word.contains("."), F.upper(made)).otherwise(made)
 
     def word(w: Column, first: Column, script: str, gender: str) -> Column:
         tail = F.initcap(_drawn(F.lower(w), key + "s", SYLLABLES[script], LEAST_SYLLABLES + extra))
         given = F.concat(_drawn(F.lower(w), key + gender, FIRST[script, gender], 1), F.concat(F.lit("-"), F.initcap(_drawn(F.lower(w), key + "x", SYLLABLES[script], extra))) if extra else F.lit(""))
-        return styled(w, F.when(first, given).otherwise(tail))
+        return F.when(w.isin(*PARTICLES), w).otherwise(styled(w, F.when(first, given).otherwise(tail)))
 
     def told(script: str, gender: str) -> Column:
         return F.array_join(F.transform(people, lambda w, i: word(w, (i == 0) & (F.size(people) > 1), script, gender)), " ")
@@ -186,11 +220,12 @@ def surrogate(value: Column, key: str, extra: int = 0) -> Column:
     """The stand-in of an entity; ``extra``: letters or syllables beyond the least."""
 
     def whole(kind: Column) -> Column:
-        keep = F.length(F.regexp_extract(value, r"^\+[0-9]{1,3}[\x20.(-]", 0))
+        keep = F.length(F.regexp_extract(value, r"^\+(?:[0-9]{1,3}[\x20\u00a0\u202f\u2011./(-]|[0-9])", 0))
         return (
             F.when(kind == "mail", _mail(value, key, extra))
             .when(kind == "iban", _number(value, F.lit(2), key))
             .when(kind == "ip", _address(value, key))
+            .when(kind == "ip6", _long_address(value, key))
             .when(kind == "ssn", _number(value, F.lit(0), key))
             .when(kind == "card", _card(value, key))
             .when(kind == "phone", _number(value, keep, key))
@@ -224,9 +259,29 @@ def enough_letters(docs: DataFrame, key: str) -> int:
         extra += 1
 
 
+def _told_words(names: Column) -> Column:
+    """Each word of ``names`` (array of value, made) and what stands for it, the longest first; no particles or initials."""
+    told = F.flatten(F.transform(names, lambda p: F.slice(F.arrays_zip(F.split(p["value"], " ").alias("word"), F.split(p["made"], " ").alias("made")), 2, 99)))
+    own = F.filter(told, lambda x: (F.length(x["word"]) > 1) & ~x["word"].contains(".") & ~x["word"].isin(*PARTICLES))
+    return F.transform(F.array_sort(F.transform(own, lambda x: F.struct((-F.length(x["word"])).alias("n"), x["word"].alias("word"), x["made"].alias("made")))), lambda x: F.struct(x["word"].alias("word"), x["made"].alias("made")))
+
+
+def _bare(piece: Column, known: Column) -> Column:
+    """``piece`` with the words ``known`` (array of word, made; not empty) replaced where they stand alone, and their number."""
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(known["word"], "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+
+    def whole(p: Column) -> Column:
+        parts = F.arrays_zip(F.split(piece, p, -1).alias("rest"), F.regexp_extract_all(piece, p, F.lit(0)).alias("word"))
+        made = lambda w: F.get(F.filter(known, lambda k: k["word"] == w), 0)["made"]
+        return F.struct(F.array_join(F.transform(parts, lambda x: F.concat(x["rest"], F.coalesce(made(x["word"]), F.lit("")))), "").alias("text"), F.size(F.filter(parts, lambda x: x["word"].isNotNull())).alias("n"))
+
+    return let(pattern, whole)
+
+
 def replace_entities(docs: DataFrame, key: str = "public-test-key") -> DataFrame:
     """Every personal entity in ``text`` replaced by its surrogate under ``key``; all other columns and rows as they came.
 
+    The words of a name found by its title are also replaced where they stand alone in the same text, by the same stand-ins.
     Adds the column ``entities`` (number replaced) in place of one of that name. Null text stays null with 0 entities; empty
     texts and texts without entities stay as they are. Repeated rows stay, and get the same surrogates. Empty table: no rows.
     Very long texts are treated whole. Surrogates depend on key and entity alone, not on row order or partitions.
@@ -235,10 +290,15 @@ def replace_entities(docs: DataFrame, key: str = "public-test-key") -> DataFrame
     extra = enough_letters(docs.select("text"), key)
     text = F.col("text")
     pairs = F.arrays_zip(F.split(text, ENTITY, -1).alias("piece"), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)).alias("value"))
-    told = F.struct(
-        F.array_join(F.transform(pairs, lambda p: F.concat(p["piece"], F.coalesce(surrogate(p["value"], key, extra), F.lit("")))), "").alias("text"),
-        F.size(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("n"),
-    )
+    made = F.transform(pairs, lambda p: F.struct(p["piece"].alias("piece"), p["value"].alias("value"), surrogate(p["value"], key, extra).alias("made")))
+
+    def bared(all_: Column, known: Column) -> Column:
+        piece = lambda p: F.when(F.size(known) > 0, _bare(p["piece"], known)).otherwise(F.struct(p["piece"].alias("text"), F.lit(0).alias("n")))
+        parts = F.transform(all_, lambda p: let(piece(p), lambda b: F.struct(F.concat(b["text"], F.coalesce(p["made"], F.lit(""))).alias("text"), (b["n"] + p["value"].isNotNull().cast("int")).alias("n"))))
+        return let(parts, lambda x: F.struct(F.array_join(x["text"], "").alias("text"), F.aggregate(x["n"], F.lit(0), lambda n, k: n + k).alias("n")))
+
+    is_name = lambda p: p["value"].isNotNull() & (kind_of(p["value"]) == "name")
+    told = let(made, lambda all_: let(_told_words(F.filter(all_, is_name)), lambda known: bared(all_, known)))
     same = F.struct(text.alias("text"), F.lit(0).alias("n"))
     new = F.when(text.rlike(MAYBE), told).otherwise(same)
     columns = [c for c in docs.columns if c != "entities"]

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loadloom.llm import decontaminate, language_id, line_crf, ngram_join, packing, pii, quality_rules, secrets, sharding, url_filter
 
@@ -367,6 +368,32 @@ def test_pii_surrogates(spark, rows):
     assert pii.replace_entities(docs.limit(0)).collect() == []
 
 
+def test_pii_of_wider_forms(spark):
+    leaks = {
+        "call (407)555-7710 now": "555-7710", "call +49 170 1234567 now": "1234567", "call +33 1 23 45 67 89 now": "23 45 67 89", "call 4075557710 now": "4075557710", "call 01 23 45 67 89 now": "23 45 67 89", "call (030) 1234567 now": "1234567",
+        "host 2001:db8::8a2e:370:7334 up": "8a2e", "host fe80:0:0:0:202:b3ff:fe1e:8329 up": "b3ff", "host fe80::1ff:fe23:4567:890a up": "fe23",
+        "to josé.núñez@ejemplo.es now": "josé", "to иван@почта.рф now": "иван", "to o'brien@example.com now": "brien",
+        "met Mr. J. Smith today": "Smith", "met Dr. Anna Maria de la Cruz today": "Cruz", "met Herr von Goethe today": "Goethe", "met Mr. J.R. Tolkien today": "Tolkien",
+        "Dr. Anna Weber said that Weber, and (Weber's) Anna": "Weber", "Weber came; Frau Weber-Klein left with Weber-Klein": "Klein",
+    }
+    plain = ["on 01.02.2024 12:30", "at 12:30:45 or 12:30:45:10", "std::vector a::b Dead::Beef", "since 1700000000 ticks", "(2019) 10 20 30", "pi 3.1415926535", "+5 10 points", "v 1.2.3", "mac 00:1b:44:11:3a:b7", "x@y at @home", "de la Cruz and Weber", "Mr. de", "in 2024-01-02 03"]
+    rows = [(i, t) for i, t in enumerate([*leaks, *plain])]
+    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, t), leak in zip(rows, leaks.values(), strict=False):
+        assert leak not in got[i].text and got[i].entities > 0, (t, got[i].text)
+    for i, t in rows[len(leaks) :]:
+        assert got[i].text == t and got[i].entities == 0, (t, got[i].text)
+    weber = got[list(leaks).index("Dr. Anna Weber said that Weber, and (Weber's) Anna")]
+    m = re.fullmatch(r"Dr. (\w+) (\w+) said that (\w+), and \((\w+)'s\) (\w+)", weber.text)
+    assert m[2] == m[3] == m[4] and m[1] == m[5] and weber.entities == 4
+    assert re.fullmatch(r"met Dr. \w+ \w+ de la \w+ today", got[list(leaks).index("met Dr. Anna Maria de la Cruz today")].text)
+
+
+def test_long_addresses_are_one_to_one(spark):
+    own = spark.range(5_000).selectExpr("concat('2001:db8::', lower(hex(id + 4096))) a")
+    assert own.select(pii.surrogate(own.a, "k").alias("p")).where(F.col("p").rlike("^[0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}$")).distinct().count() == 5_000
+
+
 def test_number_surrogates_are_one_to_one(spark):
     numbers = spark.range(10_000).selectExpr("lpad(id, 4, '0') d")
     assert numbers.select(pii.permuted(numbers.d, "k").alias("p")).distinct().count() == 10_000
