@@ -26,8 +26,6 @@ LONGEST_WORD = 64
 UNKNOWN = 1e-7
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
-#: Documents that each language is learned from, and languages that are learned.
-MOST_DOCUMENTS, MOST_LANGUAGES = 5_000, 256
 #: ASCII letters become lower case, other ASCII characters spaces; what lies beyond ASCII stays.
 LETTERS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
@@ -181,20 +179,16 @@ def predict(model):
     return run
 
 
-def fit(docs: DataFrame, path: str, most_documents: int = MOST_DOCUMENTS, most_languages: int = MOST_LANGUAGES) -> Model:
-    """Piece shares of each language in ``docs`` (doc_id, lang, text), from at most about ``most_documents`` of its documents.
+def fit(docs: DataFrame, path: str) -> Model:
+    """Piece shares of each language in ``docs`` (doc_id, lang, text), from all of its documents.
 
-    Documents are chosen by the hash of their ids, so the choice is the same wherever they lie. Each task sends one row for
-    each language and piece. Of over ``most_languages`` values of lang, those with the fewest documents are not learned.
+    Each task sends one row for each language and piece. Every value of lang is learned.
     """
-    sizes = docs.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    languages = sorted(r["lang"] for r in sizes)
+    languages = sorted(r["lang"] for r in docs.where("lang is not null").select("lang").distinct().collect())
     table = np.zeros((len(languages), processor(path).vocab_size()))
     if languages:
-        whole = 1 << 30
-        share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(whole, most_documents * whole // r["count"]))])
-        chosen = docs.where(F.col("lang").isin(languages) & (F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < F.element_at(share, F.col("lang"))) & F.col("text").isNotNull()).select("lang", "text")
-        counts = chosen.mapInArrow(count_pieces(path), "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+        known = docs.where("lang is not null and text is not null").select("lang", "text")
+        counts = known.mapInArrow(count_pieces(path), "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
         at = {lang: i for i, lang in enumerate(languages)}
         for r in counts.collect():  # at most languages times vocabulary rows
             table[at[r["lang"]], r["piece"]] = r["n"]

@@ -189,6 +189,17 @@ def test_language_id_edges(spark):
     assert all(r.lang_pred == "und" for r in language_id.identify_languages(docs.withColumn("lang", docs.lang.substr(1, 0)).where("false").union(docs.withColumn("lang", docs.text.substr(0, 0)).where("lang is null"))).collect())
 
 
+def test_language_id_learns_every_language_and_document(spark):
+    rows = [(k, "the of and", f"l{k % 300:03d}") for k in range(600)] + [(1000 + k, "der die und", "l000") for k in range(6000)]
+    docs = spark.createDataFrame([(i, lang, t) for i, t, lang in rows], "doc_id long, lang string, text string")
+    model = language_id.fit(docs, language_id.vocabulary_path())
+    assert len(model.languages) == 300
+    sp = language_id.processor(model.path)
+    n = 6000 * len(sp.encode("und")) + sum(len(sp.encode(w)) for w in ("der", "die")) * 6000 + 2 * sum(len(sp.encode(w)) for w in ("the", "of", "and"))
+    piece = sp.encode("und")[-1]
+    assert model.share[piece, 0] == pytest.approx((6000 * sp.encode("und").count(piece) + 0.1) / (n + 0.1 * sp.vocab_size()))
+
+
 def test_forward_sums_all_segmentations():
     model = language_id.Model(["a", "b"], np.random.default_rng(2).integers(0, 5, (2, language_id.processor(language_id.vocabulary_path()).vocab_size())).astype(float), language_id.vocabulary_path())
     scorer = language_id.Scorer(model)
