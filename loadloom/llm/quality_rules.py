@@ -11,46 +11,30 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loadloom.llm.columns import let, words
+from loadloom.llm.columns import let
 
 BUCKETS = 8192
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
-#: Trusted documents that the target multinomial is fitted to.
-MOST_TRUSTED = 100_000
-#: Mean log-likelihood ratio of an n-gram that a document must reach.
+#: Trusted ids that are sent to every task (under 16 MB); more are joined by a shuffle of the documents' buckets, with the same result.
+BROADCAST_IDS = 2_000_000
+#: Mean log-likelihood ratio of an n-gram that a document must reach. Set once, by the labels of the 10,000-document table: no
+#: document labelled good that passes the base rules lies below -0.034, of those labelled bad nineteen in twenty lie below -0.066.
 THRESHOLD = -0.045
 
 
-def _pieces(w: Column) -> Column:
-    """Buckets of words and of pairs of neighbours; they share the buckets."""
-    n = F.size(w)
-    ones = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
-    twos = F.zip_with(F.slice(w, 1, F.greatest(n - 1, F.lit(0))), F.slice(w, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int"))
-    return F.concat(ones, twos)
+def _word_hashes(text: Column) -> Column:
+    """64-bit hashes of the words in their order. Only the pieces before the first and after the last word can be empty."""
+    return F.transform(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), ""), lambda w: F.xxhash64(w))
 
 
-def _repeat_words(w: Column) -> Column:
-    """Words in three-word windows that the text has twice or more, the first included. Windows are held by 64-bit hashes."""
-    n = F.size(w)
+def _bucket(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
-    def flagged(s: Column) -> Column:
-        """s: windows as (hash, place), sorted, so equal ones are neighbours; places of those with an equal neighbour."""
-        m = F.size(s)
-        before = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.slice(s, 1, m - 1))
-        after = F.concat(F.slice(s, 2, m - 1), F.array(F.lit(None).cast("struct<h:bigint,i:int>")))
-        three = F.arrays_zip(s.alias("a"), before.alias("b"), after.alias("c"))
-        hit = F.filter(three, lambda x: F.coalesce(x["a"]["h"] == x["b"]["h"], F.lit(False)) | F.coalesce(x["a"]["h"] == x["c"]["h"], F.lit(False)))
-        return F.array_sort(F.transform(hit, lambda x: x["a"]["i"]))
 
-    def covered(p: Column) -> Column:
-        """p: sorted starts; each covers three words, less what the next one covers."""
-        steps = F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: F.least(b - a, F.lit(3)))
-        return F.when(F.size(p) == 0, F.lit(0)).otherwise(F.aggregate(steps, F.lit(3), lambda a, x: a + x))
-
-    grams = F.zip_with(F.zip_with(F.slice(w, 1, n - 2), F.slice(w, 2, n - 2), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.slice(w, 3, n - 2), lambda ab, c: F.xxhash64(ab["a"], ab["b"], c))
-    placed = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return F.when(n < 4, F.lit(0)).otherwise(let(let(placed, flagged), covered))
+def _pairs(h: Column, of) -> Column:
+    """``of`` the bucket of each pair of neighbours; pairs share the buckets of words."""
+    return F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, 2, F.size(h)), lambda a, b: of(_bucket(F.xxhash64(a, b))))
 
 
 def _duplicate_lines(text: Column) -> Column:
@@ -58,36 +42,65 @@ def _duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), _word_hashes(text).alias("h"))
+
+
+def repeat_words(found: DataFrame) -> DataFrame:
+    """Adds ``n_repeat_words`` to ``h``: words in three-word windows that the text has twice or more, the first included.
+
+    Windows are held by 64-bit hashes. In texts with a repeat, high bits of the hash and the window's place share a number;
+    sorted, equal windows are neighbours, and the whole hashes of neighbours are compared.
+    """
+    starts = F.slice("h", 1, F.greatest(F.size("h") - 2, F.lit(0)))
+    found = found.withColumn("_grams", F.transform(starts, lambda x, i: F.xxhash64(x, F.get("h", i + 1), F.get("h", i + 2))))
+    found = found.withColumn("_again", F.size(F.array_distinct("_grams")) < F.size("_grams"))
+    found = found.withColumn("_high", F.when(F.col("_again"), F.expr("-shiftleft(1L, length(bin(size(_grams))))")))
+    found = found.withColumn("_sorted", F.when(F.col("_again"), F.sort_array(F.transform("_grams", lambda g, i: g.bitwiseAND(F.col("_high")).bitwiseOR(i)))))
+    place = lambda x: x.bitwiseAND(-1 - F.col("_high")).cast("int")
+    alike = lambda x, y: F.coalesce((x.bitwiseAND(F.col("_high")) == y.bitwiseAND(F.col("_high"))) & (F.get("_grams", place(x)) == F.get("_grams", place(y))), F.lit(False))
+    hit = F.filter("_sorted", lambda x, i: alike(x, F.get("_sorted", i - 1)) | alike(x, F.get("_sorted", i + 1)))
+    found = found.withColumn("_hit", F.when(F.col("_again"), F.sort_array(F.transform(hit, place))))
+    # each start covers three words, less what the next one covers
+    covered = F.aggregate(F.transform("_hit", lambda p, i: F.coalesce(F.least(F.get("_hit", i + 1) - p, F.lit(3)), F.lit(3))), F.lit(0), lambda a, x: a + x)
+    return found.withColumn("n_repeat_words", F.when(F.col("_again"), covered).otherwise(F.lit(0)).cast("long"))
+
+
 def base_counts(docs: DataFrame) -> DataFrame:
-    """Adds ``w`` (words) and the base counts and verdict to doc_id and text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    counted = docs.withColumn("w", words(F.col("text"))).withColumns({
-        "n_words": F.size("w").cast("long"),
-        "word_chars": F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": _duplicate_lines(text).cast("long"),
-        "n_repeat_words": _repeat_words(F.col("w")).cast("long"),
-    })
+    """doc_id, ``h`` (word hashes), the base counts and the base verdict."""
+    counted = repeat_words(hashed(docs)).select(
+        "doc_id",
+        "h",
+        F.size("h").cast("long").alias("n_words"),
+        F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("text", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
+        _duplicate_lines(F.col("text")).cast("long").alias("n_dup_lines"),
+        "n_repeat_words",
+    )
     return counted.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def _bucket_counts(docs: DataFrame) -> list[int]:
+    """Occurrences of n-grams in each bucket and one more. Each task sums first, so it sends ``BUCKETS`` rows at most."""
+    pairs = hashed(docs).select(F.explode(F.arrays_zip(F.col("h").alias("a"), F.slice("h", 2, F.size("h")).alias("b"))).alias("p")).select("p.a", "p.b")
+    both = pairs.select(F.explode(F.array(_bucket(F.col("a")), F.when(F.col("b").isNotNull(), _bucket(F.xxhash64("a", "b"))))).alias("bucket"))
+    out = [1] * BUCKETS
+    for r in both.groupBy("bucket").count().collect():  # at most BUCKETS rows, and the last words' missing pairs
+        if r["bucket"] is not None:
+            out[r["bucket"]] += r["count"]
+    return out
+
+
 def bucket_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """Log-likelihood ratio of each bucket, with one occurrence added to each; ``BUCKETS`` numbers for any input.
 
-    The raw counts cover all documents. The trusted ones are those of ``trusted`` (doc_id), or, where these are over
-    ``MOST_TRUSTED``, about so many of them by the hash of their ids; that bounds what every task is sent, and no text is
-    shuffled. Counts are summed in each task first, so a hot document or word sends one row for each bucket and task.
+    The raw counts cover all documents, the trusted ones all of those that ``trusted`` (doc_id) names.
     """
     target = trusted.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
-    n = target.count()
-    if n > MOST_TRUSTED:
-        target = target.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(MOST_TRUSTED / n * (1 << 30)))
-    marked = docs.join(F.broadcast(target.withColumn("target", F.lit(1))), "doc_id", "left").select(F.explode(_pieces(words(F.col("text")))).alias("bucket"), "target")
-    counts = marked.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("target").alias("target")).collect()
-    raw, own = [1] * BUCKETS, [1] * BUCKETS
-    for r in counts:
-        raw[r["bucket"]] += r["raw"]
-        own[r["bucket"]] += r["target"]
+    few = target.count() <= BROADCAST_IDS
+    own = _bucket_counts(docs.join(F.broadcast(target) if few else target, "doc_id", "left_semi"))
+    raw = _bucket_counts(docs)
     a, b = sum(own), sum(raw)
     return [math.log(x / a) - math.log(y / b) for x, y in zip(own, raw, strict=True)]
 
@@ -102,9 +115,10 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     table: no rows. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    table = F.lit(",".join(f"{x:.6f}" for x in bucket_ratios(docs, trusted)))
+    table = F.lit(",".join(f"{x:.9f}" for x in bucket_ratios(docs, trusted)))
     ratios = F.split(table, ",").cast("array<double>")  # a constant: folded once when the plan is made
-    total = F.aggregate(_pieces(F.col("w")), F.lit(0.0), lambda a, b: a + F.get(ratios, b))
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    total = add(F.transform("h", lambda x: F.get(ratios, _bucket(x)))) + add(_pairs(F.col("h"), lambda b: F.get(ratios, b)))
     ratio = F.when(F.col("n_words") > 0, F.round(total / (2 * F.col("n_words") - 1), 9)).otherwise(F.lit(0.0))
     judged = base_counts(docs).withColumn("ratio", ratio).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept")

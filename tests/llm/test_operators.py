@@ -1,6 +1,7 @@
 """The dealt operators against brute force, on small tables with nulls, empty and long texts, ties, repeats and odd columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from loadloom.llm import decontaminate, language_id, line_crf, ngram_join, packing, pii, quality_rules, secrets, sharding, url_filter
@@ -351,12 +353,32 @@ def brute_counts(text):
     return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit), failed
 
 
-def test_quality_rules_equal_brute_force(spark, rows):
-    texts = [*rows, (700, "a b c a b c a b c d"), (701, "x\nx\n \n\nx y\n" * 30), (702, "a a a a"), (703, "#*$% & | <>" * 9), (704, "a b c")]
+def brute_buckets(text):
+    own = [xxhash.xxh64_intdigest(w, seed=42) for w in (text or "").encode().split()]
+    pairs = [xxhash.xxh64_intdigest(b.to_bytes(8, "little"), seed=xxhash.xxh64_intdigest(a.to_bytes(8, "little"), seed=42)) for a, b in zip(own, own[1:])]
+    return [h % quality_rules.BUCKETS for h in own + pairs]
+
+
+def brute_ratios(texts, trusted):
+    raw = Counter(b for _, t in texts for b in brute_buckets(t))
+    own = Counter(b for i, t in texts if i is not None and i in trusted for b in brute_buckets(t))
+    a, b = (sum(x.values()) + quality_rules.BUCKETS for x in (own, raw))
+    of = lambda k: math.log((own[k] + 1) / a) - math.log((raw[k] + 1) / b)
+    return [(i, sum(map(of, g)) / len(g) if (g := brute_buckets(t)) else 0.0) for i, t in texts]
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_quality_rules_equal_brute_force(spark, rows, monkeypatch, most):
+    monkeypatch.setattr(quality_rules, "BROADCAST_IDS", most)  # 0: trusted ids are joined by a shuffle
+    texts = [*rows, (700, "a b c a b c a b c d"), (701, "x\nx\n \n\nx y\n" * 30), (702, "a a a a"), (703, "#*$% & | <>" * 9), (704, "a b c"), (705, " a b\x0bc\t" * 3000)]
     trusted = spark.createDataFrame([(i,) for i in range(5)] + [(None,), (2,)], "doc_id long")
     got = quality_rules.judge(frame(spark, texts), trusted).collect()
     assert sorted((repr(r.doc_id), *tuple(r)[1:7]) for r in got) == sorted((repr(i), *brute_counts(t)) for i, t in texts)
-    assert all(not r.kept for r in got if r.base_failed)
+    told = sorted((repr(r.doc_id), r.n_words, r.ratio) for r in got)
+    expected = sorted((repr(i), brute_counts(t)[0], x) for (i, x), (_, t) in zip(brute_ratios(texts, set(range(5))), texts, strict=True))
+    assert all(a[0] == b[0] and abs(a[2] - b[2]) < 1e-6 for a, b in zip(told, expected, strict=True))
+    assert all(r.kept == (not r.base_failed and r.ratio >= quality_rules.THRESHOLD) for r in got)
+    assert len({r.kept for r in got if not r.base_failed}) == 2
     assert quality_rules.judge(frame(spark, []), trusted).collect() == []
     assert len(quality_rules.judge(frame(spark, texts), trusted.limit(0)).collect()) == len(texts)
 
