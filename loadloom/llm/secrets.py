@@ -13,7 +13,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loadloom.llm.columns import let, matches
+from loadloom.llm.columns import let, matches, running
 from loadloom.session import materialize
 
 #: The base patterns. Kinds are in the order in which spans at one place are listed.
@@ -86,6 +86,42 @@ def token_p_value(token: Column) -> Column:
     return F.when(token.rlike("^[0-9]+$"), F.lit(1.0)).otherwise(out)
 
 
+def bin_of(p: Column) -> Column:
+    """Tenths of a decade that a p-value lies under 1."""
+    return F.least(F.lit(MOST_BINS), F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * BINS_A_DECADE)).cast("int")
+
+
+def least_bin(counts: dict[int, int], rate: float) -> int:
+    """Benjamini-Hochberg on binned p-values: the lowest bin whose upper end is at most ``rate`` times the share of p-values in it or above."""
+    total, above, cut = sum(counts.values()), 0, MOST_BINS + 1
+    for b in sorted(counts, reverse=True):
+        above += counts[b]
+        if b and 10 ** (-b / BINS_A_DECADE) <= rate * above / total:
+            cut = b
+    return cut
+
+
+def apart(tokens: Column, base: Column) -> Column:
+    """``tokens`` (start, end, value) that overlap no span of ``base``.
+
+    Both are put in order of their starts. A token is apart if no base span up to it ends beyond its start and the next base
+    span does not start before its end.
+    """
+    spans = F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("token"), b["end"].alias("end"), F.lit(None).cast("string").alias("value"))),
+        F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), F.lit(1).alias("token"), t["end"].alias("end"), t["value"].alias("value"))),
+    )
+
+    def judged(s: Column) -> Column:
+        reached = running(F.transform(s, lambda x: F.when(x["token"] == 0, x["end"]).otherwise(F.lit(0))), F.greatest)
+        ahead = F.reverse(running(F.reverse(F.transform(s, lambda x: F.when(x["token"] == 0, x["start"]))), F.least))
+        three = F.arrays_zip(s.alias("x"), reached.alias("reached"), ahead.alias("ahead"))
+        alone = F.filter(three, lambda y: (y["x"]["token"] == 1) & (y["reached"] <= y["x"]["start"]) & F.coalesce(y["ahead"] >= y["x"]["end"], F.lit(True)))
+        return F.transform(alone, lambda y: F.struct(y["x"]["start"].alias("start"), y["x"]["end"].alias("end"), y["x"]["value"].alias("value")))
+
+    return F.when((F.size(tokens) == 0) | (F.size(base) == 0), tokens).otherwise(let(F.sort_array(spans), judged))
+
+
 def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     """Spans of secrets in every text of ``docs`` (doc_id, text), with false discoveries among the random tokens held to ``rate``.
 
@@ -94,8 +130,9 @@ def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     dropped. Random tokens that overlap one of these are not listed again.
 
     Null text is read as empty; no words or no secrets give an empty array. Repeated rows are each returned. Empty table: no
-    rows. Other columns are not read. The threshold comes from a histogram of p-values over all documents, one row for each
-    tenth of a decade, so neither ties nor the number of tokens matter to it.
+    rows. Very long texts are read whole, and their matches take n log n steps. Other columns are not read. The threshold comes
+    from a histogram of p-values over all documents, one row for each tenth of a decade, so neither ties nor the number of
+    tokens matter to it.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     span = lambda k: lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("order"), m["end"].alias("end"), F.lit(KINDS[k]).alias("kind"))
@@ -105,21 +142,12 @@ def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
         F.transform(matches(text, HEX), span(2)),
     )
     found = docs.select(F.col("doc_id").cast("long"), base.alias("base"), matches(text, TOKEN).alias("tokens"))
-    apart = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     scored = F.transform(
-        apart,
-        lambda t: F.struct(
-            t["start"].alias("start"),
-            t["end"].alias("end"),
-            F.least(F.lit(MOST_BINS), F.floor(-F.log10(F.greatest(token_p_value(t["value"]), F.lit(1e-300))) * BINS_A_DECADE)).cast("int").alias("bin"),
-        ),
+        apart(F.col("tokens"), F.col("base")),
+        lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), bin_of(token_p_value(t["value"])).alias("bin")),
     )
     found = materialize(found.select("doc_id", "base", scored.alias("tokens")), "secrets")
     bins = found.select(F.explode("tokens.bin").alias("bin")).groupBy("bin").count().collect()  # at most MOST_BINS + 1 rows
-    total, above, cut = sum(r["count"] for r in bins), 0, MOST_BINS + 1
-    for r in sorted(bins, key=lambda r: -r["bin"]):
-        above += r["count"]
-        if r["bin"] and 10 ** (-r["bin"] / BINS_A_DECADE) <= rate * above / total:
-            cut = r["bin"]
+    cut = least_bin({r["bin"]: r["count"] for r in bins}, rate)
     random = F.transform(F.filter("tokens", lambda t: t["bin"] >= cut), span(3))
-    return found.select("doc_id", F.array_sort(F.concat("base", random)).alias("spans"))
+    return found.select("doc_id", F.sort_array(F.concat("base", random)).alias("spans"))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -202,22 +203,29 @@ def test_language_id_learns_every_language_and_document(spark):
     assert model.share[piece, 0] == pytest.approx((6000 * sp.encode("und").count(piece) + 0.1) / (n + 0.1 * sp.vocab_size()))
 
 
-def test_forward_sums_all_segmentations():
-    model = language_id.Model(["a", "b"], np.random.default_rng(2).integers(0, 5, (2, language_id.processor(language_id.vocabulary_path()).vocab_size())).astype(float), language_id.vocabulary_path())
+def test_texts_sum_all_segmentations():
+    """Whole texts, digits, signs and long words among them, against a plain recursion without cuts, scaling or batches."""
+    path = language_id.vocabulary_path()
+    model = language_id.Model(["a", "b"], np.random.default_rng(2).integers(0, 5, (2, language_id.processor(path).vocab_size())).astype(float), path)
     scorer = language_id.Scorer(model)
-
-    def total(s):
-        if not s:
-            return np.ones(2)
-        out = total(s[1:]) * language_id.UNKNOWN
-        for n in range(1, len(s) + 1):
-            if s[:n] in scorer.pieces:
-                out = out + scorer.share[scorer.pieces[s[:n]]] * total(s[n:])
-        return out
-
-    for word in ("therein", "ñandú", "a", "überall"):
-        assert np.allclose(np.exp(scorer.forward(["▁" + word])[0]), total("▁" + word))
-    assert np.allclose(scorer.forward(["▁" + "therein" * 8, "▁" + "thought" * 8]), [scorer.forward(["▁" + w * 8])[0] for w in ("therein", "thought")])
+    assert not scorer.table.size
+
+    def total(word):
+        logs = [np.zeros(2)]
+        for end in range(1, len(word) + 1):
+            ways = [logs[-1] + np.log(language_id.UNKNOWN)]
+            ways += [logs[k] + np.log(scorer.share[scorer.pieces[word[k:end]]]) for k in range(end) if word[k:end] in scorer.pieces]
+            logs.append(np.logaddexp.reduce(ways, axis=0))
+        return logs[-1]
+
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefghijklmnop") for _ in range(140))
+    texts = ["therein", "a", "Überall (house), it's 12-34 x_y", long, f"({long}), {long}", "x" * 3000, "日本語の文章" * 40, "a▁b ▁c .… …] «.» é\u0301", "É\x0bx\x1cy z"] + ["therein thought"] * 2
+    for t, got in zip(texts, scorer.texts(texts), strict=True):
+        assert np.allclose(got, sum(total("▁" + w) for w in t.lower().replace("▁", " ").split()), rtol=1e-9)
+    one = next(scorer.texts([long]))
+    scorer.most_rows = 1  # forgets and computes again
+    assert np.allclose(one, next(scorer.texts([long])))
 
 
 def test_sharding_keeps_every_row(spark, rows, tmp_path):
@@ -343,6 +351,73 @@ def test_secrets_after_a_name(spark, rows):
     assert not any(got[i] for i, _ in plain)
 
 
+def brute_p_value(token):
+    """The battery by its textbook formulas; 1 where it says that a token is not random."""
+    plain = token.replace("-", "+").replace("_", "/")
+    if re.fullmatch("[0-9]+", token):
+        return 1.0
+    for pattern, alphabet, share in (secrets.ENCODINGS[k] for k in ("hex", "base32", "base64")):
+        if re.match(pattern, plain):
+            break
+    else:
+        return 1.0
+    v = [alphabet.index(c) for c in (plain.lower() if len(alphabet) == 16 else plain).rstrip("=")]
+    n, k = len(v), len(alphabet)
+    chi = sum((v.count(s) - n / k) ** 2 / (n / k) for s in range(k))
+    high = [x >= k // 2 for x in v]
+    n1, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:]))
+    expected = 2 * n1 * (n - n1) / n + 1
+    variance = (expected - 1) * (expected - 2) / (n - 1)
+    mean = sum(v) / n
+    around = sum((x - mean) ** 2 for x in v)
+    z_runs = (runs - expected) / variance**0.5 if variance > 0 else 10.0
+    z_serial = (sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / around + 1 / n) * n**0.5 if around > 0 else 10.0
+    z_chi = (chi - (k - 1)) / (2 * (k - 1) * (n - 1) / n) ** 0.5
+    if z_chi**2 + z_runs**2 + z_serial**2 > secrets.BATTERY_LIMIT:
+        return 1.0
+    extra = n * (k * share - 1)
+    z = (chi - (k - 1) - extra) / (2 * (k - 1 + 2 * extra)) ** 0.5
+    return min(1.0, math.exp(-z * z / 2) / (-z * (2 * math.pi) ** 0.5)) if z < -1 else 1.0
+
+
+def brute_tokens(text):
+    base = brute_base(text)
+    found = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}(?:=+(?![=A-Za-z0-9+/_-]))?", text or "")]
+    return [t for t in found if not any(b[0] < t[1] and t[0] < b[2] for b in base)]
+
+
+def test_p_values_and_false_discovery_cut(spark, rows):
+    rng = random.Random(12)
+    signs = [secrets.ENCODINGS[k][1] for k in ("hex", "base32", "base64")]
+    texts = list(rows)
+    for k in range(120):
+        own = rng.choice([*signs, signs[0].upper(), "aeinort", "0123456789", "abcdefghijklmnopqrstuvwxyz-_"])
+        token = "".join(rng.choice(own) for _ in range(rng.randrange(20, 70))) + "=" * rng.choice([0, 0, 1])
+        texts.append((1000 + k, f"see {token} and token={token[:14]} {token[::-1]}, {'a' * rng.randrange(30)}"))
+    tokens = sorted({t[2] for _, text in texts for t in brute_tokens(text)})
+    frame_ = spark.createDataFrame([(t,) for t in tokens], "t string")
+    for r in frame_.select("t", secrets.token_p_value(frame_.t).alias("p")).collect():
+        assert r.p == pytest.approx(brute_p_value(r.t), rel=1e-9), r.t
+    p_values = sorted(brute_p_value(t[2]) for _, text in texts for t in brute_tokens(text))
+    bins = [min(secrets.MOST_BINS, math.floor(-math.log10(p) * secrets.BINS_A_DECADE)) for p in p_values]
+    fits = [b for b in bins if b and 10 ** (-b / secrets.BINS_A_DECADE) <= 0.01 * sum(x >= b for x in bins) / len(bins)]
+    cut = min(fits, default=math.inf)
+    expected = sorted((repr(i), [(s, e) for (s, e, t) in brute_tokens(text) if (p := brute_p_value(t)) < 1 and math.floor(-math.log10(p) * secrets.BINS_A_DECADE) >= cut]) for i, text in texts)
+    got = secrets.find_secrets(frame(spark, texts)).collect()
+    assert sorted((repr(r.doc_id), [(s["start"], s["end"]) for s in r.spans if s["kind"] == "random"]) for r in got) == expected
+    assert sum(len(x) for _, x in expected) > 20
+
+
+def test_secrets_of_a_megabyte(spark):
+    rng = random.Random(13)
+    text = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(17)) + (" pass" if k % 3 else " an_ordinary_long_name_of_a_thing") for k in range(40_000))
+    docs = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(docs).collect()}
+    assert time.time() - began < 60
+    assert [(s["start"], s["order"], s["end"], s["kind"]) for s in got[1] if s["kind"] != "random"] == brute_base(text)
+
+
 def brute_counts(text):
     t = text or ""
     w = [x.decode() for x in t.encode().split()]
