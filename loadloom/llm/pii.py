@@ -1,14 +1,17 @@
 """PII surrogates: keyed, type-consistent stand-ins for personal data. DataFrame functions only.
 
-Entities are found by pattern. Each gets a stand-in that depends on the key and the entity alone, so one person stays one
-person across the corpus. Digits of numbers are permuted by a keyed Feistel network over all numbers of that length, which
-is one-to-one, so different numbers in one format never meet; country codes, separators and check digits stay valid. Names
-and mail addresses get made-up ones of the same gender, script, case and length of words, drawn by keyed hash; the distinct
-entities of the corpus are checked for stand-ins that meet, or that are another entity, and while any do, all get longer ones.
+Entities are found by pattern and taken apart into units: a mail address, a number's digits, each word of a name. A unit's
+stand-in depends on the key and the unit alone, so one person stays one person whatever the title, and one number stays one
+number however it is grouped. Digits are permuted by a keyed Feistel network over all numbers of their length, which is
+one-to-one; country codes, separators and check digits stay valid. Name words become made-up ones of the same script, case
+and (for known given names) gender. The distinct units of the corpus are checked: a stand-in that two units share, or that is
+another unit itself, is drawn again for the one unit concerned, and the texts that hold it are told.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loadloom.llm.columns import let
@@ -34,70 +37,75 @@ _PHONES = (
 )
 PHONE = "|".join(f"(?:{p})" for p in _PHONES)
 PLUS = r"\+[0-9]{8,15}(?![0-9A-Za-z])"
-#: Titles that make what follows a name, by gender (f, m, or n for neither).
-TITLES = {
-    "f": ("Mrs.", "Mrs", "Ms.", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Sra.", "Госпожа", "Κυρία"),
-    "m": ("Mr.", "Mr", "Herr", "Monsieur", "Señor", "Sr.", "Господин", "Κύριος"),
-    "n": ("Dr.", "Dr", "Prof.", "Professor"),
-}
-_ALL = sorted((t for own in TITLES.values() for t in own), key=lambda t: (-len(t), t))
+#: Titles that make what follows a name.
+TITLES = (
+    "Mr.", "Mr", "Mrs.", "Mrs", "Ms.", "Ms", "Mx.", "Miss", "Sir", "Dr.", "Dr", "Prof.", "Professor", "Rev.", "Capt.", "Sgt.",
+    "Frau", "Herr", "Hr.", "Fr.", "Madame", "Mme", "Mme.", "Mademoiselle", "Mlle", "Monsieur", "Señor", "Señora", "Señorita", "Sr.", "Sra.", "Srta.", "Doña",
+    "Signor", "Signora", "Sig.", "Sig.ra", "Dott.", "Senhor", "Senhora", "Mevrouw", "Meneer", "Pan", "Pani",
+    "Госпожа", "Господин", "Доктор", "Профессор", "Κυρία", "Κύριος", "Κύριε",
+)
+_TITLE = "(?:" + "|".join(t.replace(".", r"\.") for t in sorted(TITLES, key=lambda t: (-len(t), t))) + ")"
 #: Small words within a name, which stay as they are.
 PARTICLES = ("da", "das", "de", "del", "della", "den", "der", "des", "di", "do", "dos", "du", "el", "la", "las", "le", "los", "ten", "ter", "van", "vom", "von", "zu", "zum", "zur", "al", "bin", "ben", "ibn", "фон")
 _INITIALS = r"\p{Lu}\.(?:-?\p{Lu}\.){0,2}"
 _SMALL = r"(?:(?:" + "|".join(sorted(PARTICLES, key=lambda t: (-len(t), t))) + r")\x20){0,3}"
 _PART = rf"{_SMALL}(?:{_INITIALS}|\p{{Lu}}[\p{{L}}\p{{M}}'’-]*)"
-NAME = r"(?<!\p{L})(?:" + "|".join(t.replace(".", r"\.") for t in _ALL) + rf")\x20{_PART}(?:\x20{_PART}){{0,3}}"
+NAME = rf"(?<!\p{{L}}){_TITLE}\x20{_PART}(?:\x20{_PART}){{0,3}}"
+#: Two or more capitalised words in a row: where a name that is known by a title elsewhere may stand without one.
+ROW = rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){_PART}(?:\x20{_PART})+"
 KINDS = {"mail": MAIL, "iban": IBAN, "ip": IPV4, "ip6": IPV6, "ssn": SSN, "card": CARD, "phone": PHONE, "plus": PLUS, "name": NAME}
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A quick test for texts that can't have an entity: no @, no four digits near each other, no two colons, no title.
-MAYBE = r"@|[0-9][0-9()./\x20\u00a0\u202f\u2011+-]{5,}[0-9]|[A-Z]{2}[0-9]{2}|:[0-9A-Fa-f]{0,4}:|" + "|".join(t.replace(".", r"\.") for t in _ALL)
-
-#: First names and name endings by gender, and syllables, by script.
-FIRST = {
-    ("latin", "f"): ("Anna", "Clara", "Elena", "Laura", "Maria", "Nora", "Sofia", "Vera"),
-    ("latin", "m"): ("Adam", "David", "Erik", "Jonas", "Lucas", "Martin", "Oscar", "Simon"),
-    ("latin", "n"): ("Alex", "Andrea", "Charlie", "Kim", "Noa", "Robin", "Sam", "Sascha"),
-    ("cyrillic", "f"): ("Анна", "Вера", "Елена", "Ирина", "Мария", "Нина", "Ольга", "София"),
-    ("cyrillic", "m"): ("Антон", "Борис", "Виктор", "Иван", "Максим", "Олег", "Павел", "Сергей"),
-    ("cyrillic", "n"): ("Валя", "Женя", "Миша", "Нико", "Паша", "Саша", "Слава", "Шура"),
-    ("greek", "f"): ("Άννα", "Ελένη", "Ζωή", "Ειρήνη", "Κλειώ", "Μαρία", "Νίκη", "Σοφία"),
-    ("greek", "m"): ("Άρης", "Γιάννης", "Δήμος", "Κώστας", "Νίκος", "Πέτρος", "Σπύρος", "Φίλιππος"),
-    ("greek", "n"): ("Άρη", "Δάφνη", "Θάλη", "Κάρμα", "Λίνη", "Μάνη", "Ρένη", "Χάρη"),
+MAYBE = rf"@|[0-9][0-9()./\x20\u00a0\u202f\u2011+-]{{5,}}[0-9]|[A-Z]{{2}}[0-9]{{2}}|:[0-9A-Fa-f]{{0,4}}:|(?<!\p{{L}}){_TITLE}\x20"
+#: Country codes after a plus (E.164); those not listed have three digits.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+#: Given names that tell a gender.
+GIVEN = {
+    "f": "Alice Amelia Amy Andrea Angela Anita Anna Anne Barbara Carla Carmen Carol Caroline Catherine Charlotte Chiara Christina Clara Claire Claudia Diana Elena Elisabeth Elizabeth Ella Emily Emma Eva Eve Francesca Giulia Grace Hannah Heidi Helen Ines Ingrid Irene Isabel Jane Jennifer Jessica Joan Judith Julia Karen Kate Katherine Laura Linda Lisa Louise Lucia Lucy Margaret Maria Marie Marta Martha Mary Mia Michelle Monica Nancy Natalie Nora Olga Olivia Pamela Patricia Paula Rachel Rebecca Rosa Ruth Sandra Sara Sarah Silvia Sofia Sonia Sophie Susan Teresa Ursula Valentina Vera Victoria Анна Вера Елена Ирина Мария Наталья Нина Ольга София Татьяна Άννα Ελένη Ειρήνη Μαρία Σοφία Αικατερίνη".split(),
+    "m": "Adam Albert Alexander Alfred Andrew Anthony Antonio Arthur Benjamin Bernard Brian Carl Carlos Charles Christopher Daniel David Diego Edward Eric Erik Ernst Felix Fernando Francesco Francisco Frank Franz Fritz George Georg Gerhard Giovanni Giuseppe Hans Harry Heinrich Henry Herbert Hugo Ivan Jack Jacob James Jean Joe John Johann Jonas Jorge Joseph José Juan Karl Kevin Klaus Lars Louis Luca Lucas Luigi Luis Manuel Marc Marco Mario Mark Martin Matthew Max Michael Miguel Nicholas Oliver Oscar Otto Pablo Patrick Paul Pedro Peter Philip Pierre Richard Robert Roger Samuel Simon Stefan Stephen Thomas Tim Tom Victor Walter William Wolfgang Антон Борис Виктор Иван Максим Олег Павел Сергей Николай Александр Γιάννης Κώστας Νίκος Πέτρος Σπύρος Γιώργος".split(),
 }
-SYLLABLES = {
-    "latin": ("ba", "de", "fi", "go", "hu", "ka", "le", "mi", "no", "pu", "ra", "se", "ti", "vo", "wu", "za"),
-    "cyrillic": ("ба", "де", "фи", "го", "ху", "ка", "ле", "ми", "но", "пу", "ра", "се", "ти", "во", "ву", "за"),
-    "greek": ("βα", "δε", "φι", "γο", "χυ", "κα", "λε", "μι", "νο", "που", "ρα", "σε", "τι", "βο", "θυ", "ζα"),
+#: How made-up names are put together, by script: consonants, vowels, and endings of women's and men's given names.
+SOUNDS = {
+    "latin": ("b d f g h k l m n p r s t v w z", "a e i o", "nia", "nard"),
+    "cyrillic": ("б д ф г х к л м н п р с т в ж з", "а е и о", "ния", "нор"),
+    "greek": ("β δ φ γ χ κ λ μ ν π ρ σ τ θ ξ ζ", "α ε ι ο", "νία", "νος"),
 }
-LEAST_SYLLABLES, LEAST_LETTERS, ROUNDS = 4, 10, 6
+SYLLABLES, LEAST_LETTERS, ROUNDS = 4, 10, 6
+#: Words in a name, particles included.
+MOST_WORDS = 16
+ROUNDS_APART = 20
+#: Texts and entries in them of which every task is sent what it must know; beyond that they are joined by a shuffle.
+BROADCAST_TEXTS = 100_000
 
 
 def _hash(key: str, *parts) -> Column:
     return F.xxhash64(F.lit(key), *[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def _split_rounds(left: Column, right: Column, key: str, turn) -> Column:
+def _split_rounds(left: Column, right: Column, key: str, turn: Column, step) -> Column:
     """Feistel rounds on two halves: even ones change the left half by a keyed hash of the right one, odd ones the other way."""
     return F.aggregate(
         F.sequence(F.lit(0), F.lit(ROUNDS - 1)),
         F.struct(left.alias("l"), right.alias("r")),
         lambda acc, i: F.struct(
-            F.when(i % 2 == 0, turn(acc["l"], _hash(key, i, acc["r"]))).otherwise(acc["l"]).alias("l"),
-            F.when(i % 2 == 1, turn(acc["r"], _hash(key, i, acc["l"]))).otherwise(acc["r"]).alias("r"),
+            F.when(i % 2 == 0, step(acc["l"], _hash(key, turn, i, acc["r"]))).otherwise(acc["l"]).alias("l"),
+            F.when(i % 2 == 1, step(acc["r"], _hash(key, turn, i, acc["l"]))).otherwise(acc["r"]).alias("r"),
         ),
     )
 
 
-def permuted(digits: Column, key: str) -> Column:
-    """A one-to-one map on the digit strings of each length."""
+def permuted(digits: Column, key: str, turn: Column | int = 0) -> Column:
+    """A one-to-one map on the digit strings of each length; another for each ``turn``."""
+    again = turn if isinstance(turn, Column) else F.lit(turn)
 
-    def turn(own: Column, h: Column) -> Column:
+    def step(own: Column, h: Column) -> Column:
         most = F.pow(F.lit(10.0), F.length(own)).cast("long")
         return F.lpad(((F.concat(F.lit("0"), own).cast("long") + F.pmod(h, most)) % most).cast("string"), F.length(own), F.lit("0"))
 
     def whole(d: Column) -> Column:
         half = F.floor(F.length(d) / 2).cast("int")
-        return let(_split_rounds(F.substring(d, F.lit(1), half), F.substring(d, half + 1, F.length(d)), key, turn), lambda s: F.concat(s["l"], s["r"]))
+        return let(_split_rounds(F.substring(d, F.lit(1), half), F.substring(d, half + 1, F.length(d)), key, again, step), lambda s: F.concat(s["l"], s["r"]))
 
     return let(digits, whole)
 
@@ -119,94 +127,84 @@ def _fill(form: Column, digits: Column, sign: str = "[0-9]") -> Column:
     )
 
 
-def _number(value: Column, keep: Column, key: str) -> Column:
-    """The first ``keep`` characters stay; the digits of the rest are permuted in their places."""
-    rest = F.substring(value, keep + 1, F.length(value))
-    return F.concat(F.substring(value, F.lit(1), keep), let(rest, lambda r: _fill(r, permuted(_digits(r), key))))
-
-
 def _check_digit(digits: Column) -> Column:
     """What the Luhn rule appends to ``digits``."""
     doubled = F.transform(F.filter(F.split(F.reverse(digits), ""), lambda c: c != ""), lambda c, i: F.when(i % 2 == 0, (c.cast("int") * 2) % 10 + F.floor(c.cast("int") / 5).cast("int")).otherwise(c.cast("int")))
     return F.pmod(-F.aggregate(doubled, F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
-def _card(value: Column, key: str) -> Column:
+def _card(digits: Column, key: str, turn: Column) -> Column:
     """All but the last digit are permuted; the last keeps its distance from the check digit, so valid cards stay valid."""
+    n = F.length(digits)
+    old = F.substring(digits, F.lit(1), n - 1)
+    last = lambda new: F.pmod(F.substring(digits, n, F.lit(1)).cast("int") - _check_digit(old) + _check_digit(new), F.lit(10))
+    return let(permuted(old, key, turn), lambda new: F.concat(new, last(new).cast("string")))
 
-    def whole(d: Column) -> Column:
-        n = F.length(d)
-        old = F.substring(d, F.lit(1), n - 1)
-        return let(
-            permuted(old, key),
-            lambda new: F.concat(new, F.pmod(F.substring(d, n, F.lit(1)).cast("int") - _check_digit(old) + _check_digit(new), F.lit(10)).cast("string")),
-        )
 
-    return _fill(value, let(_digits(value), whole))
+def _iban_check(country: Column, rest: Column) -> Column:
+    """The two check digits, from 2 to 98, that make an account number valid (ISO 7064, modulo 97)."""
+    of = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    chars = F.filter(F.split(F.concat(rest, country, F.lit("00")), ""), lambda c: c != "")
+    return 98 - F.aggregate(chars, F.lit(0), lambda a, c: F.when(of(c) > 9, a * 100 + of(c)).otherwise(a * 10 + of(c)) % 97)
+
 
+def _iban(plain: Column, key: str, turn: Column) -> Column:
+    """Country and letters stay; the account's digits are permuted, and the check digits keep their distance from the valid ones."""
+    country, check, rest = F.substring(plain, 1, 2), F.substring(plain, 3, 2).cast("int"), F.substring(plain, F.lit(5), F.length(plain))
+    told = lambda new: F.lpad((F.pmod(_iban_check(country, new) - 2 + check - _iban_check(country, rest), F.lit(97)) + 2).cast("string"), 2, "0")
+    return let(_fill(rest, permuted(_digits(rest), key, turn)), lambda new: F.concat(country, told(new), new))
 
-def _address(value: Column, key: str) -> Column:
-    turn = lambda own, h: (own + F.pmod(h, F.lit(65536))) % 65536
+
+def _address(value: Column, key: str, turn: Column) -> Column:
+    step = lambda own, h: (own + F.pmod(h, F.lit(65536))) % 65536
     part = lambda o, i: F.element_at(o, i).cast("long")
 
     def whole(o: Column) -> Column:
-        halves = _split_rounds(part(o, 1) * 256 + part(o, 2), part(o, 3) * 256 + part(o, 4), key, turn)
+        halves = _split_rounds(part(o, 1) * 256 + part(o, 2), part(o, 3) * 256 + part(o, 4), key, turn, step)
         text = lambda x: F.concat(F.floor(x / 256).cast("string"), F.lit("."), (x % 256).cast("string"))
         return let(halves, lambda s: F.concat(text(s["l"]), F.lit("."), text(s["r"])))
 
     return let(F.split(value, r"\."), whole)
 
 
-def _long_address(value: Column, key: str) -> Column:
+def _long_address(low: Column, key: str, turn: Column) -> Column:
     """An IPv6 address of the same form; its digits are shifted half by half, which is one-to-one on those of each length."""
     of = lambda c: F.instr(F.lit("0123456789abcdef"), c) - 1
 
-    def turn(own: Column, h: Column) -> Column:
+    def step(own: Column, h: Column) -> Column:
         by = F.lower(F.lpad(F.hex(h), 16, "0"))
         signs = F.filter(F.split(own, ""), lambda c: c != "")
         return F.array_join(F.transform(signs, lambda c, i: F.substring(F.lit("0123456789abcdef"), (of(c) + of(F.substring(by, i + 1, F.lit(1)))) % 16 + 1, F.lit(1))), "")
 
     def whole(d: Column) -> Column:
         half = F.floor(F.length(d) / 2).cast("int")
-        return let(_split_rounds(F.substring(d, F.lit(1), half), F.substring(d, half + 1, F.length(d)), key, turn), lambda s: F.concat(s["l"], s["r"]))
+        return let(_split_rounds(F.substring(d, F.lit(1), half), F.substring(d, half + 1, F.length(d)), key, turn, step), lambda s: F.concat(s["l"], s["r"]))
 
-    low = F.lower(value)
     return _fill(low, let(F.regexp_replace(low, ":", ""), whole), "[0-9a-f]")
 
 
-def _drawn(seed: Column, key: str, choices: tuple[str, ...], times: int) -> Column:
+def _drawn(seed: Column, key: str, choices: list[str], times: Column | int) -> Column:
     """``times`` keyed draws from ``choices``, run together."""
     table = F.array(*[F.lit(c) for c in choices])
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(times)), lambda i: F.element_at(table, F.pmod(_hash(key, i, seed), F.lit(len(choices))).cast("int") + 1)), "")
-
+    return F.array_join(F.transform(F.sequence(F.lit(1), times if isinstance(times, Column) else F.lit(times)), lambda i: F.element_at(table, F.pmod(_hash(key, i, seed), F.lit(len(choices))).cast("int") + 1)), "")
 
-def _mail(value: Column, key: str, extra: int) -> Column:
-    low = F.lower(value)
-    letters = tuple("abcdefghijklmnopqrstuvwxyz")
-    domain = F.substring_index(low, "@", -1)
-    return F.concat(_drawn(low, key + "l", letters, LEAST_LETTERS + extra), F.lit("@"), _drawn(domain, key + "d", letters, LEAST_LETTERS), F.lit(".example."), F.substring_index(domain, ".", -1))
 
+def _mail(low: Column, key: str, turn: Column) -> Column:
+    letters, domain = list("abcdefghijklmnopqrstuvwxyz"), F.substring_index(low, "@", -1)
+    return F.concat(_drawn(low, key + "l", letters, LEAST_LETTERS + turn), F.lit("@"), _drawn(domain, key + "d", letters, LEAST_LETTERS), F.lit(".example."), F.substring_index(domain, ".", -1))
 
-def _name(value: Column, key: str, extra: int) -> Column:
-    title = F.regexp_extract(value, "^(?:" + "|".join(t.replace(".", r"\.") for t in _ALL) + r")\x20", 0)
-    people = F.split(F.substring(value, F.length(title) + 1, F.length(value)), " ")
 
-    def styled(word: Column, made: Column) -> Column:
-        return F.when((F.upper(word) == word) & (F.length(word) > 1) & ~word.contains("."), F.upper(made)).otherwise(made)
-
-    def word(w: Column, first: Column, script: str, gender: str) -> Column:
-        tail = F.initcap(_drawn(F.lower(w), key + "s", SYLLABLES[script], LEAST_SYLLABLES + extra))
-        given = F.concat(_drawn(F.lower(w), key + gender, FIRST[script, gender], 1), F.concat(F.lit("-"), F.initcap(_drawn(F.lower(w), key + "x", SYLLABLES[script], extra))) if extra else F.lit(""))
-        return F.when(w.isin(*PARTICLES), w).otherwise(styled(w, F.when(first, given).otherwise(tail)))
-
-    def told(script: str, gender: str) -> Column:
-        return F.array_join(F.transform(people, lambda w, i: word(w, (i == 0) & (F.size(people) > 1), script, gender)), " ")
+def _word(low: Column, key: str, turn: Column) -> Column:
+    """A made-up word of the same script; given names of a known gender get an ending of that gender. Each turn adds a syllable."""
 
     def of(script: str) -> Column:
-        t = F.trim(title)
-        return F.when(t.isin(*TITLES["f"]), told(script, "f")).when(t.isin(*TITLES["m"]), told(script, "m")).otherwise(told(script, "n"))
+        consonants, vowels, woman, man = SOUNDS[script]
+        stem = _drawn(low, key + "w", [c + v for c in consonants.split() for v in vowels.split()], SYLLABLES - 1 + turn)
+        last = _drawn(low, key + "e", [c + v for c in consonants.split() for v in vowels.split()], 1)
+        known = lambda g: low.isin(*[w.lower() for w in GIVEN[g]])
+        return F.concat(stem, F.when(known("f"), F.lit(woman)).when(known("m"), F.lit(man)).otherwise(last))
 
-    return F.concat(title, F.when(value.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(value.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin")))
+    return F.when(low.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(low.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
 
 
 def kind_of(value: Column) -> Column:
@@ -216,54 +214,138 @@ def kind_of(value: Column) -> Column:
     return out
 
 
-def surrogate(value: Column, key: str, extra: int = 0) -> Column:
-    """The stand-in of an entity; ``extra``: letters or syllables beyond the least."""
+def stand_in(kind: Column, own: Column, key: str, turn: Column) -> Column:
+    """What stands for a unit; ``kind``: mail, iban, ip, ip6, card, digits or word."""
+    return (
+        F.when(kind == "mail", _mail(own, key, turn))
+        .when(kind == "iban", _iban(own, key, turn))
+        .when(kind == "ip", _address(own, key, turn))
+        .when(kind == "ip6", _long_address(own, key, turn))
+        .when(kind == "card", _card(own, key, turn))
+        .when(kind == "word", _word(own, key, turn))
+        .otherwise(permuted(own, key, turn))
+    )
+
+
+def _words(name: Column) -> Column:
+    return F.split(F.regexp_replace(name, rf"^{_TITLE}\x20", ""), " ")
+
+
+def _plain(word: Column) -> Column:
+    """Whether a word of a name is neither a particle nor initials."""
+    return ~word.isin(*PARTICLES) & ~word.rlike(rf"^{_INITIALS}$")
+
+
+def _kept(value: Column) -> Column:
+    """The country code of a number, plus sign included; empty without one."""
+    return F.regexp_extract(value, COUNTRY, 0)
+
+
+def units(value: Column, kind: Column) -> Column:
+    """The units of an entity as array of (kind, own)."""
+    one = lambda k, own: F.array(F.struct(F.lit(k).alias("kind"), own.alias("own")))
+    parts = F.flatten(F.transform(F.filter(_words(value), _plain), lambda w: F.split(F.lower(w), "-")))
+    return (
+        F.when(kind == "mail", one("mail", F.lower(value)))
+        .when(kind == "iban", one("iban", F.replace(value, F.lit(" "), F.lit(""))))
+        .when(kind == "ip", one("ip", value))
+        .when(kind == "ip6", one("ip6", F.lower(value)))
+        .when(kind == "card", one("card", _digits(value)))
+        .when(kind == "name", F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.struct(F.lit("word").alias("kind"), p.alias("own"))))
+        .otherwise(one("digits", _digits(F.substring(value, F.length(_kept(value)) + 1, F.length(value)))))
+    )
+
+
+def _turn(turns: Column, kind: str, own: Column) -> Column:
+    return F.coalesce(F.get(F.filter(turns, lambda t: (t["kind"] == kind) & (t["own"] == own)), 0)["turn"], F.lit(0))
+
+
+def _name_word(word: Column, key: str, turns: Column) -> Column:
+    """The stand-in of a name's word: particles stay, initials are exchanged one to one, parts around hyphens are words of their own."""
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    shift = sum(key.encode()) % 25 + 1
+    part = lambda p: let(F.lower(p), lambda low: _word(low, key, _turn(turns, "word", low)))
+    styled = lambda p: let(part(p), lambda m: F.when(p == "", p).when((F.upper(p) == p) & (F.length(p) > 1), F.upper(m)).otherwise(F.initcap(m)))
+    made = F.array_join(F.transform(F.split(word, "-"), styled), "-")
+    return F.when(word.isin(*PARTICLES), word).when(word.rlike(rf"^{_INITIALS}$"), F.translate(word, signs, signs[shift:] + signs[:shift])).otherwise(made)
+
+
+def surrogate(value: Column, key: str, turns: Column | None = None) -> Column:
+    """The stand-in of an entity in its form; ``turns``: array of (kind, own, turn) for units that had to be drawn again."""
+    turns = F.array().cast("array<struct<kind:string,own:string,turn:int>>") if turns is None else turns
+    stood = lambda k, own, of: of(own, key, _turn(turns, k, own))
 
     def whole(kind: Column) -> Column:
-        keep = F.length(F.regexp_extract(value, r"^\+(?:[0-9]{1,3}[\x20\u00a0\u202f\u2011./(-]|[0-9])", 0))
+        rest = F.substring(value, F.length(_kept(value)) + 1, F.length(value))
         return (
-            F.when(kind == "mail", _mail(value, key, extra))
-            .when(kind == "iban", _number(value, F.lit(2), key))
-            .when(kind == "ip", _address(value, key))
-            .when(kind == "ip6", _long_address(value, key))
-            .when(kind == "ssn", _number(value, F.lit(0), key))
-            .when(kind == "card", _card(value, key))
-            .when(kind == "phone", _number(value, keep, key))
-            .when(kind == "plus", _number(value, F.lit(2), key))
-            .when(kind == "name", _name(value, key, extra))
-            .otherwise(_number(value, F.lit(0), key))
+            F.when(kind == "mail", let(F.lower(value), lambda x: stood("mail", x, _mail)))
+            .when(kind == "iban", let(F.replace(value, F.lit(" "), F.lit("")), lambda x: _fill(value, stood("iban", x, _iban), "[0-9A-Z]")))
+            .when(kind == "ip", stood("ip", value, _address))
+            .when(kind == "ip6", let(F.lower(value), lambda x: stood("ip6", x, _long_address)))
+            .when(kind == "card", let(_digits(value), lambda x: _fill(value, stood("card", x, _card))))
+            .when(kind == "name", F.concat(F.regexp_extract(value, rf"^{_TITLE}\x20", 0), F.array_join(F.transform(_words(value), lambda w: _name_word(w, key, turns)), " ")))
+            .otherwise(F.concat(_kept(value), let(_digits(rest), lambda x: _fill(rest, stood("digits", x, permuted)))))
         )
 
     return let(kind_of(value), whole)
 
 
-def _known(value: Column) -> Column:
-    """What makes two entities one: case does not, and neither does a name's title."""
-    title = "^(?:" + "|".join(t.replace(".", r"\.") for t in _ALL) + r")\x20"
-    return F.lower(F.regexp_replace(value, title, ""))
-
-
-def enough_letters(docs: DataFrame, key: str) -> int:
-    """Letters or syllables beyond the least with which no two names or mail addresses of ``docs`` (text) share a stand-in and
-    none gets another's own. Entities are made distinct in each task before they are shuffled, so a hot one counts once."""
-    text = F.col("text")
-    found = docs.where(text.rlike(MAYBE)).select(F.explode(F.regexp_extract_all(text, F.lit(f"(?:{MAIL})|(?:{NAME})"), F.lit(0))).alias("value")).distinct()
-    found = materialize(found, "pii-entities")
-    extra = 0
-    while True:
-        made = found.select(_known(F.col("value")).alias("own"), _known(surrogate(F.col("value"), key, extra)).alias("made")).distinct()
-        shared = made.groupBy("made").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b")
-        taken = made.select("made").join(made.select(F.col("own").alias("made")), "made", "left_semi")
-        if not shared.limit(1).count() and not taken.limit(1).count():
-            return extra
-        extra += 1
-
+def drawn_again(own: DataFrame, key: str) -> DataFrame:
+    """(kind, own, turn) of the units of ``own`` (kind, own; distinct) whose first stand-in is another's, or another unit itself.
 
-def _told_words(names: Column) -> Column:
-    """Each word of ``names`` (array of value, made) and what stands for it, the longest first; no particles or initials."""
-    told = F.flatten(F.transform(names, lambda p: F.slice(F.arrays_zip(F.split(p["value"], " ").alias("word"), F.split(p["made"], " ").alias("made")), 2, 99)))
-    own = F.filter(told, lambda x: (F.length(x["word"]) > 1) & ~x["word"].contains(".") & ~x["word"].isin(*PARTICLES))
-    return F.transform(F.array_sort(F.transform(own, lambda x: F.struct((-F.length(x["word"])).alias("n"), x["word"].alias("word"), x["made"].alias("made")))), lambda x: F.struct(x["word"].alias("word"), x["made"].alias("made")))
+    Of units that share a stand-in the least keeps it. Only units that meet are drawn again, until none does. Where a form is so
+    crowded that ``ROUNDS_APART`` rounds find no number that is nobody's, stand-ins are still kept distinct.
+    """
+    made = lambda t: t.withColumn("made", stand_in(F.col("kind"), F.col("own"), key, F.col("turn")))
+    now = materialize(made(own.withColumn("turn", F.lit(0))), "pii-units")
+    for k in count():
+        shared = now.groupBy("kind", "made").agg(F.min("own").alias("first"), F.count("*").alias("n")).where("n > 1").select("kind", "made", "first")
+        meets = now.join(shared, ["kind", "made"]).where("own <> first").select("kind", "own")
+        taken = now.join(now.select("kind", F.col("own").alias("made")), ["kind", "made"], "left_semi").select("kind", "own")
+        bad = materialize((meets.unionByName(taken) if k < ROUNDS_APART else meets).distinct(), "pii-meeting")
+        if bad.isEmpty():
+            return now.where("turn > 0").select("kind", "own", "turn")
+        again = made(now.join(bad, ["kind", "own"], "left_semi").withColumn("turn", F.col("turn") + 1))
+        now = materialize(now.join(bad, ["kind", "own"], "left_anti").unionByName(again), "pii-units")
+
+
+def _marks(text: Column) -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(text).alias("_pii_a"), F.xxhash64(F.lit(1), text).alias("_pii_b")]
+
+
+def told_texts(docs: DataFrame, key: str) -> DataFrame:
+    """For the texts of ``docs`` (text) that must know more than the key: _pii_a, _pii_b, _pii_turns and _pii_words.
+
+    ``_pii_turns``: units of the text that were drawn again. ``_pii_words``: words of names that stand in it without a title and
+    are known by one elsewhere in the corpus. Texts are read once, copies count once, and entities are made distinct in each
+    task before they are shuffled, so a hot one sends one row for each task.
+    """
+    text, marks = F.col("text"), ["_pii_a", "_pii_b"]
+    entities = F.when(text.rlike(MAYBE), F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    found = docs.where("text is not null").select(*_marks(text), entities.alias("entities"), F.array_distinct(F.regexp_extract_all(text, F.lit(ROW), F.lit(0))).alias("rows"))
+    found = materialize(found.where((F.size("entities") > 0) | (F.size("rows") > 0)).dropDuplicates(marks), "pii-entities")
+    told = found.select(*marks, F.explode("entities").alias("value")).withColumn("kind", kind_of(F.col("value")))
+    own = told.select("value", "kind").distinct().select(F.explode(units(F.col("value"), F.col("kind"))).alias("u")).select("u.kind", "u.own").where("own <> ''").distinct()
+    again = drawn_again(own, key)
+    none = F.lit(None).cast("struct<kind:string,own:string,turn:int>")
+    turns = told.select(*marks, F.explode(units(F.col("value"), F.col("kind"))).alias("u")).select(*marks, "u.kind", "u.own").distinct().join(again, ["kind", "own"])
+    turns = turns.select(*marks, F.struct("kind", "own", "turn").alias("turn"), F.lit(None).cast("string").alias("word"))
+
+    known = told.where("kind = 'name'").select("value").distinct().select(_words(F.col("value")).alias("w")).where(F.size("w") > 1).select(F.lower(F.array_join("w", " ")).alias("name")).distinct()
+    runs = found.select(*marks, F.explode("rows").alias("row")).select(*marks, F.split("row", " ").alias("w"))
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(MOST_WORDS), F.size("w") - i)), lambda n: F.slice("w", i + 1, n))))
+    bare = runs.select(*marks, F.explode(spans).alias("span")).withColumn("name", F.lower(F.array_join("span", " "))).distinct().join(known, "name", "left_semi")
+    bare = bare.select(*marks, F.explode("span").alias("word")).where(_plain(F.col("word"))).distinct().select(*marks, none.alias("turn"), "word")
+    both = turns.unionByName(bare).groupBy(*marks)
+    return both.agg(F.collect_set("turn").alias("_pii_turns"), F.collect_set("word").alias("_pii_words"))  # each bounded by its own text
+
+
+def _told_words(names: Column, bare: Column, key: str, turns: Column) -> Column:
+    """Each word of ``names`` (entities) and of ``bare`` and what stands for it, the longest first; no particles or initials."""
+    own = F.array_distinct(F.concat(F.flatten(F.transform(names, lambda v: F.filter(_words(v), lambda w: _plain(w) & (F.length(w) > 1)))), bare))
+    ordered = F.sort_array(F.transform(own, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("word"))))
+    return F.transform(ordered, lambda x: F.struct(x["word"].alias("word"), _name_word(x["word"], key, turns).alias("made")))
 
 
 def _bare(piece: Column, known: Column) -> Column:
@@ -281,25 +363,34 @@ def _bare(piece: Column, known: Column) -> Column:
 def replace_entities(docs: DataFrame, key: str = "public-test-key") -> DataFrame:
     """Every personal entity in ``text`` replaced by its surrogate under ``key``; all other columns and rows as they came.
 
-    The words of a name found by its title are also replaced where they stand alone in the same text, by the same stand-ins.
-    Adds the column ``entities`` (number replaced) in place of one of that name. Null text stays null with 0 entities; empty
-    texts and texts without entities stay as they are. Repeated rows stay, and get the same surrogates. Empty table: no rows.
-    Very long texts are treated whole. Surrogates depend on key and entity alone, not on row order or partitions.
+    The words of a name found by its title are also replaced where they stand alone in the same text, and a name of two or more
+    words that has a title anywhere in the corpus is found without one, by the same stand-ins. Adds the column ``entities``
+    (number replaced) in place of one of that name. Null text stays null with 0 entities; empty texts and texts without
+    entities stay as they are. Repeated rows stay, and get the same surrogates. Empty table: no rows. Very long texts are
+    treated whole. A surrogate depends on the key and the entity alone, not on row order or partitions, save that a unit whose
+    stand-in is another unit of the corpus, or another's stand-in, is drawn again. Columns named ``_pii_...`` are refused.
     """
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    extra = enough_letters(docs.select("text"), key)
-    text = F.col("text")
+    if clash := sorted(c for c in docs.columns if c.lower().startswith("_pii_")):
+        raise ValueError(f"columns {clash} are the operator's own")
+    columns = [c for c in docs.columns if c != "entities"]
+    docs = docs.select(*[F.col("text").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in columns])
+    told = materialize(told_texts(docs.select("text"), key), "pii-told")
+    size = told.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.size("_pii_turns") + F.size("_pii_words")), F.lit(0)).alias("entries")).first()
+    few = max(size["texts"], size["entries"]) <= BROADCAST_TEXTS
+    text, bare = F.col("text"), F.coalesce(F.col("_pii_words"), F.array().cast("array<string>"))
+    turns = F.coalesce(F.col("_pii_turns"), F.array().cast("array<struct<kind:string,own:string,turn:int>>"))
+    marked = docs.select("*", *_marks(text)).join(F.broadcast(told) if few else told, ["_pii_a", "_pii_b"], "left") if size["texts"] else docs.select("*", F.lit(None).cast("array<string>").alias("_pii_words"), F.lit(None).cast("array<struct<kind:string,own:string,turn:int>>").alias("_pii_turns"))
     pairs = F.arrays_zip(F.split(text, ENTITY, -1).alias("piece"), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)).alias("value"))
-    made = F.transform(pairs, lambda p: F.struct(p["piece"].alias("piece"), p["value"].alias("value"), surrogate(p["value"], key, extra).alias("made")))
+    made = F.transform(pairs, lambda p: F.struct(p["piece"].alias("piece"), p["value"].alias("value"), surrogate(p["value"], key, turns).alias("made")))
 
     def bared(all_: Column, known: Column) -> Column:
         piece = lambda p: F.when(F.size(known) > 0, _bare(p["piece"], known)).otherwise(F.struct(p["piece"].alias("text"), F.lit(0).alias("n")))
         parts = F.transform(all_, lambda p: let(piece(p), lambda b: F.struct(F.concat(b["text"], F.coalesce(p["made"], F.lit(""))).alias("text"), (b["n"] + p["value"].isNotNull().cast("int")).alias("n"))))
         return let(parts, lambda x: F.struct(F.array_join(x["text"], "").alias("text"), F.aggregate(x["n"], F.lit(0), lambda n, k: n + k).alias("n")))
 
-    is_name = lambda p: p["value"].isNotNull() & (kind_of(p["value"]) == "name")
-    told = let(made, lambda all_: let(_told_words(F.filter(all_, is_name)), lambda known: bared(all_, known)))
+    names = lambda all_: F.filter(F.transform(all_, lambda p: p["value"]), lambda v: v.isNotNull() & (kind_of(v) == "name"))
+    whole = let(made, lambda all_: let(_told_words(names(all_), bare, key, turns), lambda known: bared(all_, known)))
     same = F.struct(text.alias("text"), F.lit(0).alias("n"))
-    new = F.when(text.rlike(MAYBE), told).otherwise(same)
-    columns = [c for c in docs.columns if c != "entities"]
-    return docs.withColumn("_told", new).select(*[F.col("_told.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in columns], F.col("_told.n").cast("long").alias("entities"))
+    new = F.when(text.rlike(MAYBE) | (F.size(bare) > 0), whole).otherwise(same)
+    out = marked.select(*[F.col(f"`{c}`") for c in columns], new.alias("_pii_told"))
+    return out.select(*[F.col("_pii_told.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in columns], F.col("_pii_told.n").cast("long").alias("entities"))

@@ -507,12 +507,87 @@ def test_number_surrogates_are_one_to_one(spark):
     assert numbers.select(pii.permuted(numbers.d, "k").alias("p")).distinct().count() == 10_000
 
 
-def test_collisions_get_longer_names(spark, monkeypatch):
-    monkeypatch.setattr(pii, "LEAST_SYLLABLES", 1)
-    docs = spark.createDataFrame([(f"Mr. {a}{b} Smith",) for a in "ABCDEFGH" for b in ("lan", "rno", "mir", "dam", "ustin")], "text string")
-    extra = pii.enough_letters(docs, "k")
-    assert extra > 0
-    assert docs.select(pii.surrogate(docs.text, "k", extra)).distinct().count() == docs.count()
+def test_units_that_meet_are_drawn_again(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SYLLABLES", 2)
+    own = spark.createDataFrame([("word", f"{a}{b}{c}") for a in "abcdefgh" for c in "knrst" for b in ("lan", "rno", "mir", "dam", "ustin")] + [("digits", f"{k:02d}") for k in range(0, 100, 3)], "kind string, own string")
+    again = pii.drawn_again(own, "k")
+    turns = own.join(again, ["kind", "own"], "left").fillna(0, ["turn"])
+    made = turns.select("kind", "own", "turn", pii.stand_in(F.col("kind"), F.col("own"), "k", F.col("turn")).alias("made")).collect()
+    assert len({(r.kind, r.made) for r in made}) == len(made)
+    assert not {(r.kind, r.made) for r in made} & {(r.kind, r.own) for r in made}
+    assert 0 < sum(r.turn > 0 for r in made if r.kind == "word") < 40  # the other 160 and more keep theirs
+
+
+def luhn(digits):
+    return sum(int(c) if k % 2 == 0 else sum(map(int, str(2 * int(c)))) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def person(name):
+    return tuple(w for w in name.lower().split() if w not in ("mr.", "mrs.", "dr.", "prof.", "frau"))
+
+
+def test_pii_is_distinct_and_coreferent(spark, monkeypatch):
+    """Over whole documents: each entity is one stand-in everywhere, different ones differ, and none is another's original."""
+    rng = random.Random(21)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    first, last = ["Anna", "John", "Mary", "Peter", "Zoë", "Kim"], ["Smith", "Weber", "O'Neill", "Smith-Weber", "Núñez", "Berg"]
+    names = [f"{t} {f} {n}" for f in first for n in last for t in ("Mr.", "Mrs.", "Dr.", "Prof.", "Frau")]
+    ibans = ["DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "FR1420041010050500013M02606", "DE89370400440532013001"]
+    phones = ["+4930123456789", "+49 30 123456789", "+1 (564) 555-4526", "+1 564 555 4526", "(564) 555-4526", "+358 40 1234567"]
+    other = ["4111111111111111", "4111 1111 1111 1111", "5500005555555559", "123-45-6789", "8.8.4.4", "10.0.0.1", "2001:db8::8a2e:370:7334", "a.b@c.example.com", "A.B@c.example.com", "b.a@c.example.com"]
+    entities = names + ibans + phones + other
+    rows = docs + [(10**6 + k, e) for k, e in enumerate(entities)]
+    bare = [(2 * 10**6 + k, f"then {f} {n} called, and {n} left") for k, (f, n) in enumerate((f, n) for f in first for n in last)]
+    rows += bare + [(3 * 10**6 + k, " and ".join(rng.sample(entities, 3))) for k in range(50)]
+    for most in (100_000, 0):  # the second: what texts must be told is joined by a shuffle
+        monkeypatch.setattr(pii, "BROADCAST_TEXTS", most)
+        got = {r.doc_id: r.text for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        made = {e: got[10**6 + k] for k, e in enumerate(entities)}
+        assert all(e.lower() != m.lower() for e, m in made.items())
+        people = {}
+        for e in names:
+            assert made[e].split()[0] == e.split()[0]
+            people.setdefault(person(e), set()).add(person(made[e]))
+        assert all(len(x) == 1 for x in people.values())  # whatever the title
+        assert len(set.union(*people.values())) == len(people) and not set.union(*people.values()) & people.keys()
+        words = {w for p in people for w in p}
+        assert not {w for x in people.values() for p in x for w in p} & words
+        for (_, t), (f, n) in zip(bare, ((f, n) for f in first for n in last), strict=True):
+            a, b = made[f"Dr. {f} {n}"].split()[1:]
+            assert got[bare[[x[1] for x in bare].index(t)][0]] == f"then {a} {b} called, and {b} left"
+        plain = lambda x: x.replace(" ", "")
+        assert all(mod97(plain(made[e])) == mod97(plain(e)) and made[e][:2] == e[:2] for e in ibans) and len({made[e] for e in ibans}) == 4
+        assert made[ibans[1]][4:9] == " NWBK"
+        digits = lambda x: re.sub(r"\D", "", x)
+        assert digits(made[phones[0]]) == digits(made[phones[1]]) and digits(made[phones[2]]) == digits(made[phones[3]]) == "1" + digits(made[phones[4]])
+        assert made[phones[0]].startswith("+49") and made[phones[2]].startswith("+1 (") and made[phones[5]].startswith("+358 ")
+        assert digits(made[other[0]]) == digits(made[other[1]]) and all(luhn(digits(made[e])) for e in other[:3])
+        assert made[other[7]] == made[other[8]] != made[other[9]]
+        by_length = sorted(entities, key=len, reverse=True)
+        for i, t in rows[-50:]:
+            assert got[i] == " and ".join(made[e] for e in t.split(" and "))
+        left = re.compile("|".join(map(re.escape, by_length)))
+        assert not any(left.search(t) for i, t in got.items() if t and i >= 10**6)
+        if most:
+            before = got
+    assert got == before
+    seen, where = {}, re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]\d)|[\w.]+@[\w.]+\w|\+1 \(\d{3}\) \d{3}-\d{4}")
+    for i, t in docs:
+        for a, b in zip(where.findall(t or ""), where.findall(got[i] or ""), strict=True):
+            assert seen.setdefault(a.lower(), b.lower()) == b.lower() != a.lower()
+    assert len(set(seen.values())) == len(seen) > 30 and not set(seen.values()) & seen.keys()
+
+
+def test_pii_keeps_other_columns(spark):
+    docs = spark.createDataFrame([(1, "call Mr. John Smith", "mine", 5, "x")], "doc_id long, text string, _told string, entities int, `a.b` string")
+    got = pii.replace_entities(docs)
+    assert got.columns == ["doc_id", "text", "_told", "a.b", "entities"] and got.first()["_told"] == "mine" and got.first()["entities"] == 1
+    with pytest.raises(ValueError):
+        pii.replace_entities(docs.withColumnRenamed("_told", "_pii_told"))
 
 
 def test_pipeline_stages(spark):
