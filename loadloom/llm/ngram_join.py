@@ -157,31 +157,37 @@ def digest_of(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-SIGNATURE = "doc_id long, n long, node long, digest binary, vec binary, bucket int, seen long"
+SIGNATURE = "doc_id long, mark_a long, mark_b long, n long, node long, digest binary, vec binary, bucket int, seen long"
+SIGNATURE_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64())
+#: Texts that are sent for by their marks to every task (under 32 MB); beyond that all texts are shuffled.
+BROADCAST_MARKS = 2_000_000
 
 
 def signatures(k: int):
     """For each text its set's size, digest and vector; for each task how many texts had a shingle of each bucket."""
+    names = [c.split()[0] for c in SIGNATURE.split(", ")]
+
+    def batch_of(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, SIGNATURE_TYPES, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), np.zeros(1 << BUCKET_BITS, np.int64)
         pick = np.uint64(64 - BUCKET_BITS)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for text in batch.column(3).to_pylist():
                 s = shingle_set(space_words(text), hashes, k)
                 d = digest_of(s)
-                rows.append((doc_id, len(s), int.from_bytes(d[:8], "little", signed=True), d, count_vector(s, groups_for(len(s), BLOCK_SHARE)).tobytes() if len(s) else b""))
+                rows.append((len(s), int.from_bytes(d[:8], "little", signed=True), d, count_vector(s, groups_for(len(s), BLOCK_SHARE)).tobytes() if len(s) else b""))
                 if len(s):
                     np.add.at(seen, (s >> pick).astype(np.int64), 1)
             if rows:
                 none = [None] * len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*rows, strict=True), none, none], (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "n", "node", "digest", "vec", "bucket", "seen"])
+                yield batch_of(*batch.columns[:3], *zip(*rows, strict=True), none, none)
         full = np.flatnonzero(seen)
         for at in range(0, len(full), 1 << 16):
             b = full[at : at + (1 << 16)]
-            none = [None] * len(b)
-            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(none, pa.binary()), pa.array(b.astype(np.int32)), pa.array(seen[b])], names=["doc_id", "n", "node", "digest", "vec", "bucket", "seen"])
+            yield batch_of(*[[None] * len(b)] * 7, b.astype(np.int32), seen[b])
 
     return run
 
@@ -235,6 +241,7 @@ def block_edges(percent: int):
                 continue
             if len(blocks) >= 500_000:
                 blocks.clear()
+            if len(said) >= 500_000:  # only spares repeats, which are dropped later anyway
                 said.clear()
             blocks.add(same)
             ids = list(own)
@@ -268,8 +275,7 @@ def verified_edges(k: int, percent: int):
                         now, own = (root, tile), {}
                     if digest not in own:
                         s = shingle_set(space_words(text), hashes, k)
-                        if digest_of(s) == digest:  # a doc_id may come with several texts
-                            own[digest] = s
+                        own[digest] = s
             if len(own) > 1:
                 yield own
 
@@ -321,15 +327,16 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     n_shingles, component_id (least doc_id reachable by links), copies (rows with the same set).
 
     Null text, empty text and text without words: an empty set, linked with nothing, component_id is its doc_id.
-    Null doc_id: the row takes part in no minimum; its component_id is that of its set, null if no other row has one.
+    Null doc_id: the row links like any other, but is in no minimum; its component_id is null if all of its component are null.
     Repeated rows: each is returned. A doc_id with several texts: each text is judged by itself. Empty table: no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("mark_a"), F.xxhash64(F.lit(1), text).alias("mark_b"), text.alias("text"))
     found = materialize(docs.mapInArrow(signatures(k), SIGNATURE), "ngram-signatures")
     rows = found.where("bucket is null")
     counts = found.where("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen"))
     weights = docs.sparkSession.sparkContext.broadcast(frequent(counts))
-    nodes = materialize(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("node").alias("node"), F.first("vec").alias("vec")), "ngram-nodes")
+    nodes = materialize(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min(F.struct("mark_a", "mark_b")).alias("mark"), F.first("n").alias("n"), F.first("node").alias("node"), F.first("vec").alias("vec")), "ngram-nodes")
 
     keys = docs.select("text").mapInArrow(prefix_keys(k, percent, weights), "key long, node long")
     blocks = keys.selectExpr("key", "node", "min(node) over (partition by key) lo", "max(node) over (partition by key) hi")
@@ -342,9 +349,13 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     near = components(placed.mapInArrow(block_edges(percent), "u binary, v binary"), "ngram-near")
 
     sized = near.join(near.groupBy("root").agg(F.count("*").alias("members")), "root")
-    members = tiles(sized.join(nodes.select(F.col("digest").alias("node"), "rep"), "node").where("rep is not null"), "root", "node")
-    texts = members.select("root", "tile", F.col("node").alias("digest"), "rep").join(docs, F.col("rep") == F.col("doc_id"))
-    texts = texts.select("root", "tile", "digest", "text").repartition("root", "tile").sortWithinPartitions("root", "tile")
+    sized = materialize(sized.join(nodes.select(F.col("digest").alias("node"), "mark.mark_a", "mark.mark_b"), "node"), "ngram-members")
+    wanted = sized.select("mark_a", "mark_b")  # one text for each node, found by 128 bits
+    few = wanted.count() <= BROADCAST_MARKS
+    texts = docs.join(F.broadcast(wanted), ["mark_a", "mark_b"], "left_semi") if few else docs
+    texts = texts.groupBy("mark_a", "mark_b").agg(F.first("text").alias("text"))
+    texts = tiles(sized.join(texts, ["mark_a", "mark_b"]), "root", "node").select("root", "tile", F.col("node").alias("digest"), "text")
+    texts = texts.repartition("root", "tile").sortWithinPartitions("root", "tile")
     linked = components(texts.mapInArrow(verified_edges(k, percent), "u binary, v binary"), "ngram-linked")
 
     of = nodes.select(F.col("digest").alias("node"), "rep", "copies").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -36,7 +36,12 @@ def rows():
     shared = text_of(rng, 25)
     out += [shared + " " + text_of(rng, n) for n in (5, 6, 7, 30, 31)] + [shared] * 3
     out += ["", None, " \n\t ", "one", "one two", "One TWO", "one two three four five", text_of(rng, 6000), "É\x0bx\x1cy z"]
-    return list(enumerate(out)) + [(7, out[7]), (7, "another text for a repeated id " * 3), (None, out[0]), (None, None)]
+    chain = text_of(rng, 70).split()  # each links with the next alone; the middle one has no id
+    chain = [chain[:], chain[:8] + ["new"] + chain[9:], chain[:8] + ["new"] + chain[9:62] + ["newer"] + chain[63:]]
+    bridge = [(5000, " ".join([*chain[0][:-3], "x1", "x2", "x3"])), (None, " ".join(chain[1])), (5001, " ".join(["y1", "y2", "y3", *chain[2][3:]]))]
+    lone = text_of(rng, 80).split()
+    lone = [(None, " ".join(lone)), (None, " ".join([*lone[:-1], "z"])), (None, " ".join(lone))]
+    return list(enumerate(out)) + [(7, out[7]), (7, "another text for a repeated id " * 3), (None, out[0]), (None, None), *bridge, *lone]
 
 
 def frame(spark, rows):
@@ -73,13 +78,16 @@ def key(r):
     return tuple((x is None, x if x is not None else 0) for x in r)
 
 
-def test_ngram_join_equals_brute_force(spark, rows):
+def test_ngram_join_equals_brute_force(spark, rows, monkeypatch):
+    a, b, c = (shingles(t) for i, t in rows if i in (5000, 5001) or t and "new " in t and i is None)
+    assert [100 * len(x & y) >= 75 * len(x | y) for x, y in ((a, b), (b, c), (a, c))] == [True, True, False]
     got = ngram_join.ngram_join(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=key) == sorted(brute_components(rows), key=key)
 
 
 def test_ngram_join_splits_large_groups(spark, rows, monkeypatch):
     monkeypatch.setattr(ngram_join, "CHUNK", 2)
+    monkeypatch.setattr(ngram_join, "BROADCAST_MARKS", 0)
     got = ngram_join.ngram_join(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=key) == sorted(brute_components(rows), key=key)
 
