@@ -130,18 +130,24 @@ def test_url_filter_equals_brute_force(spark):
     assert url_filter.filter_urls(pages.limit(0), URL_RULES, listed).collect() == []
 
 
-def test_cascade_is_exact_over_its_universe(spark):
+@pytest.mark.parametrize("share", [9, 400])
+def test_cascade_is_exact_over_its_universe(spark, share, monkeypatch):
     keys = spark.range(20_000).selectExpr("concat('k', id) key")
-    seed, levels = url_filter.build_cascade(keys, keys.where("xxhash64(key) % 9 = 0"))
-    got = keys.selectExpr("key", f"xxhash64('{seed}', key) h", "xxhash64(key) % 9 = 0 listed").toPandas()
-    assert len(levels) > 2
+    counts = []
+    built = url_filter.build_level
+    monkeypatch.setattr(url_filter, "build_level", lambda hashes, level, bits: counts.append(hashes.count()) or built(hashes, level, bits))
+    seed, levels = url_filter.build_cascade(keys, keys.where(f"xxhash64(key) % {share} = 0"))
+    got = keys.selectExpr("key", f"xxhash64('{seed}', key) h", f"xxhash64(key) % {share} = 0 listed").toPandas()
+    assert len(levels) > 1
     assert (url_filter.member(levels, got.h.to_numpy()) == got.listed.to_numpy()).all()
+    assert max(counts) <= 2 * counts[0]  # no level is larger than the list, however many keys there are
+    assert sum(len(x.bits) for x in levels) < 8 * counts[0]  # bytes: all that comes to the driver
 
 
 def test_cascade_in_pieces(spark, monkeypatch):
     from loadloom.llm.queries import LISTED_HOSTS, URL_RULES
 
-    monkeypatch.setattr(url_filter, "MOST_KEYS", 7)
+    monkeypatch.setattr(url_filter, "MOST_BITS", 100)
     pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
     got = url_filter.filter_urls(pages, URL_RULES, spark.createDataFrame([(h,) for h in LISTED_HOSTS], "key string")).orderBy("page_id").collect()
     assert [tuple(r)[1:] for r in got] == [brute_url(u, URL_RULES, LISTED_HOSTS) for u in URLS]
