@@ -84,9 +84,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where compaction put each document: its shard's tier, rows and order among the shards by size."""
-    store = shard_documents(read_table(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}")
-    return store.read().select("doc_id", F.element_at(F.split("_shard", "/"), -1).alias("shard"), F.col("_tier").alias("tier"))
+    """Where compaction put each document: its shard (named by the hashes of its doc_ids), the shard's tier and rows."""
+    docs = read_table(spark, sf_dir, "documents")
+    store = shard_documents(docs, f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}")
+    held = store.read().select("doc_id", "_shard", "_tier")
+    named = held.groupBy("_shard").agg(F.bit_xor(F.xxhash64("doc_id")).alias("shard"), F.count("*").alias("shard_rows"))
+    return held.join(named, "_shard").select("doc_id", "shard", F.col("_tier").alias("tier"), "shard_rows")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

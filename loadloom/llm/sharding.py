@@ -1,8 +1,12 @@
 """Size-tiered compaction of immutable shards under a versioned manifest. DataFrame functions only.
 
 Arrivals become small shards without a shuffle. Shards whose sizes lie in one tier are merged in runs up to the target size;
-merged shards move up a tier. A version of the store is a manifest of its live shards, written aside and then renamed to
-its number in one step, so readers see the old version or the new one and a writer that comes second has to try again.
+merged shards move up a tier. A manifest lists the live shards of a version and is written by the tasks under a name of its
+own; a version is committed by creating one small file, named by its number and holding the manifest's name, without
+overwriting. Of two writers one creates it and the other has to try again; readers see the old version or the new one. That
+is as atomic as the file system's create without overwrite.
+
+A scan needs the paths of its shards on the driver, as Spark's own file index does: one for each 64 MB at full size.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from __future__ import annotations
 import uuid
 from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 TARGET_BYTES = 64 << 20
@@ -17,6 +22,8 @@ TARGET_BYTES = 64 << 20
 FACTOR = 4
 #: Shards under this many bytes are of tier 0.
 SMALLEST = 1 << 20
+#: Shards that are put in order together when runs are planned.
+PLANNED = 10_000
 MANIFEST = "shard string, bytes long, rows long, tier int"
 #: Plans of up to so many rows are sent to every task; a longer one is shuffled.
 BROADCAST_ROWS = 100_000
@@ -27,7 +34,7 @@ class Conflict(Exception):
 
 
 class ShardStore:
-    """Shards of one schema under ``path``: data/<run>/..., manifests/<version>/."""
+    """Shards of one schema under ``path``: data/<run>/..., manifests/<name>/..., commits/<version>."""
 
     def __init__(self, spark: SparkSession, path: str, target: int = TARGET_BYTES) -> None:
         self.spark, self.path, self.target = spark, path.rstrip("/"), target
@@ -37,27 +44,32 @@ class ShardStore:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def version(self) -> int:
-        """The last committed version; 0 before the first."""
-        fs, p = self._fs(f"{self.path}/manifests")
+        """The last committed version; 0 before the first. A file that its writer left empty is no version."""
+        fs, p = self._fs(f"{self.path}/commits")
         if not fs.exists(p):
             return 0
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return max((int(n) for n in names if n.isdigit()), default=0)
+        return max((int(s.getPath().getName()) for s in fs.listStatus(p) if s.getLen() and s.getPath().getName().isdigit()), default=0)
 
     def manifest(self, version: int | None = None) -> DataFrame:
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).json(f"{self.path}/manifests/{version:010d}")
+        name = self.spark.read.text(f"{self.path}/commits/{version:010d}").first()[0]
+        return self.spark.read.schema(MANIFEST).json(f"{self.path}/manifests/{name}")
 
     def commit(self, live: DataFrame, base: int) -> int:
-        """Makes ``live`` the version after ``base``; raises Conflict if there is one already."""
-        aside = f"{self.path}/manifests/.new-{uuid.uuid4().hex}"
-        live.write.json(aside)
-        fs, new = self._fs(aside)
-        _, place = self._fs(f"{self.path}/manifests/{base + 1:010d}")
-        if fs.exists(place) or not fs.rename(new, place):
-            raise Conflict(str(place))
+        """Makes ``live`` the version after ``base``; raises Conflict if another writer made it, or is making it."""
+        name = uuid.uuid4().hex
+        live.write.json(f"{self.path}/manifests/{name}")
+        fs, place = self._fs(f"{self.path}/commits/{base + 1:010d}")
+        try:
+            out = fs.create(place, False)
+        except Py4JJavaError as e:
+            if not fs.exists(place):
+                raise
+            raise Conflict(str(place)) from e
+        out.write(bytearray(name.encode()))
+        out.close()
         return base + 1
 
     def _measured(self, run: str) -> DataFrame:
@@ -67,19 +79,26 @@ class ShardStore:
         return rows.select("shard", "bytes", "rows", tier.alias("tier"))
 
     def append(self, rows: DataFrame) -> int:
-        """Adds an arrival as shards of the sizes that its partitions have. An arrival without rows changes nothing."""
+        """Adds an arrival: each of its partitions is cut into shards of about a quarter of the target. One without rows changes nothing."""
         base = self.version()
         run = f"{self.path}/data/{uuid.uuid4().hex}"
-        rows.write.option("compression", "zstd").parquet(run)
-        if self.spark.read.schema(rows.schema).parquet(run).isEmpty():
+        sized = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in rows.schema.fields if f.dataType.typeName() in ("string", "binary")]
+        mean = rows.agg(F.avg(sum(sized, F.lit(8 * len(rows.columns))))).first()[0]
+        if mean is None:
             return base
+        rows.write.option("compression", "zstd").option("maxRecordsPerFile", max(1, int(self.target / 4 / mean))).parquet(run)
         return self.commit(self.manifest(base).unionByName(self._measured(run)), base)
 
     def plan(self, live: DataFrame) -> DataFrame:
         """(shard, run): runs of two or more shards of a tier, smallest first, each up to the target size."""
         small = live.where(F.col("bytes") < self.target / 2)
-        sums = Window.partitionBy("tier").orderBy("bytes", "shard").rowsBetween(Window.unboundedPreceding, -1)
-        runs = small.withColumn("run", F.concat_ws("-", "tier", F.floor(F.coalesce(F.sum("bytes").over(sums), F.lit(0)) / self.target).cast("long")))
+        parts = {r["tier"]: -(-r["count"] // PLANNED) for r in small.groupBy("tier").count().collect()}  # a row for each tier
+        if not parts:
+            return small.select("shard", F.lit("").alias("run"), "bytes", "rows").limit(0)
+        of = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])
+        small = small.withColumn("part", F.pmod(F.xxhash64("shard"), F.element_at(of, F.col("tier"))))
+        sums = Window.partitionBy("tier", "part").orderBy("bytes", "shard").rowsBetween(Window.unboundedPreceding, -1)
+        runs = small.withColumn("run", F.concat_ws("-", "tier", "part", F.floor(F.coalesce(F.sum("bytes").over(sums), F.lit(0)) / self.target).cast("long")))
         many = runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
         return runs.join(many, "run").select("shard", "run", "bytes", "rows")
 

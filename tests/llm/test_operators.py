@@ -258,6 +258,35 @@ def test_sharding_keeps_every_row(spark, rows, tmp_path):
     assert sharding.shard_documents(docs.limit(0), f"file://{tmp_path}/u").version() == 0
 
 
+def test_sharding_tiers_and_two_writers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "SMALLEST", 2_000)
+    monkeypatch.setattr(sharding, "PLANNED", 3)
+    rng = random.Random(8)
+    many = spark.createDataFrame([(k, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300))) for k in range(2_000)], "doc_id long, text string")
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target=100_000)
+    store.append(many.where("doc_id < 1000").coalesce(1))
+    assert store.manifest().count() > 10  # one partition, cut into small shards
+    store.compact()
+    store.append(many.where("doc_id between 1000 and 1009").repartition(4))
+    small = store.manifest().where("rows < 10").count()
+    store.append(many.where("doc_id >= 1010").repartition(3))
+    assert store.manifest().select("tier").distinct().count() >= 2
+    store.compact()
+    live = store.manifest()
+    assert small == 4 and live.where("bytes < 50000").groupBy("tier").count().where("count > 3").isEmpty()
+    assert live.agg({"bytes": "max"}).first()[0] < 200_000
+    assert sorted(map(tuple, store.read().select("doc_id", "text").collect())) == sorted(map(tuple, many.collect()))
+    base = store.version()
+    first, second = sharding.ShardStore(spark, store.path, 100_000), sharding.ShardStore(spark, store.path, 100_000)
+    monkeypatch.setattr(second, "version", lambda: base)  # the second writer began before the first one was done
+    assert first.append(many.limit(3)) == base + 1
+    with pytest.raises(sharding.Conflict):
+        second.append(many.limit(5))
+    assert first.version() == base + 1 and first.read().count() == 2_003
+    open(f"{tmp_path}/s/commits/{base + 2:010d}", "w").close()  # a writer that died between creating and writing
+    assert store.version() == base + 1
+
+
 def test_quality_classifier_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
