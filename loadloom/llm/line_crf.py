@@ -7,6 +7,7 @@ lengths. Lines of a labelled document learn with its label.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,38 +19,47 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 #: Labelled documents that the field is fitted to: those with the least hashed ids, wherever they are.
 SAMPLE = 4000
 STEPS, RATE, PENALTY = 250, 0.1, 1e-3
-SYMBOLS = str.maketrans("", "", "#*$%&<>=~^_{}[]\\@/+")
-MARKS = str.maketrans("", "", "!?")
-BARS = str.maketrans("", "", "|")
-DIGITS = str.maketrans("", "", "0123456789")
-STOPS = str.maketrans("", "", ".,;:'\"()-")
+#: The signs of each class of characters that lines are described by.
+CLASSES = ("#*$%&<>=~^_{}[]\\@/+", "!?", "|", "0123456789", ".,;:'\"()-")
+#: Scales of the shares of these classes.
+SCALES = np.array([10.0, 10.0, 10.0, 5.0, 10.0])
 OWN = 14
 WIDTH = 3 * OWN + 1
 
 
-def line_features(line: str, seen: set[str]) -> list[float]:
-    words = line.split()
-    n, chars = len(words), len(line)
-    letters = [c for c in line if c.isalpha()] if chars < 40 else None
-    upper = sum(map(str.isupper, letters)) / max(1, len(letters)) if letters is not None else 1 - (len(line) - sum(map(str.isupper, line))) / chars
-    again = line in seen
-    seen.add(line)
-    return [
-        np.log1p(n),
-        (chars - len(line.translate(SYMBOLS))) / chars * 10,
-        upper * 2,
-        (chars - len(line.translate(MARKS))) / chars * 10,
-        (chars - len(line.translate(BARS))) / chars * 10,
-        (chars - len(line.translate(DIGITS))) / chars * 5,
-        (chars - len(line.translate(STOPS))) / chars * 10,
-        chars / n / 10,
-        1.0 - len(set(words)) / n,
-        float(again),
-        float(line.rstrip()[-1] in ".!?:;\"'"),
-        float(line.lstrip()[0].isupper()),
-        float(n < 4),
-        float(max(map(len, words)) > 40),
-    ]
+@functools.cache
+def class_table() -> np.ndarray:
+    """For each code point a bit for each class, then for letters and for upper case."""
+    bits = np.zeros(0x110000, np.uint8)
+    for k, signs in enumerate(CLASSES):
+        bits[[ord(c) for c in signs]] |= 1 << k
+    points = [chr(c) for c in range(0x110000)]
+    bits[np.fromiter(map(str.isalpha, points), bool, len(points))] |= 1 << 5
+    bits[np.fromiter(map(str.isupper, points), bool, len(points))] |= 1 << 6
+    return bits
+
+
+def line_features(lines: list[str], again: list[bool]) -> np.ndarray:
+    """A row for each line, none of which is blank; ``again``: whether its text had the same line before."""
+    if not lines:
+        return np.zeros((0, OWN))
+    chars = np.fromiter(map(len, lines), np.int64, len(lines))
+    bits = class_table()[np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")]
+    starts = np.cumsum(chars) - chars
+    count = lambda k: np.add.reduceat((bits >> k) & 1, starts, dtype=np.int64)
+    shares = np.stack([count(k) for k in range(5)], 1) / chars[:, None] * SCALES
+    letters, upper = np.maximum(np.add.reduceat(((bits >> 5) & 1), starts, dtype=np.int64), 1), np.add.reduceat((bits & 96) == 96, starts, dtype=np.int64)
+    every = count(6)
+    words = [x.split() for x in lines]
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    distinct = np.fromiter((len(set(w)) for w in words), np.int64, len(words))
+    longest = np.fromiter((max(map(len, w)) for w in words), np.int64, len(words))
+    ends = np.fromiter((w[-1][-1] in ".!?:;\"'" for w in words), bool, len(words))
+    begins = np.fromiter((w[0][0].isupper() for w in words), bool, len(words))
+    return np.column_stack([
+        np.log1p(n), shares[:, 0], np.where(chars < 40, upper / letters, every / chars) * 2, shares[:, 1:], chars / n / 10,
+        1.0 - distinct / n, np.array(again, float), ends, begins, n < 4, longest > 40,
+    ])
 
 
 class Lines(NamedTuple):
@@ -61,14 +71,14 @@ class Lines(NamedTuple):
 
 
 def lines_of(texts: list[str | None]) -> Lines:
-    counts, rows, lengths = [], [], []
+    counts, lines, again = [], [], []
     for text in texts:
-        seen: set[str] = set()
         own = [x for x in text.split("\n") if x.strip()] if text else []
-        rows += [line_features(x, seen) for x in own]
-        lengths += map(len, own)
+        seen: set[str] = set()
+        again += [x in seen or bool(seen.add(x)) for x in own]
+        lines += own
         counts.append(len(own))
-    return Lines(np.array(counts, np.int64), np.array(rows, np.float64).reshape(-1, OWN), np.array(lengths, np.float64))
+    return Lines(np.array(counts, np.int64), line_features(lines, again), np.fromiter(map(len, lines), np.float64, len(lines)))
 
 
 def with_neighbours(lines: Lines) -> np.ndarray:
@@ -175,8 +185,9 @@ def sample_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """A field fitted to at most ``sample`` labelled documents; ``docs`` and ``labels`` hold only what may be learned from."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select(F.col("quality").cast("int"), "text")  # chosen has at most ``sample`` rows
+    chosen = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    found = docs.join(F.broadcast(chosen), "doc_id")  # chosen has at most ``sample`` rows
+    texts = found.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.min("text").alias("text")).select("quality", "text")
     rows = texts.mapInArrow(sample_lines, "quality int, features binary, lengths binary").collect()
     features = [np.frombuffer(r["features"], np.float64).reshape(-1, OWN) for r in rows]
     lines = Lines(np.array([len(f) for f in features], np.int64), np.vstack([np.zeros((0, OWN)), *features]), np.concatenate([np.zeros(0), *(np.frombuffer(r["lengths"], np.float64) for r in rows)]))
@@ -205,7 +216,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     score reads the text alone.
 
     Null and empty texts and texts without words: the share of good documents among those learned from. Without labels all
-    scores are 0.5. Labels other than 0 and 1 are not learned; of several for one document the least counts. Repeated
+    scores are 0.5. Labels other than 0 and 1 are not learned; of several for one document the least counts, and of several
+    texts the first in order. Repeated
     rows are each scored; null ids are held out. Empty table: no rows.
     """
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "score", "predicted")]).withColumn("text", F.col("text").cast("string"))
