@@ -13,6 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,10 @@ SEQUENCE = 2048
 END_ID = 0
 #: Pieces that are packed together; a task holds a few numbers for each.
 PARTITION_PIECES = 200_000
-ROUNDS = 4
+#: Share of the sequences packed again that a round of exchange must save for another one to follow.
+GAIN = 1e-4
+#: Numbers of sequences set aside for one partition and for one round; both are far more than there can be.
+PART_BINS, ROUND_BINS = 1 << 22, 1 << 50
 #: Chunks of text whose ids a task remembers; it forgets all when it has more.
 REMEMBERED = 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -167,7 +171,11 @@ def lower_bound(lengths: np.ndarray, size: int) -> int:
     """The best bound of two families of dual-feasible functions, over every parameter that matters."""
     if not len(lengths):
         return 0
-    counts = np.bincount(lengths, minlength=size + 1).astype(np.int64)
+    return bound_of(np.bincount(lengths, minlength=size + 1).astype(np.int64), size)
+
+
+def bound_of(counts: np.ndarray, size: int) -> int:
+    """The bound for ``counts[n]`` pieces of each length n."""
     at = np.arange(size + 1)
     best = -(-int((counts * at).sum()) // size)
     above, mass = np.cumsum(counts[::-1])[::-1], np.concatenate([[0], np.cumsum(counts * at)])
@@ -200,11 +208,23 @@ def pack_partition(size: int, keep_open: bool):
     return run
 
 
+def certificate(packed: DataFrame, size: int = SEQUENCE) -> tuple[int, int]:
+    """How many sequences ``packed`` (length, sequence_id) has, and the least number that any packing of its pieces needs."""
+    counts = packed.groupBy("length").count().collect()  # at most ``size`` rows
+    weights = np.zeros(size + 1, np.int64)
+    for r in counts:
+        weights[r["length"]] = r["count"]
+    return packed.where("offset = 0").count(), bound_of(weights, size)
+
+
 def pack(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> DataFrame:
     """Packs every text of ``docs`` (doc_id, text) into sequences of at most ``size`` ids.
 
     A document is its ids and an end id; only longer ones are cut. Returns one row for each piece: doc_id, piece, start,
-    length, ids_crc32, sequence_id, offset.
+    length, ids_crc32, sequence_id, offset. ``certificate`` tells how far it is from the best possible.
+
+    Pieces are dealt to partitions at random. Rounds of exchange go on while they save one in ten thousand (``GAIN``), and are undone where they don't; a single partition has
+    no other to exchange with.
 
     Null and empty texts: one piece of one id. Null or repeated doc_ids: each row is packed by itself. Very long texts: as many
     whole pieces as they have. Ties in length go by doc_id and piece. Empty table: no rows. Other columns are not read.
@@ -213,16 +233,17 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> Data
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     pieces = materialize(docs.mapInArrow(cut_pieces(path, size), PIECES), "packing-pieces")
     done = [pieces.where(F.col("length") == size).select(*pieces.columns, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    rest = pieces.where(F.col("length") < size).select(*pieces.columns)
+    rest = pieces.where(F.col("length") < size)
     kept, freed = None, None  # the last packing, and how many sequences it freed
-    for k in range(ROUNDS):
+    for k in count():
         parts = max(1, -(-rest.count() // PARTITION_PIECES))
-        last = parts == 1 or k == ROUNDS - 1
-        dealt = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(k)), F.lit(parts)))
+        last = parts == 1
+        # the place of a row in the written table deals repeated rows apart
+        dealt = rest.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(k)), F.lit(parts)))
         placed = materialize(dealt.groupBy("part").applyInPandas(pack_partition(size, last), PLACED), f"packing-{k}")
-        placed = placed.withColumn("sequence_id", F.lit((k + 1) << 59) + F.col("part") * (1 << 20) + F.col("bin"))
+        placed = placed.withColumn("sequence_id", -(F.col("part") * PART_BINS + F.col("bin") + F.lit(k) * ROUND_BINS) - 1)
         made = placed.where("offset = 0").count()
-        if freed is not None and made > freed:  # packing them again did not help
+        if freed is not None and freed - made < max(1, GAIN * freed):  # packing them again did not help
             done.append(kept)
             break
         done.append(placed.where("not free"))
