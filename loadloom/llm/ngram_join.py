@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loadloom.llm.text import WordHashes, overlap, shingle_set, space_words
 from loadloom.session import materialize
@@ -324,14 +324,15 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """Groups documents whose sets of ``k``-word shingles have a Jaccard similarity of ``percent``/100 or more.
 
     Reads ``doc_id`` and ``text``; other columns are left alone. Returns one row for each row of ``docs``: doc_id,
-    n_shingles, component_id (least doc_id reachable by links), copies (rows with the same set).
+    n_shingles, component_id (least doc_id reachable by links), copies (rows with the same set), component (bytes that stand for
+    the component, null for empty sets), mark_a and mark_b (hashes that stand for the text).
 
     Null text, empty text and text without words: an empty set, linked with nothing, component_id is its doc_id.
     Null doc_id: the row links like any other, but is in no minimum; its component_id is null if all of its component are null.
     Repeated rows: each is returned. A doc_id with several texts: each text is judged by itself. Empty table: no rows.
     """
     text = F.col("text").cast("string")
-    docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("mark_a"), F.xxhash64(F.lit(1), text).alias("mark_b"), text.alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long"), *text_marks(text), text.alias("text"))
     found = materialize(docs.mapInArrow(signatures(k), SIGNATURE), "ngram-signatures")
     rows = found.where("bucket is null")
     counts = found.where("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen"))
@@ -360,10 +361,37 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
 
     of = nodes.select(F.col("digest").alias("node"), "rep", "copies").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = materialize(of.join(least, "root").select(F.col("node").alias("digest"), "component_id", "copies"), "ngram-classes")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(of, "digest", "left").select(
+    of = materialize(of.join(least, "root").select(F.col("node").alias("digest"), "root", "component_id", "copies"), "ngram-classes")
+    return rows.select("doc_id", "mark_a", "mark_b", F.col("n").alias("n_shingles"), "digest").join(of, "digest", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("copies", F.lit(1)).alias("copies"),
+        F.col("root").alias("component"),
+        "mark_a",
+        "mark_b",
     )
+
+
+def text_marks(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("mark_a"), F.xxhash64(F.lit(1), text).alias("mark_b")]
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any columns), unchanged, of which each component of ``ngram_join`` keeps one.
+
+    The one with the least doc_id stays; rows without an id come last, and ties go by a hash of the text. Of rows that repeat
+    doc_id and text any one stays. Texts without words are linked with nothing and all stay.
+    """
+    found = ngram_join(docs, k, percent)
+    least = found.where("component is not null").groupBy("component", (F.col("doc_id").isNull()).alias("_last"), "doc_id", "mark_a", "mark_b").agg(F.count("*").alias("rows"))
+    chosen = least.groupBy("component").agg(F.min(F.struct("_last", "doc_id", "mark_a", "mark_b", "rows")).alias("row")).select("row.*")
+    chosen = materialize(chosen.select(F.col("doc_id").alias("_ngram_id"), F.col("mark_a").alias("_ngram_a"), F.col("mark_b").alias("_ngram_b"), "rows"), "ngram-chosen")
+    a, b = text_marks(F.col("text").cast("string"))
+    marked = docs.withColumns({"_ngram_row_a": a, "_ngram_row_b": b})
+    same = lambda other: (F.col("_ngram_row_a") == other["_ngram_a"]) & (F.col("_ngram_row_b") == other["_ngram_b"]) & F.col("doc_id").cast("long").eqNullSafe(other["_ngram_id"])
+    once, more = chosen.where("rows = 1"), chosen.where("rows > 1")
+    kept = marked.join(once, same(once), "left_semi")
+    if not more.isEmpty():
+        kept = kept.unionByName(marked.join(more, same(more), "left_semi").dropDuplicates(["doc_id", "_ngram_row_a", "_ngram_row_b"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")))

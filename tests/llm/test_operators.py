@@ -53,20 +53,25 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def brute_components(rows):
-    sets = [shingles(t) for _, t in rows]
-    root = list(range(len(rows)))
+def brute_groups(sets):
+    root = list(range(len(sets)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in range(len(rows)):
+    for i in range(len(sets)):
         for j in range(i):
             both = len(sets[i] & sets[j])
             if both and 100 * both >= 75 * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
+    return [find(k) for k in range(len(sets))]
+
+
+def brute_components(rows):
+    sets = [shingles(t) for _, t in rows]
+    find = brute_groups(sets).__getitem__
     least = {}
     for k, (i, _) in enumerate(rows):
         if i is not None:
@@ -172,11 +177,14 @@ def test_packing_round_trip(spark, rows):
 
 def test_packing_exchange_keeps_every_piece(spark, rows, monkeypatch):
     monkeypatch.setattr(packing, "PARTITION_PIECES", 20)
-    many = [(1000 * k + (i or 0), t) for k in range(4) for i, t in rows]
+    many = [(1000 * k + (i or 0), t) for k in range(4) for i, t in rows] + [(7, rows[7][1])] * 60
     got = packing.pack(frame(spark, many), size=64).toPandas().sort_values(["sequence_id", "offset"])
     assert (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all()
     assert len(got) == packing.pack(frame(spark, many), size=64).count()
     assert got.sequence_id.nunique() <= 1.05 * packing.lower_bound(got.length.to_numpy(), 64) + 2
+    made, bound = packing.certificate(spark.createDataFrame(got), 64)
+    assert made == got.sequence_id.nunique() and bound == packing.lower_bound(got.length.to_numpy(), 64)
+    assert got.groupby("sequence_id").length.sum().max() <= 64
 
 
 def test_bounds_hold_and_best_fit_is_valid():
@@ -654,6 +662,45 @@ def test_pipeline_stages(spark):
     assert packed.count() > 0
 
 
+def test_pipeline_leaves_other_columns_alone(spark, rows):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = frame(spark, [*rows, (9000, "call Mr. John Smith, " + rows[0][1])]).selectExpr("doc_id", "text", "'en' lang", "'s' source", "cast(length(text) as long) n_chars", "'user' score", "7 predicted", "'mine' held_out", "'own' entities", "3 n_shingles", "doc_id component_id", "1 component", "2 mark_a")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString(), name
+        told = got.select("score", "predicted", "held_out", "entities", "n_shingles", "component", "mark_a").distinct().collect()
+        assert [tuple(r) for r in told] == [("user", 7, "mine", "own", 3, 1, 2)], name
+    parts = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert parts.count() >= docs.count()
+
+
+def test_one_of_each_group_stays(spark, rows):
+    twice = [*rows, *rows[:5], (None, rows[-1][1])]
+    got = [tuple(r) for r in ngram_join.one_of_each(frame(spark, twice)).select("doc_id", "text").collect()]
+    sets = [shingles(t) for _, t in twice]
+    group = brute_groups(sets)
+    least = {}
+    for k, (i, _) in enumerate(twice):
+        if sets[k]:
+            least.setdefault(group[k], []).append((i is None, i or 0))
+    assert sorted((i is None, i or 0) for i, t in got if shingles(t)) == sorted(map(min, least.values()))
+    assert Counter((i, t) for i, t in got if not shingles(t)) == Counter((i, t) for (i, t), s in zip(twice, sets, strict=True) if not s)
+
+
+def test_features_of_lines():
+    lines = ["Hello, World! 12", "|a|b|", "x" * 50, "ÀÉ ß ǅ é", "# {x} = y / z", "  lead and trail.  ", "THE END OF A LINE THAT IS LONG ENOUGH HERE"]
+    for line, got in zip(lines, line_crf.line_features(lines, [False] * len(lines)), strict=True):
+        words, n, own = line.split(), len(line), lambda signs: sum(c in signs for c in line) / n  # noqa: B023
+        letters = [c for c in line if c.isalpha()]
+        upper = sum(map(str.isupper, letters)) / max(1, len(letters)) if n < 40 else sum(map(str.isupper, line)) / n
+        symbols, marks, bars, digits, stops = map(own, line_crf.CLASSES)
+        expected = [math.log1p(len(words)), symbols * 10, upper * 2, marks * 10, bars * 10, digits * 5, stops * 10, n / len(words) / 10, 1 - len(set(words)) / len(words), 0]
+        expected += [words[-1][-1] in ".!?:;\"'", words[0][0].isupper(), len(words) < 4, max(map(len, words)) > 40]
+        assert np.allclose(got, expected), line
+
+
 def test_queries_have_unique_digests(spark, sf):
     from loadloom.llm.queries import op8_secret_scan
 
