@@ -8,26 +8,28 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loadloom.llm.decontaminate import drop_contaminated
 from loadloom.llm.line_crf import classify
-from loadloom.llm.ngram_join import ngram_join
+from loadloom.llm.ngram_join import one_of_each
 from loadloom.llm.packing import pack
 from loadloom.llm.pii import replace_entities
 from loadloom.session import materialize, read_table
 
 
+def aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of these names put under private ones, and the way back."""
+    back = {f"_pipeline_{c}": c for c in docs.columns if c in names}
+    return docs.withColumnsRenamed({c: k for k, c in back.items()}), back
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    return classify(docs, read_table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+    renamed, back = aside(docs, ("held_out", "score", "predicted"))
+    good = classify(renamed, read_table(spark, sf_dir, "labels")).where("predicted = 1")
+    return good.select(*renamed.columns).withColumnsRenamed(back)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group; documents without an id stay, and rows that repeat one are dropped."""
-    found = ngram_join(docs)
-    stay = found.where("doc_id = component_id").select("doc_id")
-    twice = not stay.groupBy("doc_id").count().where("count > 1").isEmpty()
-    kept = docs.join(stay.distinct() if twice else stay, "doc_id", "left_semi")
-    if twice:
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each group of near copies, the one with the least id; texts without words all stay."""
+    return one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,11 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced; n_chars follows the text."""
-    return replace_entities(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    renamed, back = aside(docs, ("entities",))
+    told = replace_entities(renamed).select(*renamed.columns)
+    if "n_chars" in docs.columns:
+        told = told.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return told.withColumnsRenamed(back)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
