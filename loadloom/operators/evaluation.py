@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loadloom.functions.scalars import ratio
+from loadloom.operators.folds import fold_rows
 from loadloom.operators.grid import by_series
 
 
@@ -35,20 +36,14 @@ def wide_to_long(wide: DataFrame, keys: Sequence[str], columns: Sequence[str]) -
 
 def accepted(log: DataFrame, most_age: int) -> DataFrame:
     """Rows that hold against the last *accepted* row of their series: not older in issue or model time, and not from a model over
-    ``most_age`` before. A rejected row changes nothing, so each series is folded in log order. log: series_id, pos, issued, trained."""
-    ordered = log.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("pos", "issued", "trained"))).alias("a"))
+    ``most_age`` before. A rejected row changes nothing. log: series_id, pos, issued, trained."""
 
-    def turn(acc: Column, x: Column) -> Column:
-        why = F.when(x["issued"] - x["trained"] > most_age, "stale").when(x["issued"] < acc["issued"], "out_of_order").when(x["trained"] < acc["trained"], "older_model").otherwise("ok")
-        ok = why == "ok"
-        return F.struct(
-            F.when(ok, x["issued"]).otherwise(acc["issued"]).alias("issued"),
-            F.when(ok, x["trained"]).otherwise(acc["trained"]).alias("trained"),
-            F.concat(acc["out"], F.array(F.struct(x["pos"].alias("pos"), why.alias("status")))).alias("out"),
-        )
+    def turn(last: tuple[int, int], row: tuple) -> tuple[tuple[int, int], tuple]:
+        series, pos, issued, trained = row
+        why = "stale" if issued - trained > most_age else "out_of_order" if issued < last[0] else "older_model" if trained < last[1] else "ok"
+        return ((issued, trained) if why == "ok" else last), (series, pos, why)
 
-    start = F.struct(F.lit(-(1 << 62)).cast("bigint").alias("issued"), F.lit(-(1 << 62)).cast("bigint").alias("trained"), F.array().cast("array<struct<pos:bigint,status:string>>").alias("out"))
-    return ordered.select("series_id", F.explode(F.aggregate("a", start, turn, lambda acc: acc["out"])).alias("o")).select("series_id", "o.pos", "o.status")
+    return fold_rows(log.select("series_id", "pos", "issued", "trained"), ["pos"], lambda: (-(1 << 62), -(1 << 62)), turn, "series_id string, pos long, status string")
 
 
 def first_per(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -60,16 +55,59 @@ def first_per(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 def hysteresis(looks: DataFrame, seconds: int, bounds: int) -> DataFrame:
     """Trusted or not after each look (t, healthy, issued): lost at once, given back after ``seconds`` of health and ``bounds`` issued."""
-    ordered = looks.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", "healthy", "issued"))).alias("a"))
 
-    def turn(acc: Column, x: Column) -> Column:
-        since = F.when(~x["healthy"], F.lit(None).cast("bigint")).otherwise(F.coalesce(acc["since"], x["t"]))
-        count = F.when(~x["healthy"], F.lit(0).cast("bigint")).otherwise(acc["count"] + x["issued"])
-        trusted = x["healthy"] & (acc["trusted"] | ((x["t"] - since >= seconds) & (count >= bounds)))
-        return F.struct(trusted.alias("trusted"), since.alias("since"), count.alias("count"), F.concat(acc["out"], F.array(F.struct(x["t"].alias("t"), trusted.alias("trusted")))).alias("out"))
+    def turn(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        (trusted, since, count), (series, t, healthy, issued) = state, row
+        if healthy:
+            since, count = t if since is None else since, count + issued
+            trusted = trusted or (t - since >= seconds and count >= bounds)
+        else:
+            trusted, since, count = False, None, 0
+        return (trusted, since, count), (series, t, trusted)
 
-    start = F.struct(F.lit(True).alias("trusted"), F.lit(None).cast("bigint").alias("since"), F.lit(0).cast("bigint").alias("count"), F.array().cast("array<struct<t:bigint,trusted:boolean>>").alias("out"))
-    return ordered.select("series_id", F.explode(F.aggregate("a", start, turn, lambda acc: acc["out"])).alias("o")).select("series_id", "o.t", "o.trusted")
+    return fold_rows(looks.select("series_id", "t", "healthy", "issued"), ["t"], lambda: (True, None, 0), turn, "series_id string, t long, trusted boolean")
+
+
+#: What a failing gate is reported as, in the order in which gates are looked at.
+GATE_REASONS = (
+    ("identity", "IdentityMismatch"), ("state", "StateUnavailable"), ("data", "DataUnavailable"), ("history", "HistoryInsufficient"),
+    ("calibration", "CalibrationInsufficient"), ("prospective", "ShadowInsufficient"), ("coverage", "CoverageLow"), ("availability", "DataUnavailable"),
+)
+
+
+def gate_reason(trusted: Column, ever: Column) -> tuple[Column, Column]:
+    """(reason, phase) of a candidate from its gates (a boolean column each): the first failing gate by priority; while all hold
+    but trust is not given back yet, the shadow is too short."""
+    reason = F.coalesce(*[F.when(~F.col(gate), said) for gate, said in GATE_REASONS], F.when(trusted, "Ready").otherwise("ShadowInsufficient"))
+    phase = F.when(trusted, "Trusted").when(ever, "Degraded").when(~F.col("history"), "Collecting").when(~F.col("calibration"), "Calibrating").otherwise("Shadow")
+    return reason, phase
+
+
+#: Candidates from the one preferred to the one that is always there.
+FALLBACK = ("lstm", "statistical", "naive")
+
+
+def fallback(looks: DataFrame, dwell: int) -> DataFrame:
+    """The candidate in use after each look, and how often it changed up to then.
+
+    ``looks``: series_id, t, and for each of the two challengers its name with _trusted, _enters (evidence to come in) and _stays
+    (evidence to keep it), and naive_trusted. A challenger comes in when it is trusted and its evidence has held for ``dwell``
+    seconds while the naive one was trusted; one in use that fails goes at once.
+    """
+    challengers = FALLBACK[:-1]
+
+    def turn(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        (used, since, switches), (series, t, naive, *rest) = state, row
+        told = dict(zip(challengers, zip(rest[::3], rest[1::3], rest[2::3]), strict=True))  # trusted, enters, stays
+        since = {m: (t if since[m] is None else since[m]) if naive and told[m][1] else None for m in challengers}
+        safe = naive if used == FALLBACK[-1] else used is not None and naive and told[used][0] and told[used][2]
+        held = [m for m in challengers if told[m][0] and ((safe and m == used) or (since[m] is not None and t - since[m] >= dwell))]
+        now = held[0] if held else FALLBACK[-1] if naive else None
+        switches += now != used
+        return (now, since, switches), (series, t, now, switches)
+
+    columns = ["series_id", "t", "naive_trusted", *(f"{m}_{k}" for m in challengers for k in ("trusted", "enters", "stays"))]
+    return fold_rows(looks.select(*columns), ["t"], lambda: (None, dict.fromkeys(challengers), 0), turn, "series_id string, t long, used string, switches int")
 
 
 def worst_status(targets: DataFrame, hits: DataFrame, order: Sequence[str], otherwise: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loadloom.operators.folds import fold_rows
 from loadloom.operators.grid import by_series
 
 
@@ -43,8 +44,10 @@ def profile_forecast(grid: DataFrame, season: int, seasons: int, least: int, ste
 def trend_adaptive(grid: DataFrame, season: int, steps: int, step: int, n: int = 6, damping: float = 0.9) -> DataFrame:
     """Yesterday's value times the recent level ratio, which fades with the step."""
     slots, w = season // step, by_series()
-    own, was = F.avg("value").over(w.rowsBetween(-(n - 1), 0)), F.avg("value").over(w.rowsBetween(-(slots + n - 1), -slots))
-    ratios = grid.select("series_id", F.col("t").alias("origin"), F.when(was > 0, F.least(F.greatest(own / was, F.lit(0.5)), F.lit(2.0))).alias("ratio"))
+    now, then = w.rowsBetween(-(n - 1), 0), w.rowsBetween(-(slots + n - 1), -slots)
+    # sums of whole counts are exact, so the ratio is the quotient of two exact numbers, however the rows were added up
+    top, bottom = F.sum("value").over(now) * F.count("value").over(then), F.sum("value").over(then) * F.count("value").over(now)
+    ratios = grid.select("series_id", F.col("t").alias("origin"), F.when(F.sum("value").over(then) > 0, F.least(F.greatest(top / bottom, F.lit(0.5)), F.lit(2.0))).alias("ratio"))
     before = grid.select("series_id", (F.col("t") + season).alias("target"), F.col("value").alias("lagged"))
     both = ahead(grid, steps, step).join(ratios, ["series_id", "origin"]).join(before, ["series_id", "target"], "left")
     return both.select("series_id", "origin", "step", "target", (F.col("lagged") * (1 + (F.col("ratio") - 1) * F.pow(F.lit(damping), F.col("step")))).alias("predicted"))
@@ -91,6 +94,69 @@ def ar_fit(residuals: DataFrame, seconds: int, least: int) -> DataFrame:
     return fitted.select("series_id", "t", "r", "n", F.when(F.col("c").isNotNull(), F.col("phi")).alias("phi"), "c")
 
 
+def solved(s: DataFrame, lags: int, good: Column) -> DataFrame:
+    """Adds c0 .. c``lags``, the solution of the normal equations of ``ar_sums``; NULL where ``good`` is not so or a pivot vanishes.
+
+    Gaussian elimination, unrolled; the matrix is symmetric and a sum of squares, so its pivots need no exchange.
+    """
+    k = lags + 1
+    a = lambda i, j: f"a{min(i, j)}{max(i, j)}"
+    m = s.withColumns({f"m0_{i}{j}": F.col(a(i, j)) if j < k else F.col(f"b{i}") for i in range(k) for j in range(k + 1)})
+    for p in range(k - 1):
+        step = {}
+        for i in range(p + 1, k):
+            for j in range(p + 1, k + 1):
+                step[f"m{p + 1}_{i}{j}"] = F.col(f"m{p}_{i}{j}") - F.try_divide(f"m{p}_{i}{p}", f"m{p}_{p}{p}") * F.col(f"m{p}_{p}{j}")
+        m = m.withColumns(step)
+    for i in reversed(range(k)):
+        rest = F.col(f"m{i}_{i}{k}")
+        for j in range(i + 1, k):
+            rest = rest - F.col(f"m{i}_{i}{j}") * F.col(f"c{j}")
+        m = m.withColumn(f"c{i}", F.when(good & (F.col(f"m{i}_{i}{i}") > 1e-9), rest / F.col(f"m{i}_{i}{i}")))
+    return m.select(*s.columns, *[f"c{i}" for i in range(k)])
+
+
+def stable(radius: float = 0.999) -> Column:
+    """Whether all roots of z^3 - c1 z^2 - c2 z - c3 lie within ``radius`` (the conditions of Jury, with z scaled)."""
+    a1, a2, a3 = (-F.col(f"c{i}") / radius**i for i in (1, 2, 3))
+    return (F.abs(a3) < 1) & (1 + a1 + a2 + a3 > 0) & (1 - a1 + a2 - a3 > 0) & (F.abs(a2 - a1 * a3) < 1 - a3 * a3)
+
+
+def profile_ar(grid: DataFrame, season: int, steps: int, step: int, seconds: int, rows: int, span: int, relative: bool = False, clip: float = 0.5) -> DataFrame:
+    """The seven-season profile of each target plus an AR(3) forecast of what is left over it, never below 0.
+
+    Residuals are y - profile, or with ``relative`` y / profile - 1 (clipped to ``clip`` in the fit alone, not in the lags that the
+    recursion starts from). At each origin the fit takes the last ``seconds`` and needs ``rows`` whole rows spanning ``span``; a
+    fit with a root of 0.999 or more and origins without all three lags give NULL. A target without a profile is NULL.
+    """
+    both = grid.join(profile(grid, season, 7, 1).select("series_id", "t", "profile"), ["series_id", "t"], "left")
+    usable = F.when(F.col("profile") > 0, F.col("profile")) if relative else F.col("profile")
+    raw = (F.col("value") / usable - 1) if relative else F.col("value") - usable
+    clipped = F.when(raw.isNotNull(), F.least(F.greatest(raw, F.lit(-clip)), F.lit(clip)))  # greatest alone would pass over NULL
+    left = both.select("series_id", "t", raw.alias("raw"), (clipped if relative else raw).alias("r"))
+    whole = F.col("r").isNotNull() & F.col("x1").isNotNull() & F.col("x2").isNotNull() & F.col("x3").isNotNull()
+    # the first row of the trailing days has its lags within them, so rows start three steps later
+    s = ar_sums(left, 3, seconds - 4 * step)
+    trail = by_series().rangeBetween(-(seconds - 4 * step), 0)
+    at = F.when(whole, F.col("t"))
+    good = (F.col("n") >= rows) & (F.max(at).over(trail) - F.min(at).over(trail) >= span)
+    s = s.withColumn("good", good)
+    fitted = solved(s, 3, F.col("good"))
+    if not relative:
+        fitted = fitted.withColumn("c0", F.when(stable(), F.col("c0")))
+    lags = fitted.select("series_id", F.col("t").alias("origin"), "c0", "c1", "c2", "c3", F.col("raw").alias("h1"), F.lag("raw", 1).over(by_series()).alias("h2"), F.lag("raw", 2).over(by_series()).alias("h3"))
+    made = [F.col("h3"), F.col("h2"), F.col("h1")]
+    for k in range(steps):
+        lags = lags.withColumn(f"f{k + 1}", F.col("c0") + F.col("c1") * made[-1] + F.col("c2") * made[-2] + F.col("c3") * made[-3])
+        made.append(F.col(f"f{k + 1}"))
+    ahead_ = lags.select("series_id", "origin", F.posexplode(F.array(*[f"f{k + 1}" for k in range(steps)])).alias("k", "left"))
+    ahead_ = ahead_.select("series_id", "origin", (F.col("k") + 1).alias("step"), (F.col("origin") + (F.col("k") + 1) * step).alias("target"), "left")
+    to = profile(grid, season, 7, 1).select("series_id", F.col("t").alias("target"), "profile")
+    out = ahead_.join(to, ["series_id", "target"], "left")
+    raw = F.col("profile") * (1 + F.col("left")) if relative else F.col("profile") + F.col("left")
+    return out.select("series_id", "origin", "step", "target", F.when(raw.isNotNull(), F.greatest(raw, F.lit(0.0))).alias("predicted"))
+
+
 def smoothing_grid(grid: DataFrame, alphas: list[float]) -> DataFrame:
     """Simple exponential smoothing of every series under every alpha, and the alpha with the least squared error.
 
@@ -138,21 +204,17 @@ def seasonal_smoothing(grid: DataFrame, m: int, params: list[tuple[float, float,
 def online_selector(costs: DataFrame, arms: list[str], half_life: float, least: int, penalty: float) -> DataFrame:
     """The arm in use at each origin: averages of matured costs fade with ``half_life``; another arm takes over when its average plus
     ``penalty`` is below the one in use, by more than 1e-9, and both have ``least`` costs. ``costs``: series_id, t, c (one cost for
-    each arm, NULL where not matured). Each series is folded in order of time."""
+    each arm, NULL where not matured)."""
     keep = 0.5 ** (1 / half_life)
-    ordered = costs.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", "c"))).alias("a"))
-
-    def turn(acc: Column, x: Column) -> Column:
-        mean = F.zip_with(acc["mean"], x["c"], lambda m, c: F.when(c.isNull(), m).when(m.isNull(), c).otherwise(keep * m + (1 - keep) * c))
-        n = F.zip_with(acc["n"], x["c"], lambda k, c: k + c.isNotNull().cast("int"))
-        rated = F.transform(F.sequence(F.lit(1), F.lit(len(arms))), lambda i: F.struct(F.when(F.element_at(acc["n"], i) >= least, F.element_at(acc["mean"], i) + F.when(i == acc["use"], 0.0).otherwise(penalty)).alias("cost"), i.alias("i")))
-        known = F.array_sort(F.filter(rated, lambda r: r["cost"].isNotNull()))
-        now = F.get(F.filter(rated, lambda r: r["i"] == acc["use"]), F.lit(0))["cost"]
-        first = F.get(known, F.lit(0))
-        use = F.when(now.isNotNull() & (first["cost"] < now - 1e-9), first["i"]).otherwise(acc["use"])
-        return F.struct(mean.alias("mean"), n.alias("n"), use.alias("use"), F.concat(acc["out"], F.array(F.struct(x["t"].alias("t"), use.alias("use")))).alias("out"))
-
-    none = F.array(*[F.lit(None).cast("double") for _ in arms])
-    start = F.struct(none.alias("mean"), F.array(*[F.lit(0) for _ in arms]).alias("n"), F.lit(1).alias("use"), F.array().cast("array<struct<t:bigint,use:int>>").alias("out"))
-    used = ordered.select("series_id", F.explode(F.aggregate("a", start, turn, lambda acc: acc["out"])).alias("o"))
-    return used.select("series_id", "o.t", F.element_at(F.array(*[F.lit(a) for a in arms]), F.col("o.use")).alias("arm"))
+
+    def turn(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        (means, counts, use), (series, t, found) = state, row
+        rated = [(means[i] + (0.0 if i == use else penalty), i) for i in range(len(arms)) if counts[i] >= least]
+        now = next((c for c, i in rated if i == use), None)
+        if now is not None and min(rated)[0] < now - 1e-9:
+            use = min(rated)[1]
+        means = [m if c is None else c if m is None else keep * m + (1 - keep) * c for m, c in zip(means, found, strict=True)]
+        counts = [k + (c is not None) for k, c in zip(counts, found, strict=True)]
+        return (means, counts, use), (series, t, arms[use])
+
+    return fold_rows(costs.select("series_id", "t", "c"), ["t"], lambda: ([None] * len(arms), [0] * len(arms), 0), turn, "series_id string, t long, arm string")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from loadloom.functions.scalars import floor_to
@@ -156,6 +158,46 @@ def longest_over(points: DataFrame, step: int, limit: float, least: int) -> Data
     return points.select("series_id").distinct().join(over, "series_id", "left").select("series_id", F.coalesce("longest", F.lit(0)).alias("longest"), (F.coalesce("longest", F.lit(0)) >= least).alias("alarm"))
 
 
+def capped_windows(points: DataFrame, judged: DataFrame, step: int, most_share: float) -> DataFrame:
+    """The longest run of each series after filling (the earliest of equal ones) in which filled slots are at most ``most_share``.
+
+    While a run has more, its latest filled gap is opened again and the longest run is looked for anew. Rows: series_id, start, end,
+    slots, filled, removed (gaps opened). What a task gets of a series is one row for each stretch of observed slots and the filled
+    gap after it, never its slots.
+    """
+    observed = runs(points, step)
+    bridges = judged.where("reason = 'filled'").select("series_id", F.col("a").alias("end"), "missing")
+    stretches = observed.join(bridges, ["series_id", "end"], "left").select("series_id", "start", "slots", F.coalesce("missing", F.lit(0)).alias("bridge"))
+    return stretches.groupBy("series_id").applyInPandas(_capped(step, most_share), "series_id string, start long, end long, slots long, filled long, removed int")
+
+
+def _capped(step: int, most_share: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("start")
+        rows = list(zip(pdf["start"].tolist(), pdf["slots"].tolist(), pdf["bridge"].tolist(), strict=True))
+        blocks, own = [], []  # (-slots, start, stretches); stretches of a block are joined by filled gaps
+
+        def push(part: list) -> None:
+            heapq.heappush(blocks, (-sum(n for _, n, _ in part) - sum(b for _, _, b in part[:-1]), part[0][0], part))
+
+        for row in rows:
+            own.append(row)
+            if not row[2]:
+                push(own)
+                own = []
+        removed = 0
+        while True:
+            size, start, part = heapq.heappop(blocks)
+            filled = sum(b for _, _, b in part[:-1])
+            if filled <= most_share * -size:
+                return pd.DataFrame([(pdf["series_id"].iloc[0], start, start + (-size - 1) * step, -size, filled, removed)], columns=["series_id", "start", "end", "slots", "filled", "removed"])
+            removed += 1
+            push(part[:-1])
+            push(part[-1:])
+
+    return run
+
+
 def eligible_origins(filled: DataFrame, steps: int) -> DataFrame:
     """Origins that were observed and whose next ``steps`` slots all were; ``filled`` is a whole grid with value and imputed."""
     ahead = by_series().rowsBetween(1, steps)

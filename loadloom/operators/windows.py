@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from loadloom.operators.folds import fold_rows
 from loadloom.operators.grid import by_series
 
 
@@ -74,24 +75,12 @@ def latest(rows: DataFrame, n: int, *order: Column) -> DataFrame:
 
 
 def resetting_balance(steps: DataFrame, allowance: float) -> DataFrame:
-    """Running sum of ``delta`` that starts again at 0 after it leaves [-allowance, allowance] or meets a NULL.
-
-    The reset depends on the sum itself, so each series is folded in order of time; series run side by side.
-    """
-    ordered = steps.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", "delta"))).alias("a"))
-    folded = F.aggregate(
-        "a",
-        F.struct(F.lit(0.0).alias("balance"), F.array().cast("array<struct<t:bigint,balance:double,reset:boolean>>").alias("out")),
-        lambda acc, x: _turn(acc, x, allowance),
-        lambda acc: acc["out"],
-    )
-    return ordered.select("series_id", F.explode(folded).alias("o")).select("series_id", "o.t", "o.balance", "o.reset")
-
-
-def _turn(acc: Column, x: Column, allowance: float) -> Column:
-    now = acc["balance"] + x["delta"]
-    reset = x["delta"].isNull() | (F.abs(now) > allowance)
-    return F.struct(
-        F.when(reset, F.lit(0.0)).otherwise(now).alias("balance"),
-        F.concat(acc["out"], F.array(F.struct(x["t"].cast("bigint").alias("t"), F.when(reset, F.lit(0.0)).otherwise(now).alias("balance"), reset.alias("reset")))).alias("out"),
-    )
+    """Running sum of ``delta`` that starts again at 0 after it leaves [-allowance, allowance] or meets a NULL."""
+
+    def turn(balance: float, row: tuple) -> tuple[float, tuple]:
+        series, t, delta = row
+        reset = delta is None or abs(balance + delta) > allowance
+        balance = 0.0 if reset else balance + delta
+        return balance, (series, t, balance, reset)
+
+    return fold_rows(steps.select("series_id", "t", "delta"), ["t"], float, turn, "series_id string, t long, balance double, reset boolean")

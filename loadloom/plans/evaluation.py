@@ -99,9 +99,17 @@ def j08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("o_orderkey", F.when(F.col("n").isNull(), "unavailable").when(F.col("n") > 1, "ambiguous").otherwise("matched").alias("status"))
 
 
-@query("w12_accepted")
+STATUS = f"CASE WHEN r.issued - r.trained > {DAY} THEN 'stale' WHEN r.issued < a.issued THEN 'out_of_order' WHEN r.trained < a.trained THEN 'older_model' ELSE 'ok' END"
+
+
+@query(
+    "w12_accepted",
+    f"""WITH RECURSIVE {E}, r AS MATERIALIZED (SELECT series_id, ord AS pos, t - ord % 17 * 900 AS issued, t - user_id * 600 AS trained, row_number() OVER (PARTITION BY series_id ORDER BY ord) AS n FROM e),
+ a AS (SELECT DISTINCT series_id, 0::BIGINT AS n, 0::BIGINT AS pos, -4611686018427387904 AS issued, -4611686018427387904 AS trained, '' AS status FROM r
+  UNION ALL SELECT r.series_id, r.n, r.pos, CASE WHEN {STATUS} = 'ok' THEN r.issued ELSE a.issued END, CASE WHEN {STATUS} = 'ok' THEN r.trained ELSE a.trained END, {STATUS} FROM a JOIN r ON r.series_id = a.series_id AND r.n = a.n + 1)
+ SELECT series_id, pos, status FROM a WHERE n > 0""",
+)
 def w12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against a plain loop in the tests."""
     return ops.accepted(events(spark, sf_dir).select("series_id", F.col("ord").alias("pos"), (F.col("t") - F.col("ord") % 17 * 900).alias("issued"), (F.col("t") - F.col("user_id") * 600).alias("trained")), DAY)
 
 
@@ -194,9 +202,14 @@ def k04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(both.select("series_id", "origin", (F.col("residual") / F.greatest(F.lit(0.5), 0.2 + 0.1 * F.col("bound"))).alias("score")), "score")
 
 
-@query("k09_trust_hysteresis")
+@query(
+    "k09_trust_hysteresis",
+    f"""WITH RECURSIVE {H}, r AS MATERIALIZED (SELECT series_id, t, value < 7 AS healthy, row_number() OVER (PARTITION BY series_id ORDER BY t) AS n FROM h),
+ k AS (SELECT DISTINCT series_id, 0::BIGINT AS n, 0::BIGINT AS t, true AS trusted, NULL::BIGINT AS since, 0::BIGINT AS c FROM r
+  UNION ALL SELECT r.series_id, r.n, r.t, r.healthy AND (k.trusted OR (r.t - coalesce(k.since, r.t) >= {DAY} AND k.c + 4 >= 32)), CASE WHEN r.healthy THEN coalesce(k.since, r.t) END, CASE WHEN r.healthy THEN k.c + 4 ELSE 0 END FROM k JOIN r ON r.series_id = k.series_id AND r.n = k.n + 1)
+ SELECT series_id, t, trusted FROM k WHERE n > 0""",
+)
 def k09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against a plain loop in the tests."""
     return ops.hysteresis(hourly(spark, sf_dir).select("series_id", "t", (F.col("value") < 7).alias("healthy"), F.lit(4).cast("bigint").alias("issued")), DAY, 32)
 
 
@@ -301,3 +314,38 @@ def r08(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w02s(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = judged(spark, sf_dir).groupBy("series_id", F.floor(F.col("origin") / HOUR).alias("hour")).agg(F.count("*").alias("issued"), F.count_if(F.coalesce("covered", F.lit(False))).alias("covered"))
     return windows.trailing_hours(b, 168, "issued", "covered")
+
+
+#: Gates of the looks that follow, each from the hour's requests: column and SQL alike.
+GATES = {"identity": "value % 11 <> 0", "state": "value % 7 <> 6", "data": "value > 1", "history": "t % 172800 >= 43200", "calibration": "value % 5 <> 4", "prospective": "t % 86400 >= 7200", "coverage": "value < 9", "availability": "value <> 3"}
+
+
+@query(
+    "k08_gate_reason",
+    f"""WITH {H}, x AS (SELECT series_id, t, {", ".join(f'{c} AS "{k}"' for k, c in GATES.items())}, value % 3 = 0 AS trusted, t >= {START + 3 * DAY} AS ever FROM h)
+ SELECT series_id, t, CASE WHEN NOT "identity" THEN 'IdentityMismatch' WHEN NOT "state" THEN 'StateUnavailable' WHEN NOT "data" THEN 'DataUnavailable' WHEN NOT "history" THEN 'HistoryInsufficient'
+  WHEN NOT "calibration" THEN 'CalibrationInsufficient' WHEN NOT "prospective" THEN 'ShadowInsufficient' WHEN NOT "coverage" THEN 'CoverageLow' WHEN NOT "availability" THEN 'DataUnavailable' WHEN NOT trusted THEN 'ShadowInsufficient' ELSE 'Ready' END AS reason,
+  CASE WHEN trusted THEN 'Trusted' WHEN ever THEN 'Degraded' WHEN NOT "history" THEN 'Collecting' WHEN NOT "calibration" THEN 'Calibrating' ELSE 'Shadow' END AS phase FROM x""",
+)
+def k08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    looks = hourly(spark, sf_dir).select("series_id", "t", *[F.expr(c).alias(k) for k, c in GATES.items()], (F.col("value") % 3 == 0).alias("trusted"), (F.col("t") >= START + 3 * DAY).alias("ever"))
+    reason, phase = ops.gate_reason(F.col("trusted"), F.col("ever"))
+    return looks.select("series_id", "t", reason.alias("reason"), phase.alias("phase"))
+
+
+#: What is known of each candidate at a look, from the hour's requests: column and SQL alike.
+LOOKS = {"naive_trusted": "value < 8", "lstm_trusted": "value % 6 <> 5", "lstm_enters": "value <> 4", "lstm_stays": "value < 7", "statistical_trusted": "value % 5 <> 4", "statistical_enters": "value < 7", "statistical_stays": "value < 6"}
+_SINCE = {m: f"CASE WHEN r.naive_trusted AND r.{m}_enters THEN coalesce(k.{m}_since, r.t) END" for m in ("lstm", "statistical")}
+_HELD = {m: f"r.{m}_trusted AND ((coalesce(k.used, '') = '{m}' AND r.naive_trusted AND r.{m}_stays) OR coalesce(r.t - ({_SINCE[m]}) >= 14400, false))" for m in _SINCE}
+_NOW = f"CASE WHEN {_HELD['lstm']} THEN 'lstm' WHEN {_HELD['statistical']} THEN 'statistical' WHEN r.naive_trusted THEN 'naive' END"
+
+
+@query(
+    "k11_fallback",
+    f"""WITH RECURSIVE {H}, r AS MATERIALIZED (SELECT series_id, t, {", ".join(f"{c} AS {k}" for k, c in LOOKS.items())}, row_number() OVER (PARTITION BY series_id ORDER BY t) AS n FROM h),
+ k AS (SELECT DISTINCT series_id, 0::BIGINT AS n, 0::BIGINT AS t, NULL::VARCHAR AS used, NULL::BIGINT AS lstm_since, NULL::BIGINT AS statistical_since, 0::INTEGER AS switches FROM r
+  UNION ALL SELECT r.series_id, r.n, r.t, {_NOW}, {_SINCE["lstm"]}, {_SINCE["statistical"]}, k.switches + (({_NOW}) IS DISTINCT FROM k.used)::INTEGER FROM k JOIN r ON r.series_id = k.series_id AND r.n = k.n + 1)
+ SELECT series_id, t, used, switches FROM k WHERE n > 0""",
+)
+def k11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.fallback(hourly(spark, sf_dir).select("series_id", "t", *[F.expr(c).alias(k) for k, c in LOOKS.items()]), 4 * HOUR)

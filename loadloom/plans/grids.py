@@ -175,6 +175,13 @@ def g03f(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ops.fill_gaps(h, ops.judge_gaps(h, HOUR, 3, CUTOFF, MASK), HOUR), "value")
 
 
+@query("g05_capped_windows")
+def g05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held against a plain loop over slots in the tests."""
+    h = hourly(spark, sf_dir)
+    return ops.capped_windows(h, ops.judge_gaps(h, HOUR, 3, CUTOFF, MASK), HOUR, 0.05)
+
+
 RUNS = H + ", i AS (SELECT *, t - 3600 * row_number() OVER (PARTITION BY series_id ORDER BY t) AS k FROM h), r AS (SELECT series_id, min(t) AS \"start\", max(t) AS \"end\", count(*) AS slots FROM i GROUP BY series_id, k)"
 
 

@@ -348,9 +348,14 @@ def w14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hourly(spark, sf_dir).where((day + 1) * DAY + 720 <= START + 20 * DAY).groupBy("series_id", day.alias("day")).agg(F.count("*").alias("hours"), F.sum("value").alias("requests"))
 
 
-@query("w05_resetting_balance")
+@query(
+    "w05_resetting_balance",
+    f"""WITH RECURSIVE {H}, r AS MATERIALIZED (SELECT series_id, t, value - 2 AS delta, row_number() OVER (PARTITION BY series_id ORDER BY t) AS n FROM h),
+ b AS (SELECT series_id, n, t, CASE WHEN abs(delta) > 10 THEN 0.0::DOUBLE ELSE delta END AS balance, abs(delta) > 10 AS reset FROM r WHERE n = 1
+  UNION ALL SELECT r.series_id, r.n, r.t, CASE WHEN abs(b.balance + r.delta) > 10 THEN 0.0::DOUBLE ELSE b.balance + r.delta END, abs(b.balance + r.delta) > 10 FROM b JOIN r ON r.series_id = b.series_id AND r.n = b.n + 1)
+ SELECT series_id, t, balance, reset FROM b""",
+)
 def w05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against a plain loop in the tests."""
     return windows.resetting_balance(hourly(spark, sf_dir).select("series_id", "t", (F.col("value") - 2.0).alias("delta")), 10.0)
 
 
@@ -372,14 +377,15 @@ def f03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(forecasts.profile_forecast(grid(spark, sf_dir), DAY, 7, 3, 6, HOUR), "predicted")
 
 
-TREND = AHEAD + """, r0 AS (SELECT series_id, t, avg(value) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS own, avg(value) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 29 PRECEDING AND 24 PRECEDING) AS was FROM g),
- r AS (SELECT series_id, t, CASE WHEN was > 0 THEN least(greatest(own / was, 0.5), 2) END AS ratio FROM r0),
+TREND = AHEAD + """, r0 AS (SELECT series_id, t, sum(value) OVER x AS own, count(value) OVER x AS n, sum(value) OVER y AS was, count(value) OVER y AS m FROM g
+  WINDOW x AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), y AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 29 PRECEDING AND 24 PRECEDING)),
+ r AS (SELECT series_id, t, CASE WHEN was > 0 THEN least(greatest((own * m) / (was * n), 0.5), 2) END AS ratio FROM r0),
  tr AS (SELECT a.series_id, a.origin, a.step, a.target, y.value * (1 + (ratio - 1) * pow(0.9, a.step)) AS predicted FROM a JOIN r ON r.series_id = a.series_id AND r.t = a.origin LEFT JOIN g y ON y.series_id = a.series_id AND y.t = a.target - 86400)"""
 
 
-@query("f09_trend_adaptive", f"WITH {TREND} SELECT series_id, origin, step::INTEGER AS step, target, round(predicted, 3) AS predicted FROM tr")
+@query("f09_trend_adaptive", f"WITH {TREND} SELECT series_id, origin, step::INTEGER AS step, target, round(predicted, 6) AS predicted FROM tr")
 def f09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(forecasts.trend_adaptive(grid(spark, sf_dir), DAY, 6, HOUR), "predicted", places=3)
+    return rounded(forecasts.trend_adaptive(grid(spark, sf_dir), DAY, 6, HOUR), "predicted")
 
 
 @query(
@@ -388,13 +394,13 @@ def f09(spark: SparkSession, sf_dir: str) -> DataFrame:
  n AS (SELECT series_id, origin, step, CASE WHEN count(p) OVER (PARTITION BY series_id, origin) = 6 THEN p END AS predicted FROM n0),
  ps AS (SELECT series_id, t, last_value(value IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS v FROM g),
  u AS (SELECT series_id, origin, step, predicted FROM tr UNION ALL SELECT * FROM n UNION ALL SELECT a.series_id, origin, step, v FROM a JOIN ps ON ps.series_id = a.series_id AND ps.t = a.origin)
- SELECT series_id, origin, step::INTEGER AS step, count(predicted) AS members, CASE WHEN count(predicted) >= 2 THEN round(median(predicted), 3) END AS median, CASE WHEN count(predicted) >= 2 THEN round(avg(predicted), 3) END AS mean FROM u GROUP BY 1, 2, 3""",
+ SELECT series_id, origin, step::INTEGER AS step, count(predicted) AS members, CASE WHEN count(predicted) >= 2 THEN round(median(predicted), 6) END AS median, CASE WHEN count(predicted) >= 2 THEN round(avg(predicted), 6) END AS mean FROM u GROUP BY 1, 2, 3""",
 )
 def f13(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grid(spark, sf_dir)
     members = [forecasts.trend_adaptive(g, DAY, 6, HOUR), forecasts.seasonal_naive(g, DAY, 6, HOUR), forecasts.persistence(g, 6, HOUR)]
     rows = [m.select("series_id", "origin", "step", "predicted") for m in members]
-    return rounded(forecasts.member_median(rows[0].unionByName(rows[1]).unionByName(rows[2])), "median", "mean", places=3)
+    return rounded(forecasts.member_median(rows[0].unionByName(rows[1]).unionByName(rows[2])), "median", "mean")
 
 
 @query(
@@ -423,7 +429,25 @@ def f05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(forecasts.ar_fit(residuals, 7 * DAY, 36), "phi", "c")
 
 
-@query("f11_smoothing_grid")
+@query(
+    "f11_smoothing_grid",
+    f"""WITH RECURSIVE {H}, r AS MATERIALIZED (SELECT series_id, value AS v, row_number() OVER (PARTITION BY series_id ORDER BY t) AS n FROM h), z AS MATERIALIZED (SELECT series_id, max(n) AS n FROM r GROUP BY 1),
+ f AS (SELECT series_id, n, k / 20.0::DOUBLE AS alpha, v AS level, 0.0::DOUBLE AS sse FROM r, range(1, 20) x(k) WHERE n = 1
+  UNION ALL SELECT r.series_id, r.n, alpha, level + alpha * (v - level), sse + (v - level) * (v - level) FROM f JOIN r ON r.series_id = f.series_id AND r.n = f.n + 1),
+ o AS (SELECT f.*, row_number() OVER (PARTITION BY f.series_id ORDER BY sse, alpha) AS k FROM f JOIN z ON z.series_id = f.series_id AND z.n = f.n)
+ SELECT series_id, alpha, round(sse, 6) AS sse, round(level, 6) AS level FROM o WHERE k = 1""",
+)
 def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against a plain loop in the tests."""
     return rounded(forecasts.smoothing_grid(grid(spark, sf_dir), [k / 20 for k in range(1, 20)]), "sse", "level")
+
+
+@query("f05_profile_ar")
+def f05f(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held against least squares and a plain recursion in the tests."""
+    return rounded(forecasts.profile_ar(grid(spark, sf_dir), DAY, 6, HOUR, 7 * DAY, 36, 6 * HOUR), "predicted")
+
+
+@query("f06_relative_profile_ar")
+def f06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held against least squares and a plain recursion in the tests."""
+    return rounded(forecasts.profile_ar(grid(spark, sf_dir), DAY, 6, HOUR, 7 * DAY, 36, 0, relative=True), "predicted")

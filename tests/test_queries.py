@@ -132,6 +132,74 @@ def test_online_selector(spark, sf):
         assert got[r.series_id, r.t] == ARMS[use]
 
 
+def test_capped_windows(spark, sf):
+    from loadloom.operators import grid as ops
+    from loadloom.plans.grids import CUTOFF, MASK
+
+    h = registry.hourly(spark, sf)
+    judged = ops.judge_gaps(h, 3600, 3, CUTOFF, MASK)
+    for share in (0.05, 0.2):
+        got = {r.series_id: tuple(r)[1:] for r in ops.capped_windows(h, judged, 3600, share).collect()}
+        observed, gaps = {}, {}
+        for r in h.collect():
+            observed.setdefault(r.series_id, set()).add(r.t)
+        for r in judged.where("reason = 'filled'").collect():
+            gaps.setdefault(r.series_id, []).append(set(range(r.a + 3600, r.b, 3600)))
+        for s, points in observed.items():
+            left, removed = list(gaps.get(s, [])), 0
+            while True:
+                filled = set().union(*left)
+                slots = sorted(points | filled)
+                runs = [[slots[0]]]
+                for t in slots[1:]:
+                    if t - runs[-1][-1] == 3600:
+                        runs[-1].append(t)
+                    else:
+                        runs.append([t])
+                run = max(runs, key=lambda x: (len(x), -x[0]))
+                inside = filled & set(run)
+                if len(inside) <= share * len(run):
+                    break
+                left = [g for g in left if max(inside) not in g]
+                removed += 1
+            assert got[s] == (run[0], run[-1], len(run), len(inside), removed)
+
+
+@pytest.mark.parametrize("name, relative", [("f05_profile_ar", False), ("f06_relative_profile_ar", True)])
+def test_profile_ar(spark, sf, name, relative):
+    import math
+
+    import numpy as np
+
+    got = {(r.series_id, r.origin, r.step): r.predicted for r in QUERIES[name](spark, sf).collect()}
+    series = {}
+    for r in registry.grid(spark, sf).collect():
+        series.setdefault(r.series_id, {})[r.t] = r.value
+    for s, y in series.items():
+        def profile(t):
+            own = [y[t - d * 86400] for d in range(1, 8) if y.get(t - d * 86400) is not None]  # noqa: B023
+            return sum(own) / len(own) if own else None
+
+        p = {t: profile(t) for t in range(min(y), max(y) + 7 * 3600, 3600)}
+        left = {t: (None if v is None or p[t] is None or (relative and p[t] <= 0) else v / p[t] - 1 if relative else v - p[t]) for t, v in y.items()}
+        fit = {t: None if v is None else min(0.5, max(-0.5, v)) if relative else v for t, v in left.items()}
+        for o in sorted(y)[::7]:
+            times = [t for t in range(max(min(y), o - 7 * 86400 + 4 * 3600), o + 1, 3600) if all(fit.get(t - k * 3600) is not None for k in range(4))]
+            hist = [left.get(o - k * 3600) for k in range(3)]
+            coef = None
+            if len(times) >= 36 and (relative or times[-1] - times[0] >= 6 * 3600) and None not in hist:
+                coef = np.linalg.lstsq(np.array([[1.0, *(fit[t - k * 3600] for k in (1, 2, 3))] for t in times]), np.array([fit[t] for t in times]), rcond=None)[0]
+                if not relative and max(abs(np.roots([1.0, *-coef[1:]]))) >= 0.999:
+                    coef = None
+            for k in range(1, 7):
+                expected = None
+                if coef is not None:
+                    hist = [coef[0] + sum(c * v for c, v in zip(coef[1:], hist)), *hist[:2]]
+                    at = p[o + k * 3600]
+                    expected = None if at is None or (not relative and at is None) else max(0.0, at * (1 + hist[0]) if relative else at + hist[0])
+                assert (got[s, o, k] is None) == (expected is None) and (expected is None or math.isclose(got[s, o, k], expected, abs_tol=2e-5)), (s, o, k)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
