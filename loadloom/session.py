@@ -29,9 +29,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset (tests), one of this machine."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset a local session gets one of this machine; a cluster has none
+    that all executors share, so there it must be set."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="spark-loadloom-")
         spark.sparkContext.setCheckpointDir(shared)
     return shared.rstrip("/")

@@ -15,24 +15,28 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 
 
 def idempotent_append(path: str, keys: list[str], conflicts: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: rows whose key is new are appended; a known key with other content goes to ``conflicts``.
+    """A ``foreachBatch`` function: rows whose key is new are appended; a key with other content than the journal's, or with several
+    contents in one batch, goes to ``conflicts`` (of several contents the one with the least hash is kept).
 
-    A batch that comes again after a restart finds its keys and changes nothing.
+    Each batch has a folder of its own, in the journal and among the conflicts, which a batch that comes again writes anew. So a
+    restart between the two writes, or after them, changes nothing.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rest = [c for c in batch.columns if c not in keys]
         said = F.sha2(F.to_json(F.struct(*rest)), 256)
-        rows = batch.withColumn("_said", said).groupBy(*keys).agg(F.min_by(F.struct(*rest), "_said").alias("r"), F.min("_said").alias("_said"), F.max("_said").alias("_other"))
-        rows = rows.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest], "_said", "_other")
+        rows = batch.withColumn("_said", said).groupBy(*keys).agg(F.min_by(F.struct(*rest), "_said").alias("r"), F.min("_said").alias("_said"), F.max("_said").alias("_other"), F.max_by(F.struct(*rest), "_said").alias("o"))
         fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        known = None
         if fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
-            known = spark.read.parquet(path).select(*keys, said.alias("_known"))
-            if conflicts:
-                rows.join(known, keys).where("_said <> _known or _other <> _known").select(*batch.columns).write.mode("append").parquet(conflicts)
-            rows = rows.join(known, keys, "left_anti")
-        rows.select(*batch.columns).write.mode("append").parquet(path)
+            known = spark.read.option("basePath", path).parquet(path).where(F.col("batch") != batch_id).select(*keys, said.alias("_known"))
+        rows = rows.join(known, keys, "left") if known is not None else rows.withColumn("_known", F.lit(None).cast("string"))
+        if conflicts:
+            told = rows.where("_said <> _other or _said <> _known or _other <> _known")
+            other = F.when(F.col("_known").isNull() | (F.col("_other") != F.col("_known")), F.col("o")).otherwise(F.col("r")).alias("r")
+            told.select(*keys, other).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest]).write.mode("overwrite").parquet(f"{conflicts}/batch={batch_id}")
+        rows.where("_known is null").select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest]).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 

@@ -11,6 +11,12 @@ from loadloom.plans.registry import QUERIES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+@pytest.fixture(scope="module")
+def sf():
+    """The size at which results are compared; ties and rounding show themselves there that the smallest tables don't have."""
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def con(sf):
     c = duckdb.connect()

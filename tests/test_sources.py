@@ -16,8 +16,14 @@ def test_journal_is_idempotent(spark, tmp_path):
     write(first, 0)
     write(first, 0)
     write(spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string"), 1)
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "b"), (3, "d")]
-    assert list(map(tuple, spark.read.parquet(odd).collect())) == [(2, "c")]
+    told = lambda p: sorted(map(tuple, spark.read.parquet(p).select("k", "v").collect()))
+    assert told(path) == [(1, "a"), (2, "b"), (3, "d")]
+    assert told(odd) == [(2, "c")]
+    both = spark.createDataFrame([(4, "x"), (4, "y"), (1, "a"), (3, "d")], "k long, v string")  # a new key with two contents
+    for _ in range(2):  # the second time after a crash
+        write(both, 2)
+    assert len(told(path)) == 4 and {(4, "x"), (4, "y")} == {r for r in told(path) + told(odd) if r[0] == 4}
+    assert len(told(odd)) == 2
 
 
 def test_transforms_by_name(spark):
