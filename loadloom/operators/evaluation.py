@@ -135,3 +135,80 @@ def planned_requests(slots: DataFrame, hours: DataFrame, slot_seconds: int) -> D
     part = F.least(F.col("start") + slot_seconds, (F.col("h") + 1) * 3600) - F.greatest(F.col("start"), F.col("h") * 3600)
     planned = cut.groupBy("h").agg(F.sum(F.col("rpm") * part / 60).alias("planned"))
     return hours.join(planned, hours["hour"] == planned["h"] * 3600, "left").select("hour", "planned")
+
+
+def scores(rows: DataFrame, *keys: str) -> DataFrame:
+    """Targets, unavailable ones and errors of each key; errors only where every target has a forecast, so a missing one can't win."""
+    error, whole = F.col("predicted") - F.col("actual"), F.count("*") == F.count("predicted")
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("targets"),
+        (F.count("*") - F.count("predicted")).alias("unavailable"),
+        F.when(whole, F.avg(F.abs(error))).alias("mae"),
+        F.when(whole, F.avg(error)).alias("bias"),
+        F.when(whole, F.sqrt(F.avg(error * error))).alias("rmse"),
+    )
+
+
+def write_tables(predictions: DataFrame, found: DataFrame, path: str) -> None:
+    """``predictions.csv`` and ``scores.csv`` under ``path``, with headers; folders of part files, as every task writes its own."""
+    for df, name in ((predictions, "predictions.csv"), (found, "scores.csv")):
+        df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+
+
+def stratum_draw(eligible: DataFrame, strata: int, each: int, seed: str) -> DataFrame:
+    """``each`` applications of every stratum (app, owner, stratum), no owner twice, strata drawn from low to high.
+
+    The order within a stratum is that of a seeded hash. An owner's first application in it stands for the owner, which is what
+    going through them one by one would take. A stratum with too few owners stays short.
+    """
+    hashed = eligible.withColumn("h", F.md5(F.concat(F.lit(seed), F.col("app").cast("string"))))
+    chosen = None
+    for s in range(strata):
+        own = hashed.where(F.col("stratum") == s)
+        if chosen is not None:
+            own = own.join(chosen.select("owner"), "owner", "left_anti")
+        first = own.groupBy("owner").agg(F.min(F.struct("h", "app", "stratum")).alias("m")).select("m.h", "m.app", "owner", "m.stratum").orderBy("h").limit(each)
+        chosen = first if chosen is None else chosen.unionByName(first)
+    return chosen.select("stratum", (F.row_number().over(Window.partitionBy("stratum").orderBy("h")) - 1).alias("place"), "app", "owner")
+
+
+#: Classes of reasons from the one that decides first, and what a study with one is called.
+OUTCOMES = (("FAIL", "FAIL"), ("NOT READY", "NOT READY"), ("INCOMPLETE", "INCOMPLETE"), ("FAIL-STAT", "FAIL"), ("INCONCLUSIVE", "INCONCLUSIVE"))
+
+
+def outcome_of(reasons: DataFrame, *keys: str) -> DataFrame:
+    """The outcome of each key: that of its worst reason (``class``), PASS if all of its classes are NULL; and how many it has."""
+    rank = F.coalesce(*[F.when(F.col("class") == c, F.lit(i)) for i, (c, _) in enumerate(OUTCOMES)])
+    worst = reasons.groupBy(*keys).agg(F.min(rank).alias("worst"), F.count("class").alias("reasons"))
+    return worst.select(*keys, F.coalesce(F.get(F.array(*[F.lit(o) for _, o in OUTCOMES]), F.col("worst")), F.lit("PASS")).alias("outcome"), "reasons")
+
+
+def component_report(rows: DataFrame, *keys: str) -> DataFrame:
+    """Availability over matured steps, and errors of the hybrid and its pattern over the steps for which both and the truth are there.
+
+    rows: pattern, network, hybrid, weight, actual, target, outstanding. ``identity_mismatch``: matured steps whose hybrid is not
+    weight * pattern + (1 - weight) * network, by more than 1e-9, where all three are there.
+    """
+    matured = ~F.col("outstanding")
+    paired = matured & F.col("actual").isNotNull() & F.col("hybrid").isNotNull() & F.col("pattern").isNotNull()
+    there = lambda c: F.count(F.when(matured, F.col(c)))
+    mean = lambda c: F.avg(F.when(paired, c))
+    told = F.col("weight") * F.col("pattern") + (1 - F.col("weight")) * F.col("network")
+    off = F.abs(told - F.col("hybrid")) > 1e-9 * F.greatest(F.lit(1.0), F.abs(told), F.abs("hybrid"))
+    return rows.groupBy(*keys).agg(
+        F.count_if(matured).alias("matured"),
+        F.count_if("outstanding").alias("outstanding"),
+        there("actual").alias("actual_available"),
+        there("hybrid").alias("hybrid_finite"),
+        there("pattern").alias("pattern_usable"),
+        there("network").alias("network_finite"),
+        ratio(there("pattern"), F.count_if(matured)).alias("pattern_share"),
+        F.count_if(paired).alias("paired"),
+        F.count_distinct(F.when(paired, F.col("target"))).alias("targets"),
+        mean(F.abs(F.col("hybrid") - F.col("actual"))).alias("hybrid_mae"),
+        mean(F.col("hybrid") - F.col("actual")).alias("hybrid_bias"),
+        mean(F.abs(F.col("pattern") - F.col("actual"))).alias("pattern_mae"),
+        mean(F.col("pattern") - F.col("actual")).alias("pattern_bias"),
+        F.count_if(matured & F.col("pattern").isNull()).alias("no_pattern"),
+        F.count_if(matured & off).alias("identity_mismatch"),
+    )

@@ -175,19 +175,29 @@ def smoothing_grid(grid: DataFrame, alphas: list[float]) -> DataFrame:
 
 
 def seasonal_smoothing(grid: DataFrame, m: int, params: list[tuple[float, float, float]], steps: int) -> DataFrame:
-    """Additive level, trend and season of ``m`` slots under each (alpha, beta, gamma); the triple with the least squared error
+    """Additive level, trend and season of ``m`` slots (even) under each (alpha, beta, gamma); the triple with the least squared error
     forecasts ``steps`` slots ahead. Series with under two whole seasons have no row.
 
-    Start: level is the first season's mean, trend the difference of the first two seasons' means over m, season the first
-    season less its mean. Missing slots are filled forward before. Each series is folded in order of time; series and
+    Start: a centred 2 x m moving average over the first seasons (five, or as many as there are, and enough for ten averages) is
+    the trend; the mean of what is left over it at each place of a season, less their mean, the season; a line through the first
+    ten averages level and slope. Missing slots are filled forward before. Each series is folded in order of time; series and
     triples run side by side.
     """
     filled = grid.withColumn("v", F.last("value", ignorenulls=True).over(by_series().rowsBetween(Window.unboundedPreceding, 0))).where("v is not null")
-    ordered = filled.groupBy("series_id").agg(F.max("t").alias("origin"), F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("v")).where(F.size("v") >= 2 * m)
+    ordered = filled.groupBy("series_id").agg(F.max("t").alias("origin"), F.transform(F.sort_array(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("v"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    head = ordered.withColumns({"m1": total(F.slice("v", 1, m)) / m, "m2": total(F.slice("v", m + 1, m)) / m})
-    tried = head.select("*", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(g).alias("g")) for a, b, g in params])).alias("p"))
-    start = F.struct(F.col("m1").alias("level"), ((F.col("m2") - F.col("m1")) / m).alias("trend"), F.transform(F.slice("v", 1, m), lambda x: x - F.col("m1")).alias("season"), F.lit(0.0).alias("sse"))
+    enough = -(-(10 + m) // m)
+    head = ordered.withColumn("cycles", F.greatest(F.least(F.lit(5), F.floor(F.size("v") / m)), F.lit(enough)).cast("int")).where((F.size("v") >= 2 * m) & (F.size("v") >= F.col("cycles") * m))
+    head = head.withColumn("plain", F.transform(F.sequence(F.lit(1), F.col("cycles") * m - m + 1), lambda j: total(F.slice("v", j, m)) / m))
+    head = head.withColumn("trend", F.zip_with(F.slice("plain", F.lit(1), F.size("plain") - 1), F.slice("plain", F.lit(2), F.size("plain") - 1), lambda x, y: (x + y) / 2))
+    over = F.transform("trend", lambda y, j: F.element_at("v", j + m // 2 + 1) - y)
+    head = head.withColumn("over", over)
+    at_place = lambda k: F.filter("over", lambda x, j: (j + m // 2) % m == k)
+    head = head.withColumn("places", F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda k: total(at_place(k)) / F.size(at_place(k))))
+    head = head.withColumn("season", F.transform("places", lambda x: x - total(F.col("places")) / m))
+    head = head.withColumn("mean", total(F.slice("trend", 1, 10)) / 10).withColumn("slope", total(F.transform(F.slice("trend", 1, 10), lambda y, j: (j - 4.5) * y)) / 82.5)
+    tried = head.select("series_id", "origin", "v", "season", "mean", "slope", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(g).alias("g")) for a, b, g in params])).alias("p"))
+    start = F.struct((F.col("mean") - F.col("slope") * 5.5).alias("level"), F.col("slope").alias("trend"), F.col("season"), F.lit(0.0).alias("sse"))
 
     def turn(acc: Column, y: Column) -> Column:
         s = F.element_at(acc["season"], 1)  # the season turns: its first slot is the one due now
@@ -195,12 +205,74 @@ def seasonal_smoothing(grid: DataFrame, m: int, params: list[tuple[float, float,
         level = acc["level"] + acc["trend"] + F.col("p.a") * error
         return F.struct(level.alias("level"), (acc["trend"] + F.col("p.a") * F.col("p.b") * error).alias("trend"), F.concat(F.slice(acc["season"], 2, m - 1), F.array(s + F.col("p.g") * error)).alias("season"), (acc["sse"] + error * error).alias("sse"))
 
-    done = tried.select("series_id", "origin", "p", F.aggregate(F.slice(F.col("v"), F.lit(m + 1), F.size("v")), start, turn).alias("f"))
+    done = tried.select("series_id", "origin", "p", F.aggregate("v", start, turn).alias("f"))
     best = done.groupBy("series_id", "origin").agg(F.min(F.struct(F.col("f.sse").alias("sse"), "p", "f")).alias("x"))
     out = best.select("series_id", "origin", "x.sse", "x.p", F.posexplode(F.slice("x.f.season", 1, steps)).alias("k", "s"), "x.f")
     return out.select("series_id", "origin", (F.col("k") + 1).alias("step"), F.col("p.a").alias("alpha"), F.col("p.b").alias("beta"), F.col("p.g").alias("gamma"), "sse", (F.col("f.level") + (F.col("k") + 1) * F.col("f.trend") + F.col("s")).alias("predicted"))
 
 
+def ensemble(one: DataFrame, other: DataFrame, weight: float = 0.5, partial: str = "refuse") -> DataFrame:
+    """``weight`` of one forecaster and the rest of the other, at the origins and steps of ``one``, never below 0.
+
+    ``partial``: with ``refuse`` a forecast of which any member lacks any step is NULL at every step; with ``finite`` a step is the
+    mean of those members that have it.
+    """
+    both = one.select("series_id", "origin", "step", F.col("predicted").alias("a")).join(other.select("series_id", "origin", "step", F.col("predicted").alias("b")), ["series_id", "origin", "step"], "left")
+    mixed = weight * F.col("a") + (1 - weight) * F.col("b")
+    if partial == "finite":
+        mixed = F.coalesce(mixed, "a", "b")
+    else:
+        forecast = Window.partitionBy("series_id", "origin")
+        mixed = F.when(F.count(mixed).over(forecast) == F.count("*").over(forecast), mixed)
+    return both.select("series_id", "origin", "step", F.when(mixed.isNotNull(), F.greatest(mixed, F.lit(0.0))).alias("predicted"))
+
+
+def lagged_ridge(grid: DataFrame, lags: tuple[int, ...], season: int, steps: int, step: int, seconds: int, rows: int, ridge: float = 1e-3) -> DataFrame:
+    """A ridge regression for each step on the values ``lags`` - 1 slots back, fitted anew at every origin; (.., predicted, degraded).
+
+    The fit takes the rows of the last ``seconds`` whose targets are known, standardizes them and adds ``ridge`` times their
+    number to the diagonal; its sums come from trailing windows, so no row is read twice for an origin. Where under ``rows`` rows
+    are in the window, or any value in them is missing, the step is yesterday's value, or the last one, and ``degraded``. At
+    least 1.
+    """
+    w, k = by_series(), len(lags)
+    base = grid.withColumns({f"x{i}": F.lag("value", lag - 1).over(w) for i, lag in enumerate(lags)}).withColumn("held", F.last("value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    base = base.withColumn("place", F.row_number().over(w))
+    out = None
+    for h in range(1, steps + 1):
+        span = seconds // step - 1 - h  # rows before the last one whose target is known
+        trail = w.rowsBetween(-span, 0)
+        rowed = base.withColumn("y", F.lead("value", h).over(w)).withColumn("in_", F.col("place") >= max(lags))
+        whole = F.col("in_") & F.col("y").isNotNull()
+        for i in range(k):
+            whole = whole & F.col(f"x{i}").isNotNull()
+        total = lambda c: F.sum(F.when(whole, c)).over(trail)  # noqa: B023, E731
+        sums = {"n": F.coalesce(F.sum(whole.cast("int")).over(trail), F.lit(0)), "asked": F.sum(F.col("in_").cast("int")).over(trail), "sy": total(F.col("y"))}
+        for i in range(k):
+            sums |= {f"s{i}": total(F.col(f"x{i}")), f"q{i}": total(F.col(f"x{i}") * F.col("y"))}
+            sums |= {f"p{i}{j}": total(F.col(f"x{i}") * F.col(f"x{j}")) for j in range(i, k)}
+        s = rowed.withColumns(sums)
+        mean = lambda i: F.col(f"s{i}") / F.col("n")
+        spread = {f"d{i}": F.sqrt(F.greatest(F.col(f"p{i}{i}") / F.col("n") - mean(i) * mean(i), F.lit(0.0))) for i in range(k)}
+        s = s.where("n > 0").withColumns(spread).withColumns({f"d{i}": F.when(F.col(f"d{i}") < 1e-9, 1.0).otherwise(F.col(f"d{i}")) for i in range(k)})
+        made = {f"b{i}": (F.col(f"q{i}") - mean(i) * F.col("sy")) / F.col(f"d{i}") for i in range(k)}
+        for i in range(k):
+            for j in range(i, k):
+                cross = (F.col(f"p{i}{j}") - F.col("n") * mean(i) * mean(j)) / (F.col(f"d{i}") * F.col(f"d{j}"))
+                made[f"a{i}{j}"] = cross + ridge * F.col("n") if i == j else cross
+        fit = solved(s.withColumns(made), k - 1, (F.col("n") >= rows) & (F.col("n") == F.col("asked")))
+        fit = fit.select("series_id", (F.col("t") + h * step).alias("origin"), (F.col("sy") / F.col("n")).alias("my"), *[f"c{i}" for i in range(k)], *[f"d{i}" for i in range(k)], *[mean(i).alias(f"m{i}") for i in range(k)])
+        now = base.select("series_id", F.col("t").alias("origin"), "held", *[f"x{i}" for i in range(k)])
+        told = now.join(fit, ["series_id", "origin"], "left").join(grid.select("series_id", (F.col("t") + season - h * step).alias("origin"), F.col("value").alias("before")), ["series_id", "origin"], "left")
+        value = F.col("my")
+        for i in range(k):
+            value = value + (F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"d{i}") * F.col(f"c{i}")
+        own = told.select("series_id", "origin", F.lit(h).alias("step"), (F.col("origin") + h * step).alias("target"), F.coalesce(value, "before", "held").alias("p"), value.isNull().alias("degraded"))
+        own = own.withColumn("predicted", F.when(F.col("p").isNotNull(), F.greatest("p", F.lit(1.0)))).drop("p")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def online_selector(costs: DataFrame, arms: list[str], half_life: float, least: int, penalty: float) -> DataFrame:
     """The arm in use at each origin: averages of matured costs fade with ``half_life``; another arm takes over when its average plus
     ``penalty`` is below the one in use, by more than 1e-9, and both have ``least`` costs. ``costs``: series_id, t, c (one cost for

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from loadloom.operators import forecasts
-from loadloom.operators.grid import by_series, first_interval, runs, state_runs
+from loadloom.operators import evaluation, forecasts
+from loadloom.operators.grid import by_series, first_interval, forward_fill, runs, state_runs
 from loadloom.plans.grids import MASK, MASK_SQL
 from loadloom.plans.outcomes import SAMPLES, samples
 from loadloom.plans.registry import DAY, E, G, H, HOUR, START, events, grid, hourly, query, rounded
-from loadloom.plans.scoring import NAIVE, SCORED, naive, scored
+from loadloom.plans.scoring import NAIVE, PROFILE, SCORED, naive, scored
 
 PARAMS = [(a, b, g) for a in (0.1, 0.3, 0.6) for b in (0.0, 0.1) for g in (0.05, 0.2)]
 ARMS = ["seasonal", "persistence", "trend"]
@@ -21,6 +21,23 @@ def f07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(forecasts.seasonal_smoothing(grid(spark, sf_dir), 24, PARAMS, 6), "sse", "predicted", places=4)
 
 
+@query("f08_ensemble")
+def f08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The equal-weight ensemble of seasonal smoothing and the profile with AR(3), at each series' last slot; held against its members
+    in the tests."""
+    smooth = forecasts.seasonal_smoothing(grid(spark, sf_dir), 24, PARAMS, 6)
+    profile = forecasts.profile_ar(grid(spark, sf_dir), DAY, 6, HOUR, 7 * DAY, 36, 6 * HOUR)
+    whole, some = (forecasts.ensemble(smooth, profile, partial=rule).withColumn("rule", F.lit(rule)) for rule in ("refuse", "finite"))
+    return rounded(whole.unionByName(some), "predicted", places=4)
+
+
+@query("f12_lagged_ridge")
+def f12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On the grid filled forward; held against numpy in the tests."""
+    whole = forward_fill(grid(spark, sf_dir)).select("series_id", "t", F.col("filled").alias("value"))
+    return rounded(forecasts.lagged_ridge(whole, (1, 2, 3, 6, 24), DAY, 6, HOUR, 7 * DAY, 100), "predicted", places=4)
+
+
 def arm_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean absolute error of each arm's six steps, known six hours after the origin."""
     g = grid(spark, sf_dir)
@@ -176,3 +193,69 @@ def k07(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = scored(spark, sf_dir).where((F.col("step") == 1) & (F.col("predicted") - F.col("actual")).isNotNull()).withColumn("m", (F.col("actual") > F.col("predicted")).cast("int"))
     x = c.withColumns({"missed": F.sum("m").over(w), "n": F.count("*").over(w)})
     return x.select("series_id", "origin", "missed", F.when(F.col("n") < 64, "too_few").when(F.col("missed") > 32, "rolling").otherwise("ok").alias("gate"))
+
+
+@query(
+    "s11_scores",
+    f"""WITH {SCORED} SELECT series_id, step::INTEGER AS step, count(*) AS targets, count(*) - count(predicted) AS unavailable,
+ CASE WHEN count(*) = count(predicted) THEN round(avg(abs(predicted - actual)), 6) END AS mae, CASE WHEN count(*) = count(predicted) THEN round(avg(predicted - actual), 6) END AS bias,
+ CASE WHEN count(*) = count(predicted) THEN round(sqrt(avg((predicted - actual) * (predicted - actual))), 6) END AS rmse FROM sc WHERE actual IS NOT NULL AND origin >= {START + 2 * DAY} AND (step > 3 OR predicted IS NOT NULL) GROUP BY 1, 2""",
+)
+def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored(spark, sf_dir).where((F.col("actual").isNotNull()) & (F.col("origin") >= START + 2 * DAY) & ((F.col("step") > 3) | F.col("predicted").isNotNull()))
+    return rounded(evaluation.scores(rows, "series_id", "step"), "mae", "bias", "rmse")
+
+
+@query(
+    "t04_stratum_draw",
+    f"""WITH {E}, m AS (SELECT user_id, count(*) AS n FROM e GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n, user_id) AS r, count(*) OVER () AS total FROM m),
+ u AS (SELECT user_id, user_id % 23 AS owner, ((r - 1) * 3 // total)::INTEGER AS stratum, md5('draw-7-' || user_id) AS h FROM r),
+ a0 AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY h) AS k FROM u WHERE stratum = 0), c0 AS (SELECT * FROM a0 WHERE k = 1 ORDER BY h LIMIT 5),
+ a1 AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY h) AS k FROM u WHERE stratum = 1 AND owner NOT IN (SELECT owner FROM c0)), c1 AS (SELECT * FROM a1 WHERE k = 1 ORDER BY h LIMIT 5),
+ a2 AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY h) AS k FROM u WHERE stratum = 2 AND owner NOT IN (SELECT owner FROM c0 UNION ALL SELECT owner FROM c1)), c2 AS (SELECT * FROM a2 WHERE k = 1 ORDER BY h LIMIT 5)
+ SELECT stratum, (row_number() OVER (PARTITION BY stratum ORDER BY h) - 1)::INTEGER AS place, user_id, owner FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2)""",
+)
+def t04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loadloom.plans.grids import t03
+
+    users = t03(spark, sf_dir).select(F.col("user_id").alias("app"), (F.col("user_id") % 23).alias("owner"), "stratum")
+    return evaluation.stratum_draw(users, 3, 5, "draw-7-").withColumnRenamed("app", "user_id")
+
+
+#: What befell each arm of each hour, from the hour's requests: column and SQL alike, the worst first.
+REASONS = {"FAIL": "value >= 12", "NOT READY": "t % 21600 = 0 AND value > 7", "INCOMPLETE": "value = 1 AND t % 10800 = 0", "FAIL-STAT": "value = 9", "INCONCLUSIVE": "value = 8"}
+
+
+@query(
+    "l07_outcomes",
+    f"""WITH {H}, d AS (SELECT series_id, t // 86400 AS day, {", ".join(f'count(*) FILTER (WHERE {c}) AS "{k}"' for k, c in REASONS.items())} FROM h GROUP BY 1, 2)
+ SELECT series_id, day, CASE WHEN "FAIL" > 0 THEN 'FAIL' WHEN "NOT READY" > 0 THEN 'NOT READY' WHEN "INCOMPLETE" > 0 THEN 'INCOMPLETE' WHEN "FAIL-STAT" > 0 THEN 'FAIL' WHEN "INCONCLUSIVE" > 0 THEN 'INCONCLUSIVE' ELSE 'PASS' END AS outcome,
+  ("FAIL" + "NOT READY" + "INCOMPLETE" + "FAIL-STAT" + "INCONCLUSIVE")::BIGINT AS reasons FROM d""",
+)
+def l07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = hourly(spark, sf_dir).withColumn("day", F.floor(F.col("t") / DAY))
+    said = h.select("series_id", "day", F.explode(F.array(*[F.when(F.expr(c), F.lit(k)) for k, c in REASONS.items()])).alias("class"))
+    return evaluation.outcome_of(said, "series_id", "day")
+
+
+@query(
+    "l09_component_report",
+    f"""WITH {PROFILE}, ps AS (SELECT series_id, t, last_value(value IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS v FROM g),
+ c AS (SELECT pf.series_id, pf.step, pf.target, y.value AS actual, CASE WHEN k >= 3 THEN p END AS pattern, v AS network, least(0.95, 0.7 + step / 6 * 0.25) AS w, pf.target > {START + 28 * DAY} AS outstanding
+  FROM pf JOIN ps ON ps.series_id = pf.series_id AND ps.t = pf.origin LEFT JOIN g y ON y.series_id = pf.series_id AND y.t = pf.target),
+ d AS (SELECT *, coalesce(w * pattern + (1 - w) * network, pattern, network) AS hybrid FROM c), m AS (SELECT *, actual IS NOT NULL AND hybrid IS NOT NULL AND pattern IS NOT NULL AND NOT outstanding AS paired FROM d)
+ SELECT series_id, step::INTEGER AS step, count(*) FILTER (WHERE NOT outstanding) AS matured, count(*) FILTER (WHERE outstanding) AS outstanding, count(actual) FILTER (WHERE NOT outstanding) AS actual_available,
+  count(hybrid) FILTER (WHERE NOT outstanding) AS hybrid_finite, count(pattern) FILTER (WHERE NOT outstanding) AS pattern_usable, count(network) FILTER (WHERE NOT outstanding) AS network_finite,
+  round(count(pattern) FILTER (WHERE NOT outstanding) / nullif(count(*) FILTER (WHERE NOT outstanding), 0), 6) AS pattern_share, count(*) FILTER (WHERE paired) AS paired, count(DISTINCT CASE WHEN paired THEN target END) AS targets,
+  round(avg(CASE WHEN paired THEN abs(hybrid - actual) END), 6) AS hybrid_mae, round(avg(CASE WHEN paired THEN hybrid - actual END), 6) AS hybrid_bias, round(avg(CASE WHEN paired THEN abs(pattern - actual) END), 6) AS pattern_mae,
+  round(avg(CASE WHEN paired THEN pattern - actual END), 6) AS pattern_bias, count(*) FILTER (WHERE NOT outstanding AND pattern IS NULL) AS no_pattern, 0::BIGINT AS identity_mismatch FROM m GROUP BY 1, 2""",
+)
+def l09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = grid(spark, sf_dir)
+    pattern = forecasts.profile_forecast(g, DAY, 7, 3, 6, HOUR)
+    network = forecasts.persistence(g, 6, HOUR)
+    keys = ["series_id", "origin", "step"]
+    parts = pattern.select(*keys, "target", F.col("predicted").alias("pattern")).join(network.select(*keys, F.col("predicted").alias("network")), keys).join(forecasts.blend(pattern, network).select(*keys, F.col("predicted").alias("hybrid")), keys)
+    actual = g.select("series_id", F.col("t").alias("target"), F.col("value").alias("actual"))
+    rows = parts.join(actual, ["series_id", "target"], "left").withColumns({"weight": F.least(F.lit(0.95), 0.7 + F.col("step") / 6 * 0.25), "outstanding": F.col("target") > START + 28 * DAY})
+    return rounded(evaluation.component_report(rows, "series_id", "step"), "pattern_share", "hybrid_mae", "hybrid_bias", "pattern_mae", "pattern_bias")

@@ -95,30 +95,99 @@ def test_hysteresis(spark, sf):
         assert got[r.series_id, r.t] == trusted
 
 
-def test_seasonal_smoothing(spark, sf):
+def smoothed(v, params, m=24):
+    """Forecasts of six steps by the reference rules, with a plain loop."""
+    import numpy as np
+
+    k = max(min(5, len(v) // m), -(-(10 + m) // m))
+    x = np.array(v[: m * k])
+    plain = [x[i : i + m].mean() for i in range(len(x) - m + 1)]
+    trend = [(a + b) / 2 for a, b in zip(plain, plain[1:])]
+    over = {}
+    for j, y in enumerate(trend):
+        over.setdefault((j + m // 2) % m, []).append(x[j + m // 2] - y)
+    season0 = [sum(over[p]) / len(over[p]) for p in range(m)]
+    season0 = [s - sum(season0) / m for s in season0]
+    slope, level0 = np.polyfit(np.arange(1, 11), trend[:10], 1)
+    best = None
+    for p in params:
+        level, up, season, sse = level0, slope, list(season0), 0.0
+        for n, y in enumerate(v):
+            e = y - (level + up + season[n % m])
+            level, up = level + up + p[0] * e, up + p[0] * p[1] * e
+            season[n % m] += p[2] * e
+            sse += e * e
+        best = min(best or (float("inf"),), (sse, p, [level + (n + 1) * up + season[(len(v) + n) % m] for n in range(6)]))
+    return best
+
+
+def test_seasonal_smoothing_and_ensemble(spark, sf):
     from loadloom.plans.selection import PARAMS
 
-    series = {}
+    series, last = {}, {}
     for r in sorted(registry.grid(spark, sf).collect(), key=lambda r: r.t):
         own = series.setdefault(r.series_id, [])
+        last[r.series_id] = r.t
         if r.value is not None or own:
             own.append(own[-1] if r.value is None else r.value)
     got = {(r.series_id, r.step): r for r in QUERIES["f07_seasonal_smoothing"](spark, sf).collect()}
+    profile = {(r.series_id, r.step): r.predicted for r in QUERIES["f05_profile_ar"](spark, sf).collect() if r.origin == last[r.series_id]}
+    both = {(r.series_id, r.step, r.rule): r.predicted for r in QUERIES["f08_ensemble"](spark, sf).collect()}
     for s, v in series.items():
-        best = None
-        for p in PARAMS:
-            m1, m2 = sum(v[:24]) / 24, sum(v[24:48]) / 24
-            level, trend, season, sse = m1, (m2 - m1) / 24, [x - m1 for x in v[:24]], 0.0
-            for k, y in enumerate(v[24:]):
-                e = y - (level + trend + season[k % 24])
-                level, trend = level + trend + p[0] * e, trend + p[0] * p[1] * e
-                season[k % 24] += p[2] * e
-                sse += e * e
-            best = min(best or (float("inf"),), (sse, p, [level + (k + 1) * trend + season[(len(v) + k) % 24] for k in range(6)]))
+        best = smoothed(v, PARAMS)
+        whole = all(profile[s, k + 1] is not None for k in range(6))
         for k in range(6):
             r = got[s, k + 1]
             assert (r.alpha, r.beta, r.gamma) == best[1]
             assert (r.sse, r.predicted) == pytest.approx((best[0], best[2][k]), abs=1e-3)
+            other = profile[s, k + 1]
+            finite = max(0.0, best[2][k] if other is None else 0.5 * best[2][k] + 0.5 * other)
+            assert both[s, k + 1, "finite"] == pytest.approx(finite, abs=1e-3)
+            assert both[s, k + 1, "refuse"] == (pytest.approx(finite, abs=1e-3) if whole else None)
+
+
+def test_lagged_ridge(spark, sf):
+    import numpy as np
+
+    got = {(r.series_id, r.origin, r.step): (r.predicted, r.degraded) for r in QUERIES["f12_lagged_ridge"](spark, sf).collect()}
+    series = {}
+    for r in sorted(registry.grid(spark, sf).collect(), key=lambda r: (r.series_id, r.t)):
+        own = series.setdefault(r.series_id, {})
+        own[r.t] = own.get(r.t - 3600) if r.value is None else r.value
+    fitted = 0
+    for s, y in series.items():
+        times = sorted(y)
+        v = np.array([np.nan if y[t] is None else y[t] for t in times])
+        x = np.full((len(v), 5), np.nan)
+        for c, lag in enumerate((1, 2, 3, 6, 24)):
+            x[lag - 1 :, c] = v[: len(v) - lag + 1]
+        for o in range(0, len(v), 5):
+            for h in range(1, 7):
+                lo, hi, expected = max(23, o - 168 + 1), o - h, None
+                if hi - lo + 1 >= 100 and np.isfinite(x[o]).all():
+                    a, b = x[lo : hi + 1], v[lo + h : hi + 1 + h]
+                    if np.isfinite(a).all() and np.isfinite(b).all():
+                        mu, sd = a.mean(0), a.std(0)
+                        z = (a - mu) / sd
+                        beta = np.linalg.solve(z.T @ z + 1e-3 * len(z) * np.eye(5), z.T @ (b - b.mean()))
+                        expected, fitted = b.mean() + (x[o] - mu) / sd @ beta, fitted + 1
+                p, degraded = got[s, times[o], h]
+                assert degraded == (expected is None)
+                if expected is None:
+                    held = v[: o + 1][np.isfinite(v[: o + 1])]
+                    before = v[o + h - 24] if o + h >= 24 else np.nan
+                    expected = before if np.isfinite(before) else held[-1]
+                assert p == pytest.approx(max(1.0, expected), abs=1e-3)
+    assert fitted > 100
+
+
+def test_tables_are_written(spark, sf, tmp_path):
+    from loadloom.operators import evaluation
+
+    found = QUERIES["s11_scores"](spark, sf)
+    evaluation.write_tables(QUERIES["f02_seasonal_naive"](spark, sf), found, str(tmp_path))
+    back = spark.read.option("header", True).csv(str(tmp_path / "scores.csv"))
+    assert back.columns == found.columns and back.count() == found.count()
 
 
 def test_online_selector(spark, sf):
