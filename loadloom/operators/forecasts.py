@@ -50,7 +50,8 @@ def trend_adaptive(grid: DataFrame, season: int, steps: int, step: int, n: int =
     ratios = grid.select("series_id", F.col("t").alias("origin"), F.when(F.sum("value").over(then) > 0, F.least(F.greatest(top / bottom, F.lit(0.5)), F.lit(2.0))).alias("ratio"))
     before = grid.select("series_id", (F.col("t") + season).alias("target"), F.col("value").alias("lagged"))
     both = ahead(grid, steps, step).join(ratios, ["series_id", "origin"]).join(before, ["series_id", "target"], "left")
-    return both.select("series_id", "origin", "step", "target", (F.col("lagged") * (1 + (F.col("ratio") - 1) * F.pow(F.lit(damping), F.col("step")))).alias("predicted"))
+    fades = F.array(*[F.lit(round(damping**k, 12)) for k in range(1, steps + 1)])  # constants: powers differ in their last place between machines
+    return both.select("series_id", "origin", "step", "target", (F.col("lagged") * (1 + (F.col("ratio") - 1) * F.element_at(fades, F.col("step")))).alias("predicted"))
 
 
 def member_median(members: DataFrame) -> DataFrame:
