@@ -13,8 +13,8 @@ from loadloom.llm.line_crf import classify
 from loadloom.llm.ngram_join import ngram_join
 from loadloom.llm.packing import pack
 from loadloom.llm.pii import replace_entities
-from loadloom.llm.quality_rules import judge
-from loadloom.llm.secrets import find_secrets
+from loadloom.llm.quality_rules import base_counts, judge
+from loadloom.llm.secrets import ASSIGN, find_secrets
 from loadloom.llm.sharding import shard_documents
 from loadloom.llm.url_filter import Rule, filter_urls
 from loadloom.session import read_table, scratch_dir
@@ -139,11 +139,49 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pattern part of the secret scan, which SQL can say."""
+    return op8_secret_scan(spark, sf_dir).drop("spans")
+
+
+_ASSIGN = ASSIGN.replace("'", "''")
+_SPANS = " UNION ALL ".join(
+    f"""SELECT doc_id, {order} AS o, '{kind}' AS kind, p.v, p.e - length(p.v) AS s, p.e FROM (SELECT doc_id, unnest(list_transform(range(1, len(v) + 1),
+ lambda i: {{'v': v[i], 'e': list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(v[1:i], lambda x: length(x)))}})) AS p
+ FROM (SELECT doc_id, regexp_split_to_array(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}') AS v FROM d) WHERE len(v) > 0)"""
+    for order, (kind, pattern) in enumerate((("assign", _ASSIGN), ("access", "AKIA[A-Z0-9]{14,}"), ("hex", "[0-9a-f]{16,}")))
+)
+SECRET_BASE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({_SPANS}),
+k AS (SELECT * FROM m WHERE kind <> 'assign' OR length(regexp_extract(v, '{_ASSIGN}', 1)) >= 12),
+c AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS a, count(*) FILTER (WHERE kind = 'access') AS b, count(*) FILTER (WHERE kind = 'hex') AS h, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS told FROM k GROUP BY 1)
+SELECT d.doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex, sha256(coalesce(told, '')) AS base_sha256 FROM d LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return judge(read_table(spark, sf_dir, "documents"), trusted).drop("ratio")
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counting part of the quality rules, which SQL can say."""
+    return base_counts(read_table(spark, sf_dir, "documents")).drop("h")
+
+
+QUALITY_BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i+2], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS n FROM g) WHERE n > 1),
+p AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS x FROM d)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(l.x) - len(list_distinct(l.x)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words, len(w) < 50 OR 100 * coalesce(p.n, 0) > 50 * len(w) AS base_failed
+FROM d JOIN l ON l.doc_id = d.doc_id LEFT JOIN p ON p.doc_id = d.doc_id
+"""
+
+
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_entities(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -159,9 +197,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "secret_base": secret_base,
+    "quality_base": quality_base,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op2_url_filter": OP2_SQL,
     "op7_decontamination": OP7_SQL,
+    "secret_base": SECRET_BASE_SQL,
+    "quality_base": QUALITY_BASE_SQL,
 }

@@ -348,8 +348,9 @@ def test_decontamination_equals_brute_force(spark, rows, monkeypatch):
     items = [(1, rows[0][1]), (2, "One, two!"), (10, rows[20][1]), (3, None), (4, "..."), (None, rows[5][1]), (2, "zzz yyy"), (5, "theta1 THETA1")]
     texts = [*rows, (900, "a one -- TWO; b" + (rows[20][1] or "")), (901, "one one two one two")]
     items_df = spark.createDataFrame(items, "item_id long, text string")
-    for chars in (10**9, 300):
+    for chars, most in ((10**9, 100), (300, 100), (300, 0)):
         monkeypatch.setattr(decontaminate, "BLOCK_CHARS", chars)
+        monkeypatch.setattr(decontaminate, "BROADCAST_TEXTS", most)
         got = decontaminate.decontaminate(frame(spark, texts), items_df).collect()
         told = sorted((repr(r.doc_id), r.n_words, sum(h["last"] - h["first"] + 1 for h in r.hits), list(r["items"])) for r in got)
         assert told == sorted((repr(i), *brute_hits(t, items)) for i, t in texts)
@@ -358,8 +359,8 @@ def test_decontamination_equals_brute_force(spark, rows, monkeypatch):
         for h, s in zip(r.hits, r.spans, strict=True):
             if r.doc_id in (900, 901):
                 assert len(decontaminate.normal_words(by_id[r.doc_id][s["start"] : s["end"]])) == h["last"] - h["first"] + 1
-    kept = decontaminate.drop_contaminated(frame(spark, texts), items_df)
-    assert kept.count() == sum(not brute_hits(t, items)[2] for _, t in texts)
+        kept = decontaminate.drop_contaminated(frame(spark, texts), items_df)
+        assert kept.columns == frame(spark, texts).columns and kept.count() == sum(not brute_hits(t, items)[2] for _, t in texts)
     assert decontaminate.decontaminate(frame(spark, []), items_df).collect() == []
 
 
@@ -701,6 +702,21 @@ def test_features_of_lines():
         assert np.allclose(got, expected), line
 
 
+@pytest.mark.parametrize("name", ["op2_url_filter", "op7_decontamination", "secret_base", "quality_base"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from loadloom.llm import queries
+
+    sf, con = "/root/testdata/sf0.01", duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.sql(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
+    got, expected = queries.QUERIES[name](spark, sf).toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(expected.columns)
+    told = lambda df: sorted(tuple(map(str, r)) for r in df[sorted(df.columns)].itertuples(index=False))
+    assert told(got.fillna("")) == told(expected.fillna(""))
+
+
 def test_queries_have_unique_digests(spark, sf):
     from loadloom.llm.queries import op8_secret_scan
 
