@@ -96,6 +96,29 @@ def day_bootstrap(days: DataFrame, draws: int, seed: int) -> DataFrame:
     return point.join(ends, "series_id")
 
 
+def block_choice(errors: DataFrame, baseline: str, candidates: list[str], draws: int, block: int, seed: int, least_gain: float, quantile: float = 0.1) -> DataFrame:
+    """Which candidate takes the baseline's place in each series: the one with the largest gain of those that gain ``least_gain`` and whose
+    gain stays above 0 at the ``quantile`` of ``draws`` moving-block resamples of the origins; else the baseline.
+
+    ``errors``: series_id, t and a column of errors for each arm; origins that lack one are left out. Blocks are drawn as numbers
+    and joined to numbered origins; a row for each candidate: gain, lower, beats, chosen.
+    """
+    arms, w = [baseline, *candidates], Window.partitionBy("series_id")
+    placed = errors.dropna(subset=arms).withColumns({"i": F.row_number().over(w.orderBy("t")) - 1, "n": F.count("*").over(w)})
+    asked = placed.groupBy("series_id").agg(F.max("n").alias("n")).withColumn("size", F.least(F.lit(block), F.col("n")).cast("int"))
+    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.col("size")).cast("int") - 1)).alias("b"))
+    asked = asked.withColumn("first", draw(F.col("n") - F.col("size") + 1, F.col("draw"), F.col("b"), seed).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("k"))
+    asked = asked.where(F.col("b") * F.col("size") + F.col("k") < F.col("n")).select("series_id", "draw", (F.col("first") + F.col("k")).alias("i"))
+    each = lambda ref: F.explode(F.array(*[F.struct(F.lit(c).alias("candidate"), F.lit(o).alias("place"), F.when(F.col(ref) > 0, (F.col(ref) - F.col(c)) / F.col(ref)).otherwise(0.0).alias("gain")) for o, c in enumerate(candidates)])).alias("g")
+    sums = asked.join(placed, ["series_id", "i"]).groupBy("series_id", "draw").agg(*[F.sum(a).alias(a) for a in arms]).select("series_id", "draw", each(baseline)).select("series_id", "draw", "g.candidate", F.round("g.gain", 12).alias("gain"))
+    ranked = sums.withColumn("r", F.row_number().over(Window.partitionBy("series_id", "candidate").orderBy("gain", "draw")) - 1)
+    lower = ranked.where(F.col("r") == int(quantile * draws)).select("series_id", "candidate", F.col("gain").alias("lower"))
+    point = placed.groupBy("series_id").agg(*[F.sum(a).alias(a) for a in arms]).select("series_id", each(baseline)).select("series_id", "g.*")
+    judged = point.join(lower, ["series_id", "candidate"]).withColumn("beats", (F.col("gain") >= least_gain) & (F.col("lower") > 0))
+    best = F.min(F.when(F.col("beats"), F.struct((-F.col("gain")).alias("g"), "place", "candidate"))).over(w)
+    return judged.select("series_id", "candidate", "gain", "lower", "beats", F.coalesce(best["candidate"], F.lit(baseline)).alias("chosen"))
+
+
 def holm(tests: DataFrame, level: float) -> DataFrame:
     """Step-down adjusted p-values in each family, and which are rejected. ``tests``: family, name, p; a few for a family."""
     w = Window.partitionBy("family").orderBy("p", "name")

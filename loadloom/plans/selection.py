@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from loadloom.operators import evaluation, forecasts
+from loadloom.operators import evaluation, forecasts, outcomes
 from loadloom.operators.grid import by_series, first_interval, forward_fill, runs, state_runs
 from loadloom.plans.grids import MASK, MASK_SQL
 from loadloom.plans.outcomes import SAMPLES, samples
 from loadloom.plans.registry import DAY, E, G, H, HOUR, START, events, grid, hourly, query, rounded
-from loadloom.plans.scoring import NAIVE, PROFILE, SCORED, naive, scored
+from loadloom.plans.scoring import NAIVE, PROFILE, SCORED, TREND, naive, scored
 
 PARAMS = [(a, b, g) for a in (0.1, 0.3, 0.6) for b in (0.0, 0.1) for g in (0.05, 0.2)]
 ARMS = ["seasonal", "persistence", "trend"]
@@ -259,3 +259,28 @@ def l09(spark: SparkSession, sf_dir: str) -> DataFrame:
     actual = g.select("series_id", F.col("t").alias("target"), F.col("value").alias("actual"))
     rows = parts.join(actual, ["series_id", "target"], "left").withColumns({"weight": F.least(F.lit(0.95), 0.7 + F.col("step") / 6 * 0.25), "outstanding": F.col("target") > START + 28 * DAY})
     return rounded(evaluation.component_report(rows, "series_id", "step"), "pattern_share", "hybrid_mae", "hybrid_bias", "pattern_mae", "pattern_bias")
+
+
+@query(
+    "k12_block_choice",
+    f"""WITH {TREND}, n0 AS (SELECT a.*, g.value AS p FROM a LEFT JOIN g ON g.series_id = a.series_id AND g.t = a.target - 86400),
+ n AS (SELECT series_id, origin, target, CASE WHEN count(p) OVER (PARTITION BY series_id, origin) = 6 THEN p END AS predicted FROM n0),
+ ps AS (SELECT series_id, t, last_value(value IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS v FROM g),
+ u AS (SELECT series_id, origin, target, predicted, 't' AS arm FROM tr UNION ALL SELECT series_id, origin, target, predicted, 's' FROM n UNION ALL SELECT a.series_id, origin, target, v, 'p' FROM a JOIN ps ON ps.series_id = a.series_id AND ps.t = a.origin),
+ c AS (SELECT u.series_id, origin + 21600 AS t, round(avg(CASE WHEN arm = 's' THEN abs(predicted - g.value) END), 9) AS s, round(avg(CASE WHEN arm = 'p' THEN abs(predicted - g.value) END), 9) AS p, round(avg(CASE WHEN arm = 't' THEN abs(predicted - g.value) END), 9) AS tr
+  FROM u JOIN g ON g.series_id = u.series_id AND g.t = u.target GROUP BY 1, 2),
+ pl AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM c WHERE s IS NOT NULL AND p IS NOT NULL AND tr IS NOT NULL),
+ z AS (SELECT series_id, max(n) AS n, least(12, max(n)) AS size FROM pl GROUP BY 1),
+ b AS (SELECT series_id, n, size, draw, unnest(range(0, ceil(n / size)::BIGINT)) AS b FROM z, (SELECT unnest(range(0, 200)) AS draw)),
+ q0 AS (SELECT *, ((draw * 668265263 + b * 374761393 + 11::BIGINT * 974711) % 4294967296)::BIGINT AS x FROM b), q1 AS (SELECT *, (xor(x, x >> 15) * 40503) % 4294967296 AS y FROM q0), q2 AS (SELECT *, (xor(y, y >> 13) * 60493) % 4294967296 AS w FROM q1),
+ k AS (SELECT series_id, n, size, draw, b, (xor(w, w >> 16) & 4294967295) % (n - size + 1) AS first, unnest(range(0, size)) AS k FROM q2), d AS (SELECT series_id, draw, first + k AS i FROM k WHERE b * size + k < n),
+ sm AS (SELECT d.series_id, d.draw, sum(s) AS s, sum(p) AS p, sum(tr) AS tr FROM d JOIN pl ON pl.series_id = d.series_id AND pl.i = d.i GROUP BY 1, 2),
+ gs AS (SELECT series_id, draw, 'persistence' AS candidate, round(CASE WHEN s > 0 THEN (s - p) / s ELSE 0 END, 12) AS gain FROM sm UNION ALL SELECT series_id, draw, 'trend', round(CASE WHEN s > 0 THEN (s - tr) / s ELSE 0 END, 12) FROM sm),
+ lo AS (SELECT series_id, candidate, gain AS lower FROM (SELECT *, row_number() OVER (PARTITION BY series_id, candidate ORDER BY gain, draw) - 1 AS r FROM gs) WHERE r = 20),
+ pt AS (SELECT series_id, sum(s) AS s, sum(p) AS p, sum(tr) AS tr FROM pl GROUP BY 1), pg AS (SELECT series_id, 'persistence' AS candidate, CASE WHEN s > 0 THEN (s - p) / s ELSE 0 END AS gain FROM pt UNION ALL SELECT series_id, 'trend', CASE WHEN s > 0 THEN (s - tr) / s ELSE 0 END FROM pt),
+ j AS (SELECT pg.series_id, pg.candidate, gain, lower, gain >= 0.02 AND lower > 0 AS beats FROM pg JOIN lo ON lo.series_id = pg.series_id AND lo.candidate = pg.candidate)
+ SELECT series_id, candidate, round(gain, 6) AS gain, round(lower, 6) AS lower, beats, coalesce(first_value(CASE WHEN beats THEN candidate END) OVER (PARTITION BY series_id ORDER BY beats DESC, gain DESC, candidate), 'seasonal') AS chosen FROM j""",
+)
+def k12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    costs = arm_costs(spark, sf_dir).select("series_id", "t", *[F.element_at("c", i + 1).alias(a) for i, a in enumerate(ARMS)])
+    return rounded(outcomes.block_choice(costs, ARMS[0], ARMS[1:], 200, 12, 11, 0.02), "gain", "lower")
