@@ -266,8 +266,9 @@ def fit(docs: DataFrame, path: str) -> Model:
         known = docs.where("lang is not null and text is not null").select("lang", "text")
         counts = known.mapInArrow(count_pieces(path), "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
         at = {lang: i for i, lang in enumerate(languages)}
-        for r in counts.collect():  # at most languages times vocabulary rows
-            table[at[r["lang"]], r["piece"]] = r["n"]
+        for batch in counts.toArrow().to_batches():  # at most languages times vocabulary rows
+            rows = np.fromiter(map(at.__getitem__, batch.column(0).to_pylist()), np.int64, batch.num_rows)
+            table[rows, batch.column(1).to_numpy()] = batch.column(2).to_numpy()
     return Model(languages, table, path)
 
 
