@@ -168,7 +168,7 @@ def t02(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "f04_weighted_pattern",
-    f"""WITH {AHEAD}, d AS (SELECT unnest(range(1, 8)) AS d), x AS (SELECT a.series_id, a.origin, a.step, y.value AS v, pow(0.3, d - 1) AS w, y.t FROM a, d, g y WHERE y.series_id = a.series_id AND y.t = a.target - d * 86400 AND y.value IS NOT NULL AND a.origin % 43200 = 0),
+    f"""WITH {AHEAD}, d AS (SELECT unnest(range(1, 8)) AS d), x AS (SELECT a.series_id, a.origin, a.step, y.value AS v, pow(0.3, d - 1) AS w, y.t FROM a, d, g y WHERE y.series_id = a.series_id AND y.t = a.target - d * 86400 AND y.value IS NOT NULL),
  c AS (SELECT *, (sum(w) OVER (PARTITION BY series_id, origin, step ORDER BY v, t ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER (PARTITION BY series_id, origin, step) AS c FROM x),
  z AS (SELECT series_id, origin, step, max(c) FILTER (WHERE c <= 0.7) AS cl, arg_max(v, c) FILTER (WHERE c <= 0.7) AS vl, min(c) FILTER (WHERE c >= 0.7) AS ch, arg_min(v, c) FILTER (WHERE c >= 0.7) AS vh FROM c GROUP BY 1, 2, 3)
  SELECT series_id, origin, step::INTEGER AS step, round(CASE WHEN cl IS NULL THEN vh WHEN ch IS NULL OR ch = cl THEN vl ELSE vl + (vh - vl) * (0.7 - cl) / (ch - cl) END, 4) AS value FROM z""",
@@ -176,16 +176,6 @@ def t02(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f04(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 70th weighted percentile of the same slot on the seven days before, nearer days weighing more."""
     g = grid(spark, sf_dir)
-    targets = forecasts.ahead(g, 6, HOUR).where(F.col("origin") % (12 * HOUR) == 0)
-    sent = g.where("value is not null").select("series_id", "t", "value", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("d")).withColumn("target", F.col("t") + F.col("d") * DAY)
-    rows = targets.join(sent, ["series_id", "target"]).withColumn("weight", F.pow(F.lit(0.3), F.col("d") - 1))
-    return rounded(aggregates.weighted_percentile(rows, 0.7, "series_id", "origin", "step"), "value", places=4)
-
-
-@query("f04_weighted_pattern_all")
-def f04_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """f04 from every origin; held against a plain loop in the tests."""
-    g = grid(spark, sf_dir)
     sent = g.where("value is not null").select("series_id", "t", "value", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("d")).withColumn("target", F.col("t") + F.col("d") * DAY)
     rows = forecasts.ahead(g, 6, HOUR).join(sent, ["series_id", "target"]).withColumn("weight", F.pow(F.lit(0.3), F.col("d") - 1))
     return rounded(aggregates.weighted_percentile(rows, 0.7, "series_id", "origin", "step"), "value", places=4)

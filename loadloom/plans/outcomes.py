@@ -43,17 +43,10 @@ def k01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "k02_queue_status",
-    f"""WITH {E}, q AS (SELECT series_id, ord AS key, t + 3600 AS target FROM e WHERE ord % 10 = 0), x AS (SELECT q.*, (SELECT min(t) FROM e WHERE e.series_id = q.series_id AND e.t >= q.target) AS seen FROM q)
+    f"""WITH {E}, q AS (SELECT series_id, ord AS key, t + 3600 AS target FROM e), x AS (SELECT q.*, (SELECT min(t) FROM e WHERE e.series_id = q.series_id AND e.t >= q.target) AS seen FROM q)
  SELECT series_id, key, CASE WHEN seen IS NULL THEN 'early' WHEN seen - target <= 300 THEN 'matched' ELSE 'dropped' END AS status FROM x""",
 )
 def k02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    return ops.queue_status(e.where("ord % 10 = 0").select("series_id", F.col("ord").alias("key"), (F.col("t") + HOUR).alias("target")), e.select("series_id", "t"), 300)
-
-
-@query("k02_queue_status_all")
-def k02_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k02 issued for every event; held against a plain loop in the tests."""
     e = events(spark, sf_dir)
     return ops.queue_status(e.select("series_id", F.col("ord").alias("key"), (F.col("t") + HOUR).alias("target")), e.select("series_id", "t"), 300)
 
@@ -235,24 +228,17 @@ def v10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ops.demand_from_trace(hourly(spark, sf_dir), 10.0, 2.5), "share")
 
 
-ATTEMPTS = "att AS (SELECT o_custkey % 40 AS hour, o_orderkey % 3 AS attempt, o_orderkey // 3 % 4 AS arm, (o_custkey % 7 <> 0 AND o_orderkey % 3 = 1)::INTEGER AS final FROM orders WHERE o_orderkey % 61 = 0)"
+ATTEMPTS = "att AS (SELECT o_orderdate AS hour, o_orderkey AS attempt, l_linenumber AS arm, (l_linestatus = 'F')::INTEGER AS final FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey)"
 
 
 @query(
     "v17_final_attempts",
-    f"""WITH {ATTEMPTS}, u AS (SELECT DISTINCT * FROM att), w AS (SELECT hour, attempt, count(*) AS n, count(DISTINCT arm) AS a, min(final) AS lo, max(final) AS hi FROM u GROUP BY 1, 2),
+    f"""WITH {ATTEMPTS}, w AS (SELECT hour, attempt, count(*) AS n, count(DISTINCT arm) AS a, min(final) AS lo, max(final) AS hi FROM att GROUP BY 1, 2),
  f AS (SELECT hour, count(*) FILTER (WHERE n = 4 AND a = 4 AND lo = hi AND hi = 1) AS k, min(CASE WHEN n = 4 AND a = 4 AND lo = hi AND hi = 1 THEN attempt END) AS x FROM w GROUP BY 1)
  SELECT hour, CASE WHEN k = 1 THEN 'final' WHEN k > 1 THEN 'conflict' ELSE 'unfinalized' END AS status, CASE WHEN k = 1 THEN x END AS attempt FROM f""",
 )
 def v17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, c = F.col("o_orderkey"), F.col("o_custkey")
-    rows = read_table(spark, sf_dir, "orders").where("o_orderkey % 61 = 0").select((c % 40).alias("hour"), (o % 3).alias("attempt"), (F.floor(o / 3) % 4).alias("arm"), ((c % 7 != 0) & (o % 3 == 1)).cast("int").alias("final")).distinct()
-    return ops.final_attempts(rows, 4)
-
-
-@query("v17_final_attempts_all")
-def v17_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """v17 over every order: its date is the hour, the order the attempt, its lines the arms, final where they are; held against a plain loop in the tests."""
+    """Every order's date is an hour, the order an attempt at it, its lines the arms, final where they are."""
     o, l = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "lineitem")
     rows = o.join(l, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderdate").alias("hour"), F.col("o_orderkey").alias("attempt"), F.col("l_linenumber").alias("arm"), (F.col("l_linestatus") == "F").cast("int").alias("final"))
     return ops.final_attempts(rows, 4)

@@ -189,18 +189,10 @@ def j01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j02_nearest",
-    f"""WITH {E}, q AS (SELECT series_id, ord, t - 86400 AS want FROM e WHERE ord % 7 = 0), x AS (SELECT q.*, e.t AS found, e.value AS v, row_number() OVER (PARTITION BY q.series_id, q.ord ORDER BY abs(e.t - want), e.t, e.value) AS r FROM q JOIN e ON e.series_id = q.series_id AND abs(e.t - want) <= 300)
+    f"""WITH {E}, q AS (SELECT series_id, ord, t - 86400 AS want FROM e), x AS (SELECT q.*, e.t AS found, e.value AS v, row_number() OVER (PARTITION BY q.series_id, q.ord ORDER BY abs(e.t - want), e.t, e.value) AS r FROM q JOIN e ON e.series_id = q.series_id AND abs(e.t - want) <= 300)
  SELECT series_id, ord, want, found, round(v, 6) AS found_value FROM x WHERE r = 1""",
 )
 def j02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    targets = e.where("ord % 7 = 0").select("series_id", "ord", (F.col("t") - DAY).alias("want"))
-    return rounded(joins.nearest(targets, e, 300), "found_value")
-
-
-@query("j02_nearest_all")
-def j02_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """j02 asked for every event; held against a plain loop in the tests."""
     e = events(spark, sf_dir)
     return rounded(joins.nearest(e.select("series_id", "ord", (F.col("t") - DAY).alias("want")), e, 300), "found_value")
 
@@ -226,19 +218,10 @@ def j04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j06_overlaps",
-    f"""WITH {E}, l AS (SELECT series_id, ord AS l, t AS a, t + 240 AS b FROM e WHERE ord % 5 = 0), r AS (SELECT series_id, ord AS r, t AS c, t + (ord % 4) * 600 AS d FROM e WHERE ord % 5 = 1)
+    f"""WITH {E}, l AS (SELECT series_id, ord AS l, t AS a, t + 240 AS b FROM e), r AS (SELECT series_id, ord AS r, t AS c, t + (ord % 4) * 600 AS d FROM e)
  SELECT l.series_id, l, a, b, r, c, d FROM l JOIN r ON r.series_id = l.series_id AND a <= d AND b >= c""",
 )
 def j06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    left = e.where("ord % 5 = 0").select("series_id", F.col("ord").alias("l"), F.col("t").alias("a"), (F.col("t") + 240).alias("b"))
-    right = e.where("ord % 5 = 1").select("series_id", F.col("ord").alias("r"), F.col("t").alias("c"), (F.col("t") + F.col("ord") % 4 * 600).alias("d"))
-    return joins.overlaps(left, right, 1800)
-
-
-@query("j06_overlaps_all")
-def j06_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """j06 with an interval of each kind for every event; held against a plain loop in the tests."""
     e = events(spark, sf_dir)
     left = e.select("series_id", F.col("ord").alias("l"), F.col("t").alias("a"), (F.col("t") + 240).alias("b"))
     right = e.select("series_id", F.col("ord").alias("r"), F.col("t").alias("c"), (F.col("t") + F.col("ord") % 4 * 600).alias("d"))

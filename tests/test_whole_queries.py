@@ -16,7 +16,7 @@ def log(spark, sf):
 
 
 def test_nearest_for_every_event(spark, sf, log):
-    got = {r.ord: (r.want, r.found, r.found_value) for r in QUERIES["j02_nearest_all"](spark, sf).collect()}
+    got = {r.ord: (r.want, r.found, r.found_value) for r in QUERIES["j02_nearest"](spark, sf).collect()}
     expected = {}
     for q in log:
         want = q.t - DAY
@@ -27,14 +27,14 @@ def test_nearest_for_every_event(spark, sf, log):
 
 
 def test_overlaps_of_all_events(spark, sf, log):
-    got = QUERIES["j06_overlaps_all"](spark, sf).collect()
+    got = QUERIES["j06_overlaps"](spark, sf).collect()
     told = sorted((r.series_id, r.l, r.r) for r in got)
     expected = sorted((x.series_id, x.ord, y.ord) for x in log for y in log if x.series_id == y.series_id and x.t <= y.t + y.ord % 4 * 600 and x.t + 240 >= y.t)
     assert told == expected and {r.l for r in got} == {e.ord for e in log}
 
 
 def test_queue_status_of_every_event(spark, sf, log):
-    got = {r.key: r.status for r in QUERIES["k02_queue_status_all"](spark, sf).collect()}
+    got = {r.key: r.status for r in QUERIES["k02_queue_status"](spark, sf).collect()}
     for q in log:
         seen = min((e.t for e in log if e.series_id == q.series_id and e.t >= q.t + HOUR), default=None)
         assert got[q.ord] == ("early" if seen is None else "matched" if seen - q.t - HOUR <= 300 else "dropped")
@@ -44,7 +44,7 @@ def test_queue_status_of_every_event(spark, sf, log):
 def test_mask_of_every_event(spark, sf, log):
     from loadloom.plans.grids import MASK
 
-    got = {r.ord: r.explained for r in QUERIES["j13_explained_by_mask_all"](spark, sf).collect()}
+    got = {r.ord: r.explained for r in QUERIES["j13_explained_by_mask"](spark, sf).collect()}
     assert got == {e.ord: next((r for a, b, r in MASK if a - 30 <= e.t <= b + 30), None) for e in log}
 
 
@@ -56,7 +56,7 @@ def test_final_attempts_of_all_orders(spark, sf):
         own = lines[o.o_orderkey]
         whole = len(own) == 4 and len({n for n, _ in own}) == 4 and all(f for _, f in own)
         days[o.o_orderdate] += [o.o_orderkey] if whole else []
-    got = {r.hour: (r.status, r.attempt) for r in QUERIES["v17_final_attempts_all"](spark, sf).collect()}
+    got = {r.hour: (r.status, r.attempt) for r in QUERIES["v17_final_attempts"](spark, sf).collect()}
     assert got == {d: ("final", k[0]) if len(k) == 1 else ("conflict" if k else "unfinalized", None) for d, k in days.items()}
     assert any(k for k in days.values())
 
@@ -75,5 +75,5 @@ def test_weighted_pattern_from_every_origin(spark, sf):
                 lo, hi = max((x for x in at if x[0] <= 0.7), default=None), min((x for x in at if x[0] >= 0.7), default=None)
                 v = hi[1] if lo is None else lo[1] if hi is None or hi[0] == lo[0] else lo[1] + (hi[1] - lo[1]) * (0.7 - lo[0]) / (hi[0] - lo[0])
                 expected[s, origin, step] = pytest.approx(v, abs=1e-3)
-    got = {(r.series_id, r.origin, r.step): r.value for r in QUERIES["f04_weighted_pattern_all"](spark, sf).collect()}
+    got = {(r.series_id, r.origin, r.step): r.value for r in QUERIES["f04_weighted_pattern"](spark, sf).collect()}
     assert got == expected and any(k[1] % (12 * HOUR) for k in got)
