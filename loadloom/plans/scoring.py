@@ -428,13 +428,46 @@ def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(forecasts.smoothing_grid(grid(spark, sf_dir), [k / 20 for k in range(1, 20)]), "sse", "level")
 
 
-@query("f05_profile_ar")
+def _profile_ar_sql(left: str, fit: str, good: str, back: str) -> str:
+    """The same fit and recursion in SQL: ``left`` the residual of value and p, ``fit`` what the fit sees of it, ``good`` when the fit
+    counts, ``back`` the forecast from profile p and residual f."""
+    sums = ", ".join(f"sum(CASE WHEN ok THEN x{i} * x{j} END) OVER w AS m0_{i}{j}" for i in range(4) for j in range(i, 4))
+    sums += ", " + ", ".join(f"sum(CASE WHEN ok THEN x{i} * r END) OVER w AS m0_{i}4" for i in range(4))
+    steps, last = [], "s0"
+    mirrored = ", ".join(f"m0_{j}{i} AS m0_{i}{j}" for i in range(4) for j in range(i))
+    steps.append(f"e0 AS (SELECT *, {mirrored} FROM {last})")
+    for p in range(3):
+        told = ", ".join(f"m{p}_{i}{j} - m{p}_{i}{p} / nullif(m{p}_{p}{p}, 0) * m{p}_{p}{j} AS m{p + 1}_{i}{j}" for i in range(p + 1, 4) for j in range(p + 1, 5))
+        steps.append(f"e{p + 1} AS (SELECT *, {told} FROM e{p})")
+    last = "e3"
+    for i in (3, 2, 1, 0):
+        rest = f"m{i}_{i}4" + "".join(f" - m{i}_{i}{j} * c{j}" for j in range(i + 1, 4))
+        steps.append(f"k{i} AS (SELECT *, CASE WHEN {good} AND m{i}_{i}{i} > 1e-9 THEN ({rest}) / m{i}_{i}{i} END AS c{i} FROM {last})")
+        last = f"k{i}"
+    roots = "(SELECT *, -c1 / 0.999 AS j1, -c2 / (0.999 * 0.999) AS j2, -c3 / (0.999 * 0.999 * 0.999) AS j3 FROM k0)"
+    steps.append(f"j AS {roots}")
+    made = ["h3", "h2", "h1"]
+    for f in range(1, 7):
+        steps.append(f"f{f} AS (SELECT *, d0 + c1 * {made[-1]} + c2 * {made[-2]} + c3 * {made[-3]} AS y{f} FROM {'u' if f == 1 else f'f{f - 1}'})")
+        made.append(f"y{f}")
+    stable = "abs(j3) < 1 AND 1 + j1 + j2 + j3 > 0 AND 1 - j1 + j2 - j3 > 0 AND abs(j2 - j1 * j3) < 1 - j3 * j3" if "span" in good else "true"
+    where = next(k for k, step in enumerate(steps) if step.startswith("f1 "))
+    steps.insert(where, f"u AS (SELECT series_id, t, CASE WHEN {stable} THEN c0 END AS d0, c1, c2, c3, q AS h1, lag(q, 1) OVER v AS h2, lag(q, 2) OVER v AS h3 FROM j WINDOW v AS (PARTITION BY series_id ORDER BY t))")
+    return f"""WITH {G}, pr AS (SELECT series_id, t + d * 86400 AS t, avg(value) AS p FROM g, (SELECT unnest(range(1, 8)) AS d) WHERE value IS NOT NULL GROUP BY 1, 2),
+ a0 AS (SELECT g.series_id, g.t, {left} AS q FROM g LEFT JOIN pr ON pr.series_id = g.series_id AND pr.t = g.t), a1 AS (SELECT *, {fit} AS r FROM a0),
+ a2 AS (SELECT *, 1.0::DOUBLE AS x0, lag(r, 1) OVER v AS x1, lag(r, 2) OVER v AS x2, lag(r, 3) OVER v AS x3 FROM a1 WINDOW v AS (PARTITION BY series_id ORDER BY t)), a3 AS (SELECT *, r IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL AS ok FROM a2),
+ s0 AS (SELECT series_id, t, q, count(*) FILTER (WHERE ok) OVER w AS n, max(CASE WHEN ok THEN t END) OVER w - min(CASE WHEN ok THEN t END) OVER w AS span, {sums} FROM a3 WINDOW w AS (PARTITION BY series_id ORDER BY t RANGE BETWEEN {7 * DAY - 4 * HOUR} PRECEDING AND CURRENT ROW)),
+ {", ".join(steps)}, o AS (SELECT series_id, t AS origin, unnest(range(1, 7)) AS step, unnest([y1, y2, y3, y4, y5, y6]) AS f FROM f6)
+ SELECT o.series_id, origin, step::INTEGER AS step, origin + step * 3600 AS target, round(CASE WHEN f IS NOT NULL AND p IS NOT NULL THEN greatest(0, {back}) END, 4) AS predicted FROM o LEFT JOIN pr ON pr.series_id = o.series_id AND pr.t = origin + step * 3600"""
+
+
+@query("f05_profile_ar", _profile_ar_sql("value - p", "q", "n >= 36 AND span >= 21600", "p + f"))
 def f05f(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against least squares and a plain recursion in the tests."""
-    return rounded(forecasts.profile_ar(grid(spark, sf_dir), DAY, 6, HOUR, 7 * DAY, 36, 6 * HOUR), "predicted")
+    """Also held against least squares in the tests."""
+    return rounded(forecasts.profile_ar(grid(spark, sf_dir), DAY, 6, HOUR, 7 * DAY, 36, 6 * HOUR), "predicted", places=4)
 
 
-@query("f06_relative_profile_ar")
+@query("f06_relative_profile_ar", _profile_ar_sql("CASE WHEN p > 0 THEN value / p - 1 END", "CASE WHEN q IS NOT NULL THEN least(greatest(q, -0.5), 0.5) END", "n >= 36", "p * (1 + f)"))
 def f06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against least squares and a plain recursion in the tests."""
-    return rounded(forecasts.profile_ar(grid(spark, sf_dir), DAY, 6, HOUR, 7 * DAY, 36, 0, relative=True), "predicted")
+    """Also held against least squares in the tests."""
+    return rounded(forecasts.profile_ar(grid(spark, sf_dir), DAY, 6, HOUR, 7 * DAY, 36, 0, relative=True), "predicted", places=4)
