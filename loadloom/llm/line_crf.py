@@ -33,9 +33,11 @@ def class_table() -> np.ndarray:
     bits = np.zeros(0x110000, np.uint8)
     for k, signs in enumerate(CLASSES):
         bits[[ord(c) for c in signs]] |= 1 << k
-    points = [chr(c) for c in range(0x110000)]
-    bits[np.fromiter(map(str.isalpha, points), bool, len(points))] |= 1 << 5
-    bits[np.fromiter(map(str.isupper, points), bool, len(points))] |= 1 << 6
+    for at in range(0, len(bits), 1 << 14):  # in parts, which keeps workers small
+        part = bits[at : at + (1 << 14)]
+        points = [chr(at + k) for k in range(len(part))]
+        part |= np.fromiter(map(str.isalpha, points), np.uint8, len(part)) << 5
+        part |= np.fromiter(map(str.isupper, points), np.uint8, len(part)) << 6
     return bits
 
 
