@@ -17,6 +17,8 @@ from urllib.parse import unquote
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from loadloom.session import materialize
+
 TARGET_BYTES = 64 << 20
 #: Least bytes of a tier over least bytes of the one below.
 FACTOR = 4
@@ -107,17 +109,20 @@ class ShardStore:
         while True:
             base = self.version()
             live = self.manifest(base)
-            plan = self.plan(live)
+            plan = materialize(self.plan(live), "shard-plan")
             total = plan.agg(F.count("*").alias("shards"), F.count_distinct("run").alias("runs")).first()
             if not total["shards"]:
                 return base
             shards = [r["shard"] for r in plan.select("shard").toLocalIterator()]
             data = self.spark.read.parquet(*[unquote(s) for s in shards])
             columns = data.columns
-            small = plan.select("shard", "run")
+            numbered = plan.select("run").distinct().withColumn("_no", F.row_number().over(Window.orderBy("run")) - 1)  # a row for each run
+            small = plan.select("shard", "run").join(numbered, "run")
             placed = data.select("*", F.col("_metadata.file_path").alias("_shard")).join(F.broadcast(small) if total["shards"] <= BROADCAST_ROWS else small, F.col("_shard") == F.col("shard"))
             run = f"{self.path}/data/{uuid.uuid4().hex}"
-            placed.select(*columns, F.col("run").alias("_run")).repartition(total["runs"], "_run").write.option("compression", "zstd").partitionBy("_run").parquet(run)
+            # a task for each run: by a hash of its name several would meet in one
+            placed = placed.select(*columns, F.col("run").alias("_run"), "_no").repartitionById(total["runs"], "_no").drop("_no")
+            placed.write.option("compression", "zstd").partitionBy("_run").parquet(run)
             merged = self._measured(run)
             self.commit(live.join(plan.select("shard"), "shard", "left_anti").select("shard", "bytes", "rows", "tier").unionByName(merged), base)
 
@@ -133,9 +138,9 @@ def shard_documents(docs: DataFrame, path: str, arrivals: int = 3, target: int =
     """A store at ``path`` holding every row of ``docs`` (doc_id and any columns), come in ``arrivals`` parts and compacted.
 
     All rows are kept as they are: nulls (a null doc_id is in the first arrival), empty and very long texts, repeated rows.
-    Empty table: a store without shards at version 0. Columns named ``_run``, ``_shard`` or ``_tier`` are refused.
+    Empty table: a store without shards at version 0. Columns named ``_run``, ``_shard``, ``_tier`` or ``_no`` are refused.
     """
-    clash = {"_run", "_shard", "_tier"} & set(docs.columns)
+    clash = {"_run", "_shard", "_tier", "_no"} & set(docs.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} are the store's own")
     store = ShardStore(docs.sparkSession, path, target)
