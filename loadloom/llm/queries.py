@@ -8,8 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loadloom.llm.decontaminate import decontaminate
+from loadloom.llm.filter_audit import audit_filters
 from loadloom.llm.language_id import identify_languages
 from loadloom.llm.line_crf import classify
+from loadloom.llm.manifest import manifest, verify
+from loadloom.llm.near_dedup import near_groups
 from loadloom.llm.ngram_join import ngram_join
 from loadloom.llm.packing import pack
 from loadloom.llm.pii import replace_entities
@@ -27,23 +30,28 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-OP1_SQL = rf"""
+def _links_sql(k: int, percent: int, more: str = "") -> str:
+    """Components of documents whose sets of ``k``-word shingles are alike by ``percent``."""
+    return rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(coalesce({LOWERED}, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (
   SELECT doc_id, unnest(CASE
-    WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))
+    WHEN len(w) >= {k} THEN list_distinct(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i+{k - 1}], ' ')))
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * i >= 75 * (a.n + b.n - i)),
+l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * i >= {percent} * (a.n + b.n - i)),
 e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
 r AS (SELECT u AS doc_id, u AS o FROM e UNION SELECT r.doc_id, e.v FROM r JOIN e ON r.o = e.u),
 c AS (SELECT doc_id, min(o) AS c FROM r GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, d.doc_id) AS component_id
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, d.doc_id) AS component_id{more}
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
 """
 
+
+OP1_SQL = _links_sql(5, 75)
+
 #: The rules of the contract and the hosts that are listed for blocking.
 URL_RULES = (
     Rule("com", "/en/", "block"),
@@ -186,6 +194,84 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_entities(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("filter")
+
+
+_FIVE = ", ".join(f"('{c}', {k})" for k, c in enumerate("ABCDE"))
+OP11_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS mask
+  FROM t LEFT JOIN g USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m GROUP BY 1, 2),
+f(l, k) AS (VALUES {_FIVE}),
+o AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.k, b.k, c.k, d.k, e.k] AS ks FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT filter_order, i::INT AS step, 1 << ks[i] AS bit, list_sum([0] || list_transform(ks[1:i-1], lambda k: 1 << k))::INT AS earlier FROM o, range(1, 6) r(i)),
+x AS (
+  SELECT part, filter_order, step, bit, sum(n) FILTER (WHERE mask & (earlier | bit) = 0) AS kept, sum(n) FILTER (WHERE mask & earlier = 0 AND mask & bit > 0) AS removed,
+    sum(n) FILTER (WHERE mask & earlier > 0 AND mask & bit > 0) AS redundant, sum(n) FILTER (WHERE mask = bit) AS unique_fails,
+    sum(good) FILTER (WHERE mask & earlier = 0 AND mask & bit > 0) AS good_lost, sum(toxic) FILTER (WHERE mask & earlier = 0 AND mask & bit > 0) AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM x
+"""
+
+
+def op12_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(read_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = _links_sql(3, 85, ", coalesce(c.c, d.doc_id) = d.doc_id AS kept")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = verify(manifest(read_table(spark, sf_dir, "documents")))
+    return told.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _op13_sql(levels: int) -> str:
+    """Both trees level by level, for up to 16 ** ``levels`` rows a source and sources."""
+    leaf = lambda text: "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    crc = """xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda a, c:
+      list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(a, c)), 4294967295), 4294967295)"""
+
+    def tree(name: str, first: str) -> str:
+        out = [f"{name}0 AS ({first})"]
+        for k in range(levels):
+            run = "PARTITION BY tree, i // 16 ORDER BY i ROWS BETWEEN"
+            out.append(f"""{name}s{k} AS (SELECT *, CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS b,
+  CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS a FROM {name}{k})""")
+            out.append(f"{name}{k + 1} AS (SELECT tree, i // 16 AS i, (any_value(n) + 15) // 16 AS n, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {name}{k} GROUP BY 1, 2)")
+        return ",\n".join(out)
+
+    def fold(name: str, start: str) -> str:
+        out = [f"{name}f0 AS ({start})"]
+        for k in range(levels):
+            out.append(f"""{name}f{k + 1} AS (SELECT f.* REPLACE (f.i // 16 AS i, f.p || s.b || s.a AS p, CASE WHEN s.n > 1 THEN sha256(s.b || f.h || s.a) ELSE f.h END AS h)
+  FROM {name}f{k} f JOIN {name}s{k} s ON f.tree IS NOT DISTINCT FROM s.tree AND f.i = s.i)""")
+        return ",\n".join(out)
+
+    return f"""
+WITH d AS (SELECT doc_id, source AS tree, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(LOWERED)} END AS other FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d),
+{tree("t", "SELECT tree, i, n, leaf AS h FROM r")},
+u AS (SELECT tree AS source, h, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t{levels}),
+{tree("u", "SELECT 0 AS tree, i, n, h FROM u")},
+{fold("t", "SELECT doc_id, tree, leaf, i, coalesce(other, leaf) AS h, '' AS p FROM r")},
+{fold("u", f"SELECT f.doc_id, f.leaf, u.h AS subroot, 0 AS tree, u.i, f.h, f.p FROM tf{levels} f JOIN u ON u.source IS NOT DISTINCT FROM f.tree")}
+SELECT doc_id, leaf, subroot, (SELECT h FROM u{levels}) AS root, sha256(p) AS proof_sha256, h AS folded_root, h = (SELECT h FROM u{levels}) AS verified FROM uf{levels}
+"""
+
+
+OP13_SQL = _op13_sql(5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filter": op2_url_filter,
@@ -197,6 +283,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_near_dedup": op12_near_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "secret_base": secret_base,
     "quality_base": quality_base,
 }
@@ -204,6 +293,9 @@ ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op2_url_filter": OP2_SQL,
     "op7_decontamination": OP7_SQL,
+    "op11_filter_audit": OP11_SQL,
+    "op12_near_dedup": OP12_SQL,
+    "op13_merkle_manifest": OP13_SQL,
     "secret_base": SECRET_BASE_SQL,
     "quality_base": QUALITY_BASE_SQL,
 }
