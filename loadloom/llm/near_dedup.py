@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loadloom.llm.ngram_join import components, digest_of, groups_of, text_marks, tiles
+from loadloom.llm.ngram_join import BROADCAST_MARKS, components, digest_of, groups_of, text_marks, tiles
 from loadloom.llm.text import PLACES, WordHashes, mix, overlap, shingle_set, space_words
 from loadloom.session import materialize
 
@@ -209,6 +209,11 @@ def verified_edges(k: int, percent: int):
     return run
 
 
+def if_small(keys: DataFrame) -> DataFrame:
+    """Rows of two numbers, sent to every task where they are few (under 32 MB), so that the other side stays where it is."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_MARKS else keys
+
+
 def near_groups(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     """Groups documents whose sets of ``k``-word shingles have a Jaccard similarity of ``percent``/100 or more.
 
@@ -229,13 +234,13 @@ def near_groups(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     bands = nodes.select("node", "registers").mapInArrow(band_keys, "key long, node long")
     kinds = bands.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b")).where("members > 1")
     kinds = materialize(kinds.groupBy("members", "a", "b").agg(F.min("key").alias("key")).select("key", "members"), "dedup-bands")
-    placed = tiles(bands.join(kinds, "key").join(nodes.select("node", "digest", "n", "registers"), "node"), "key", "digest")
+    placed = tiles(bands.join(if_small(kinds), "key").join(nodes.select("node", "digest", "n", "registers"), "node"), "key", "digest")
     placed = placed.select("key", "tile", "digest", "n", "registers").repartition("key", "tile").sortWithinPartitions("key", "tile")
     near = components(placed.mapInArrow(band_edges(percent), "u binary, v binary"), "dedup-near")
 
     sized = near.join(near.groupBy("root").agg(F.count("*").alias("members")), "root")
     sized = materialize(sized.join(nodes.select(F.col("digest").alias("node"), "registers", "mark.mark_a", "mark.mark_b"), "node"), "dedup-members")
-    texts = docs.join(sized.select("mark_a", "mark_b"), ["mark_a", "mark_b"], "left_semi").groupBy("mark_a", "mark_b").agg(F.first("text").alias("text"))
+    texts = docs.join(if_small(sized.select("mark_a", "mark_b")), ["mark_a", "mark_b"], "left_semi").groupBy("mark_a", "mark_b").agg(F.first("text").alias("text"))
     texts = tiles(sized.join(texts, ["mark_a", "mark_b"]), "root", "node").select("root", "tile", F.col("node").alias("digest"), "registers", "text")
     texts = texts.repartition("root", "tile").sortWithinPartitions("root", "tile")
     linked = components(texts.mapInArrow(verified_edges(k, percent), "u binary, v binary"), "dedup-linked")
