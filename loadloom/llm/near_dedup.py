@@ -105,9 +105,20 @@ def may_link(n: int, own: np.ndarray, sizes: np.ndarray, others: np.ndarray, per
     if len(at):
         more, less = (own > others[at]).sum(1), (own < others[at]).sum(1)
         share = n / (n + sizes[at])
-        best = similarity(share, more, less)
-        asked = np.minimum(np.maximum(best, percent / 100), np.minimum(share, 1 - share) / np.maximum(share, 1 - share))
-        go[at] = log_likelihood(best, share, more, less) - log_likelihood(asked, share, more, less) <= DOUBT
+        most = np.minimum(share, 1 - share) / np.maximum(share, 1 - share)
+        # two bounds of the best likelihood settle nearly all pairs: that of free chances, and that of the share of equal registers
+        asked = log_likelihood(np.minimum(percent / 100, most), share, more, less)
+        counts = np.stack([more, less, REGISTERS - more - less])
+        free = (counts * np.log(np.maximum(counts, 1) / REGISTERS)).sum(0)
+        near = log_likelihood(np.minimum(counts[2] / REGISTERS, most), share, more, less)
+        sure = free - asked <= DOUBT
+        go[at] = sure
+        rest = np.flatnonzero(~sure & ((near - asked <= DOUBT) | (100 * counts[2] >= percent * REGISTERS)))
+        if len(rest):
+            share, more, less, most = share[rest], more[rest], less[rest], most[rest]
+            best = similarity(share, more, less)
+            asked = log_likelihood(np.minimum(np.maximum(best, percent / 100), most), share, more, less)
+            go[at[rest]] = log_likelihood(best, share, more, less) - asked <= DOUBT
     return go
 
 
