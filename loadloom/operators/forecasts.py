@@ -274,20 +274,26 @@ def lagged_ridge(grid: DataFrame, lags: tuple[int, ...], season: int, steps: int
     return out
 
 
-def online_selector(costs: DataFrame, arms: list[str], half_life: float, least: int, penalty: float) -> DataFrame:
-    """The arm in use at each origin: averages of matured costs fade with ``half_life``; another arm takes over when its average plus
-    ``penalty`` is below the one in use, by more than 1e-9, and both have ``least`` costs. ``costs``: series_id, t, c (one cost for
-    each arm, NULL where not matured)."""
+def online_selector(costs: DataFrame, arms: list[str], half_life: float, least: int, penalty: float, default: int = 0) -> DataFrame:
+    """The arm in use at each row. ``costs``: series_id, t, c (one matured cost for each arm, NULL where not matured by t).
+
+    A row's costs are taken in first: each arm's average fades with ``half_life``. Until every arm has ``least`` costs the default is in
+    use. Then the least average wins, where all but the arm in use bear ``penalty``; within 1e-9 (relative over 1) of the best the arm
+    in use stays, else the first in order is taken.
+    """
     keep = 0.5 ** (1 / half_life)
 
     def turn(state: tuple, row: tuple) -> tuple[tuple, tuple]:
         (means, counts, use), (series, t, found) = state, row
-        rated = [(means[i] + (0.0 if i == use else penalty), i) for i in range(len(arms)) if counts[i] >= least]
-        now = next((c for c, i in rated if i == use), None)
-        if now is not None and min(rated)[0] < now - 1e-9:
-            use = min(rated)[1]
-        means = [m if c is None else c if m is None else keep * m + (1 - keep) * c for m, c in zip(means, found, strict=True)]
+        means = [m if c is None else c if m is None else (1 - keep) * c + keep * m for m, c in zip(means, found, strict=True)]
         counts = [k + (c is not None) for k, c in zip(counts, found, strict=True)]
+        if min(counts) < least:
+            use = default
+        else:
+            asked = [m + (0.0 if i == use else penalty) for i, m in enumerate(means)]
+            limit = min(asked) + 1e-9 * max(1.0, abs(min(asked)))
+            if asked[use] > limit:
+                use = next(i for i, x in enumerate(asked) if x <= limit)
         return (means, counts, use), (series, t, arms[use])
 
-    return fold_rows(costs.select("series_id", "t", "c"), ["t"], lambda: ([None] * len(arms), [0] * len(arms), 0), turn, "series_id string, t long, arm string")
+    return fold_rows(costs.select("series_id", "t", "c"), ["t"], lambda: ([None] * len(arms), [0] * len(arms), default), turn, "series_id string, t long, arm string")

@@ -48,9 +48,24 @@ def arm_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("series_id", "t", F.array(*[F.round(a, 9) for a in ARMS]).alias("c"))
 
 
-@query("f16_online_selector")
+_KEEP = 0.5 ** (1 / 24)
+_MEANS = ", ".join(f"CASE WHEN r.c{i} IS NULL THEN k.m{i} WHEN k.m{i} IS NULL THEN r.c{i} ELSE {1 - _KEEP!r}::DOUBLE * r.c{i} + {_KEEP!r}::DOUBLE * k.m{i} END AS m{i}, k.k{i} + (r.c{i} IS NOT NULL)::INTEGER AS k{i}" for i in (1, 2, 3))
+SELECTOR = f"""WITH RECURSIVE {TREND}, n0 AS (SELECT a.*, g.value AS p FROM a LEFT JOIN g ON g.series_id = a.series_id AND g.t = a.target - 86400),
+ n AS (SELECT series_id, origin, target, CASE WHEN count(p) OVER (PARTITION BY series_id, origin) = 6 THEN p END AS predicted FROM n0),
+ ps AS (SELECT series_id, t, last_value(value IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS v FROM g),
+ u AS (SELECT 1 AS arm, series_id, origin, target, predicted FROM n UNION ALL SELECT 2, a.series_id, origin, target, v FROM a JOIN ps ON ps.series_id = a.series_id AND ps.t = a.origin UNION ALL SELECT 3, series_id, origin, target, predicted FROM tr),
+ cs AS (SELECT u.series_id, u.origin + 21600 AS t, {", ".join(f"round(avg(abs(predicted - g.value)) FILTER (WHERE arm = {i}), 9) AS c{i}" for i in (1, 2, 3))} FROM u JOIN g ON g.series_id = u.series_id AND g.t = u.target GROUP BY 1, 2),
+ rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) AS n FROM cs),
+ k AS (SELECT DISTINCT series_id, 0::BIGINT AS n, 0::BIGINT AS t, NULL::DOUBLE AS m1, 0 AS k1, NULL::DOUBLE AS m2, 0 AS k2, NULL::DOUBLE AS m3, 0 AS k3, 1 AS use FROM rk
+  UNION ALL SELECT series_id, n, t, m1, k1, m2, k2, m3, k3, CASE WHEN least(k1, k2, k3) < 12 THEN 1 WHEN [q1, q2, q3][use] <= best THEN use WHEN q1 <= best THEN 1 WHEN q2 <= best THEN 2 ELSE 3 END
+  FROM (SELECT *, least(q1, q2, q3) + 1e-9::DOUBLE * greatest(1.0::DOUBLE, abs(least(q1, q2, q3))) AS best FROM (SELECT *, {", ".join(f"m{i} + CASE WHEN use = {i} THEN 0.0::DOUBLE ELSE 0.05::DOUBLE END AS q{i}" for i in (1, 2, 3))}
+   FROM (SELECT r.series_id, r.n, r.t, {_MEANS}, k.use FROM k JOIN rk r ON r.series_id = k.series_id AND r.n = k.n + 1))))
+ SELECT series_id, t, ['seasonal', 'persistence', 'trend'][use] AS arm FROM k WHERE n > 0"""
+
+
+@query("f16_online_selector", SELECTOR)
 def f16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against a plain loop in the tests."""
+    """Also held against a plain loop in the tests."""
     return forecasts.online_selector(arm_costs(spark, sf_dir), ARMS, 24.0, 12, 0.05)
 
 

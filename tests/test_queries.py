@@ -190,21 +190,41 @@ def test_tables_are_written(spark, sf, tmp_path):
     assert back.columns == found.columns and back.count() == found.count()
 
 
+def brute_selector(rows, arms, half_life, least, penalty):
+    """The rule as it is told: mature, then choose; the default until all have enough; the one in use wins what is as good."""
+    state, out = {}, {}
+    decay = 1 - 0.5 ** (1 / half_life)
+    for s, t, costs in sorted(rows, key=lambda r: r[1]):
+        mean, n, use = state.setdefault(s, [[None] * len(arms), [0] * len(arms), 0])
+        for i, c in enumerate(costs):
+            if c is not None:
+                mean[i] = c if mean[i] is None else decay * c + (1 - decay) * mean[i]
+                n[i] += 1
+        if any(k < least for k in n):
+            use = 0
+        else:
+            asked = [m if i == use else m + penalty for i, m in enumerate(mean)]
+            tied = [i for i, x in enumerate(asked) if x <= min(asked) + 1e-9 * max(1, abs(min(asked)))]
+            use = use if use in tied else tied[0]
+        state[s][2] = use
+        out[s, t] = arms[use]
+    return out
+
+
 def test_online_selector(spark, sf):
+    from loadloom.operators import forecasts
     from loadloom.plans.selection import ARMS, arm_costs
 
+    costs = [tuple(r) for r in arm_costs(spark, sf).collect()]
     got = {(r.series_id, r.t): r.arm for r in QUERIES["f16_online_selector"](spark, sf).collect()}
-    state, keep = {}, 0.5 ** (1 / 24)
-    for r in sorted(arm_costs(spark, sf).collect(), key=lambda r: r.t):
-        mean, n, use = state.get(r.series_id, ([None] * 3, [0] * 3, 0))
-        rated = [(mean[i] + (0 if i == use else 0.05), i) for i in range(3) if n[i] >= 12]
-        now = next((c for c, i in rated if i == use), None)
-        if now is not None and min(rated)[0] < now - 1e-9:
-            use = min(rated)[1]
-        mean = [m if c is None else c if m is None else keep * m + (1 - keep) * c for m, c in zip(mean, r.c, strict=True)]
-        n = [k + (c is not None) for k, c in zip(n, r.c, strict=True)]
-        state[r.series_id] = mean, n, use
-        assert got[r.series_id, r.t] == ARMS[use]
+    assert got == brute_selector(costs, ARMS, 24.0, 12, 0.05)
+    # ties, an arm that is rated late, large costs, the first of several equal ones
+    odd = [("a", k, [5.0, 4.0 if k > 2 else None, 4.0]) for k in range(12)] + [("b", k, [3.0, 3.0, 2.0]) for k in range(12)] + [("c", k, [1e12, 1e12 + 100, 1e12 - 100]) for k in range(9)] + [("d", k, [2.0, None, 1.0]) for k in range(9)]
+    table = spark.createDataFrame(odd, "series_id string, t long, c array<double>")
+    for penalty in (0.0, 1.0):
+        picked = {(r.series_id, r.t): r.arm for r in forecasts.online_selector(table, ["x", "y", "z"], 3.0, 3, penalty).collect()}
+        assert picked == brute_selector(odd, ["x", "y", "z"], 3.0, 3, penalty)
+        assert picked["c", 8] == "x" == picked["d", 8] and picked["b", 11] == ("z" if penalty == 0 else "x") and picked["a", 11] == ("y" if penalty == 0 else "x")
 
 
 def test_capped_windows(spark, sf):
