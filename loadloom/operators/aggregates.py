@@ -95,7 +95,9 @@ def mean_interval(values: DataFrame, t: float, *keys: str) -> DataFrame:
 
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
+    """Interval of a share, within [0, 1]; nothing counted says nothing, so it is all of that."""
     n = F.nullif(n, F.lit(0.0))
     p = hits / n
     middle, half = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return (middle - half) / (1 + z * z / n), (middle + half) / (1 + z * z / n)
+    low, high = (middle - half) / (1 + z * z / n), (middle + half) / (1 + z * z / n)
+    return F.when(n.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), low)), F.when(n.isNull(), 1.0).otherwise(F.least(F.lit(1.0), high))

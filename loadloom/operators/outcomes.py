@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loadloom.functions.scalars import ratio, required_replicas
 from loadloom.operators.grid import by_series
+from loadloom.operators.ranges import carry_forward
 
 
 def window_outcomes(issued: DataFrame, receipts: DataFrame, now: int, settle: int, grace: int) -> DataFrame:
@@ -25,14 +26,16 @@ def window_outcomes(issued: DataFrame, receipts: DataFrame, now: int, settle: in
     return scored.select("series_id", "origin", "end", "status", y.alias("highest"), (y <= F.col("bound")).alias("covered"), (y - F.col("bound")).alias("residual"))
 
 
-def queue_status(issued: DataFrame, observed: DataFrame, late: int) -> DataFrame:
-    """Early, matched (seen at most ``late`` after the target) or dropped, from the first observation at or after the target."""
-    line = issued.select("series_id", F.col("target").alias("t"), F.lit(0).alias("kind"), "key").unionByName(observed.select("series_id", "t", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("key")))
-    # read backwards: a frame that only grows is carried along, one up to the end would be read anew for each row
-    back = Window.partitionBy("series_id").orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
-    after = F.last(F.when(F.col("kind") == 1, F.col("t")), ignorenulls=True).over(back)
-    found = line.withColumn("seen", after).where("kind = 0")
-    return found.select("series_id", "key", F.when(F.col("seen").isNull(), "early").when(F.col("seen") - F.col("t") <= late, "matched").otherwise("dropped").alias("status"))
+def queue_status(issued: DataFrame, observed: DataFrame, late: int, width: int = 86400) -> DataFrame:
+    """Early, matched (seen at most ``late`` after the target) or dropped, from the first observation at or after the target.
+
+    Time is read backwards, in ranges of ``width``, and the last observation met is carried along.
+    """
+    line = issued.select("series_id", (-F.col("target")).alias("t"), F.lit(1).alias("kind"), "key").unionByName(observed.select("series_id", (-F.col("t")).alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("key")))
+    line = line.withColumn("at", F.when(F.col("kind") == 0, -F.col("t")))
+    found = carry_forward(line, "at", ["t", "kind"], width, "seen").where("kind = 1")
+    wait = F.col("seen") + F.col("t")
+    return found.select("series_id", "key", F.when(F.col("seen").isNull(), "early").when(wait <= late, "matched").otherwise("dropped").alias("status"))
 
 
 def upper_bounds(scores: DataFrame, a: float, seconds: int, most: int, least: int) -> DataFrame:

@@ -162,9 +162,9 @@ def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(agg.mean_interval(d, 2.045, "series_id"), "mean", "low", "high")
 
 
-@query("a17_wilson", f"""WITH {SCORED}, c AS (SELECT series_id, count(*) FILTER (WHERE actual <= predicted)::DOUBLE AS k, count(predicted - actual)::DOUBLE AS n FROM sc GROUP BY 1)
- SELECT series_id, round((k / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n), 6) AS low,
-  round((k / n + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n), 6) AS high FROM c""")
+@query("a17_wilson", f"""WITH {SCORED}, c AS (SELECT series_id, count(*) FILTER (WHERE actual <= predicted)::DOUBLE AS k, nullif(count(predicted - actual)::DOUBLE, 0) AS n FROM sc GROUP BY 1)
+ SELECT series_id, coalesce(round(greatest(0, (k / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)), 6), 0) AS low,
+  coalesce(round(least(1, (k / n + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)), 6), 1) AS high FROM c""")
 def a17w(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("predicted") - F.col("actual")
     c = scored(spark, sf_dir).groupBy("series_id").agg(F.count_if(F.coalesce(e >= 0, F.lit(False))).cast("double").alias("k"), F.count(e).cast("double").alias("n"))
