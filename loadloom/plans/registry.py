@@ -20,6 +20,8 @@ START = 1704067200
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
         QUERIES[name] = f
         if sql:
             ORACLE_SQL[name] = sql
