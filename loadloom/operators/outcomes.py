@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loadloom.functions.scalars import ratio, required_replicas
+from loadloom.operators.folds import fold_rows
 from loadloom.operators.grid import by_series
 from loadloom.operators.ranges import carry_forward
 
@@ -52,17 +53,21 @@ def upper_bounds(scores: DataFrame, a: float, seconds: int, most: int, least: in
 
 
 def adaptive_level(outcomes: DataFrame, target: int, step: int, scale: int = 10**8) -> DataFrame:
-    """Level in whole units of 1/scale after each outcome (seq, missed): a + step * (target - missed), kept in [0, scale].
+    """Level in whole units of 1/scale after each series' outcomes (seq, missed): a + step * (target - missed), kept in [0, scale].
 
-    The clip makes it depend on the order, so each series is folded by sequence number; a repeated number counts once.
+    The clip makes it depend on the order, so each series is folded by sequence number, with two numbers held; a repeated number
+    counts once.
     """
-    ordered = outcomes.groupBy("series_id", "seq").agg(F.min("missed").alias("missed")).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("seq", "missed"))).alias("a"))
-    folded = F.aggregate(
-        "a",
-        F.struct(F.lit(target).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("n")),
-        lambda acc, x: F.struct(F.greatest(F.lit(0), F.least(F.lit(scale), acc["a"] + F.floor(F.lit(step).cast("bigint") * (F.lit(target).cast("bigint") - F.when(x["missed"], F.lit(scale)).otherwise(0)) / scale))).cast("bigint").alias("a"), (acc["n"] + 1).alias("n")),
-    )
-    return ordered.select("series_id", folded.alias("f")).select("series_id", F.col("f.a").alias("level"), F.col("f.n").alias("outcomes"))
+    once = outcomes.groupBy("series_id", "seq").agg(F.min("missed").alias("missed"))
+
+    def turn(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        (level, n), (series, seq, missed) = state, row
+        level = max(0, min(scale, level + step * (target - (scale if missed else 0)) // scale))
+        return (level, n + 1), (series, seq, level, n + 1)
+
+    steps = fold_rows(once.select("series_id", "seq", "missed"), ["seq"], lambda: (target, 0), turn, "series_id string, seq long, level long, outcomes long")
+    last = steps.groupBy("series_id").agg(F.max_by(F.struct("level", "outcomes"), "outcomes").alias("x"))
+    return last.select("series_id", "x.level", "x.outcomes")
 
 
 def paired_days(scored: DataFrame, one: str, other: str) -> DataFrame:
