@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loadloom.operators import verdicts as ops
 from loadloom.operators.verdicts import Comparison
@@ -16,15 +16,16 @@ SHARE = 0.6
 
 
 def days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weeks are studies, series arms, weekdays seeds; a day is valid if most of its hours were seen."""
-    h = hourly(spark, sf_dir).select("series_id", "t", "value", F.floor(F.col("t") / HOUR).alias("hour"))
+    """Weeks are studies, series arms, weekdays seeds; a day is valid if most of its hours were seen and none stood out far above its mean."""
+    day = Window.partitionBy("series_id", F.floor(F.col("t") / DAY))
+    h = hourly(spark, sf_dir).select("series_id", "t", "value", F.floor(F.col("t") / HOUR).alias("hour"), (3 * F.col("value") * F.count("*").over(day)).alias("v"), F.sum("value").over(day).alias("s"))
     d = h.groupBy(F.floor(F.col("t") / WEEK).alias("study"), F.col("series_id").alias("arm"), F.floor(F.col("t") % WEEK / DAY).alias("seed")).agg(
-        F.count("*").alias("hours"), (F.count_if(F.col("value") >= 5) * 60).alias("violation"), (F.sum(F.when(F.col("hour") % 9 == 0, F.col("value"))) / F.sum("value")).alias("e"),
+        F.count("*").alias("hours"), (F.count_if(F.col("v") >= 5 * F.col("s")) * 60).alias("violation"), (F.sum(F.when(F.col("hour") % 9 == 0, F.col("value"))) / F.sum("value")).alias("e"),
         F.sum(F.ceil(F.col("value") / 2)).cast("double").alias("provisioned"), F.avg(F.ceil(F.col("value") / 2) - F.col("value") / 2).alias("surplus"),
-        (F.count_if(F.col("value") < 5) * 60).alias("ok_minutes"), (F.count("*") * 60).alias("observed_minutes"), F.count_if(F.col("value") >= 6).alias("eligible"), F.max("value").alias("top"),
+        (F.count_if(F.col("v") < 5 * F.col("s")) * 60).alias("ok_minutes"), (F.count("*") * 60).alias("observed_minutes"), F.count_if(F.col("v") >= 6 * F.col("s")).alias("eligible"), F.count_if(F.col("v") >= 14 * F.col("s")).alias("top"),
     )
-    valid = (F.col("hours") >= 12) & (F.col("top") < 14)
-    return d.withColumn("errors", F.coalesce("e", F.lit(0.0))).withColumn("valid", valid).withColumn("cause", F.when(~valid, F.when(F.col("top") >= 14, "product").when(F.col("hours") >= 6, "short")))
+    valid = (F.col("hours") >= 12) & (F.col("top") == 0)
+    return d.withColumn("errors", F.coalesce("e", F.lit(0.0))).withColumn("valid", valid).withColumn("cause", F.when(~valid, F.when(F.col("top") > 0, "product").when(F.col("hours") >= 6, "short")))
 
 
 def ready(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,9 +40,9 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ASKED = ", ".join(f"({i}, '{c.arm}', '{c.other}', '{c.key}', '{c.name}', {c.margin or 'NULL'}::DOUBLE, {c.benefit or 'NULL'}::DOUBLE)" for i, c in enumerate(COMPARISONS))
 _EACH = ", ".join(f"'{a}'" for a in CANDIDATES)
-FOUND = H + f""", d0 AS (SELECT t // {WEEK} AS study, series_id AS arm, t % {WEEK} // {DAY} AS seed, count(*) AS hours, count(*) FILTER (WHERE value >= 5) * 60 AS violation, coalesce(sum(value) FILTER (WHERE t // 3600 % 9 = 0) / sum(value), 0) AS errors, sum(ceil(value / 2))::DOUBLE AS provisioned,
-  avg(ceil(value / 2) - value / 2) AS surplus, count(*) FILTER (WHERE value < 5) * 60 AS ok_minutes, count(*) * 60 AS observed_minutes, count(*) FILTER (WHERE value >= 6) AS eligible, max(value) AS top FROM h GROUP BY 1, 2, 3),
- dy AS (SELECT *, hours >= 12 AND top < 14 AS valid, CASE WHEN top >= 14 THEN 'product' WHEN hours < 12 AND hours >= 6 THEN 'short' END AS cause FROM d0),
+FOUND = H + f""", d0 AS (SELECT t // {WEEK} AS study, series_id AS arm, t % {WEEK} // {DAY} AS seed, count(*) AS hours, count(*) FILTER (WHERE v >= 5 * s) * 60 AS violation, coalesce(sum(value) FILTER (WHERE t // 3600 % 9 = 0) / sum(value), 0) AS errors, sum(ceil(value / 2))::DOUBLE AS provisioned,
+  avg(ceil(value / 2) - value / 2) AS surplus, count(*) FILTER (WHERE v < 5 * s) * 60 AS ok_minutes, count(*) * 60 AS observed_minutes, count(*) FILTER (WHERE v >= 6 * s) AS eligible, count(*) FILTER (WHERE v >= 14 * s) AS top FROM (SELECT *, 3 * value * count(*) OVER x AS v, sum(value) OVER x AS s FROM h WINDOW x AS (PARTITION BY series_id, t // 86400)) GROUP BY 1, 2, 3),
+ dy AS (SELECT *, hours >= 12 AND top = 0 AS valid, CASE WHEN top > 0 THEN 'product' WHEN hours < 12 AND hours >= 6 THEN 'short' END AS cause FROM d0),
  cq(no, arm, other, key, name, margin, benefit) AS (VALUES {_ASKED}),
  mt AS (SELECT study, arm, seed, surplus, unnest(['violation', 'errors', 'provisioned']) AS key, unnest([violation::DOUBLE, errors, provisioned]) AS v FROM dy WHERE valid),
  pr AS (SELECT a.study, cq.no, a.seed, a.v AS a, b.v AS b, a.surplus AS sa, b.surplus AS sb FROM cq JOIN mt a ON a.arm = cq.arm AND a.key = cq.key JOIN mt b ON b.arm = cq.other AND b.key = cq.key AND b.study = a.study AND b.seed = a.seed),
