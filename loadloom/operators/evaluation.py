@@ -93,21 +93,28 @@ def fallback(looks: DataFrame, dwell: int) -> DataFrame:
     ``looks``: series_id, t, and for each of the two challengers its name with _trusted, _enters (evidence to come in) and _stays
     (evidence to keep it), and naive_trusted. A challenger comes in when it is trusted and its evidence has held for ``dwell``
     seconds while the naive one was trusted; one in use that fails goes at once.
+
+    With columns name_recipe (string) the dwell is that of a challenger's recipe: a new one starts anew, and one in use whose recipe
+    is not the one it came in with goes, unless the new recipe has dwelt already. Evidence of a recipe that is not on offer rests.
     """
     challengers = FALLBACK[:-1]
 
     def turn(state: tuple, row: tuple) -> tuple[tuple, tuple]:
-        (used, since, switches), (series, t, naive, *rest) = state, row
-        told = dict(zip(challengers, zip(rest[::3], rest[1::3], rest[2::3]), strict=True))  # trusted, enters, stays
-        since = {m: (t if since[m] is None else since[m]) if naive and told[m][1] else None for m in challengers}
-        safe = naive if used == FALLBACK[-1] else used is not None and naive and told[used][0] and told[used][2]
-        held = [m for m in challengers if told[m][0] and ((safe and m == used) or (since[m] is not None and t - since[m] >= dwell))]
+        (used, recipe, since, switches), (series, t, naive, *rest) = state, row
+        told = dict(zip(challengers, zip(rest[::4], rest[1::4], rest[2::4], rest[3::4]), strict=True))  # trusted, enters, stays, recipe
+        offered = {(m, told[m][3]): since.get((m, told[m][3]), t) if naive and told[m][1] else None for m in challengers}
+        since = {k: v for k, v in (since | offered).items() if v is not None}
+        safe = naive if used == FALLBACK[-1] else used is not None and naive and told[used][0] and told[used][2] and told[used][3] == recipe
+        dwelt = {m: t - since.get((m, told[m][3]), t + 1) >= dwell for m in challengers}
+        held = [m for m in challengers if told[m][0] and ((safe and m == used) or dwelt[m])]
         now = held[0] if held else FALLBACK[-1] if naive else None
-        switches += now != used
-        return (now, since, switches), (series, t, now, switches)
+        if now != used:
+            recipe, switches = told[now][3] if now in told else None, switches + 1
+        return (now, recipe, since, switches), (series, t, now, switches)
 
-    columns = ["series_id", "t", "naive_trusted", *(f"{m}_{k}" for m in challengers for k in ("trusted", "enters", "stays"))]
-    return fold_rows(looks.select(*columns), ["t"], lambda: (None, dict.fromkeys(challengers), 0), turn, "series_id string, t long, used string, switches int")
+    of = {m: F.col(f"{m}_recipe") if f"{m}_recipe" in looks.columns else F.lit("") for m in challengers}
+    columns = ["series_id", "t", "naive_trusted", *(c for m in challengers for c in (f"{m}_trusted", f"{m}_enters", f"{m}_stays", of[m].alias(f"{m}_recipe")))]
+    return fold_rows(looks.select(*columns), ["t"], lambda: (None, None, {}, 0), turn, "series_id string, t long, used string, switches int")
 
 
 def worst_status(targets: DataFrame, hits: DataFrame, order: Sequence[str], otherwise: str) -> DataFrame:
