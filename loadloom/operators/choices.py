@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loadloom.operators.folds import fold_rows
 from loadloom.operators.outcomes import draw
+from loadloom.operators.windows import trailing_sums
 
 
 def _gain(reference: str, candidate: str) -> Column:
@@ -92,19 +93,11 @@ def paired_evidence(losses: DataFrame, seconds: int = 7 * 86400) -> DataFrame:
     """What is known at every paired outcome of a challenger against the baseline: pairs, loss sums of both, span of their ends.
 
     ``losses``: series_id, t (end of the window), challenger and baseline (loss or NULL); rows that lack one are no pairs. The trailing window
-    is cut at whole hours: from the first whole hour at or after t - seconds up to t. Whole hours are summed first, and the outcomes of
-    one hour among themselves, so a hot series shuffles its hours only.
+    is cut at whole hours.
     """
-    paired = losses.where(F.col("challenger").isNotNull() & F.col("baseline").isNotNull()).withColumn("hour", F.floor(F.col("t") / 3600))
-    sums = {"pairs": F.lit(1), "challenger": F.col("challenger"), "baseline": F.col("baseline")}
-    hours = paired.groupBy("series_id", "hour").agg(*[F.sum(c).alias(f"{k}_h") for k, c in sums.items()], F.min("t").alias("first_h"))
-    # t - seconds lies on a whole hour only if t does: else the oldest hour is one later
-    wide = [Window.partitionBy("series_id").orderBy("hour").rangeBetween(-seconds // 3600 + k, -1) for k in (0, 1)]
-    hours = hours.select("series_id", "hour", *[F.struct(*[F.coalesce(F.sum(f"{k}_h").over(w), F.lit(0)).alias(k) for k in sums], F.min("first_h").over(w).alias("first")).alias(f"before_{n}") for n, w in enumerate(wide)])
-    within = Window.partitionBy("series_id", "hour").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    own = paired.select("series_id", "t", "hour", *[F.sum(c).over(within).alias(f"own_{k}") for k, c in sums.items()], F.min("t").over(within).alias("own_first")).distinct()
-    both = own.join(hours, ["series_id", "hour"]).withColumn("before", F.when(F.col("t") % 3600 == 0, F.col("before_0")).otherwise(F.col("before_1")))
-    return both.select("series_id", "t", *[(F.col(f"own_{k}") + F.col(f"before.{k}")).alias(k) for k in sums], (F.col("t") - F.coalesce("before.first", "own_first")).alias("span"))
+    paired = losses.where(F.col("challenger").isNotNull() & F.col("baseline").isNotNull())
+    found = trailing_sums(paired, seconds, pairs=F.lit(1), challenger=F.col("challenger"), baseline=F.col("baseline"))
+    return found.withColumn("span", F.col("t") - F.col("first")).drop("first")
 
 
 def challenger_bands(evidence: DataFrame, costs: DataFrame, least_pairs: int, least_span: int, enter: float = 0.95, stay: float = 1.0, cost: float = 1.02) -> DataFrame:

@@ -24,6 +24,24 @@ def trailing_hours(buckets: DataFrame, hours: int, *values: str) -> DataFrame:
     return buckets.select("series_id", "hour", *[F.sum(v).over(w).alias(v) for v in values])
 
 
+def trailing_sums(rows: DataFrame, seconds: int, **sums: Column) -> DataFrame:
+    """At every time of a series that has rows: ``sums`` over the rows of the window that ends there, and ``first``, its earliest time.
+
+    The window goes from the first whole hour at or after t - seconds up to t. Whole hours are summed first, and the rows of one hour
+    among themselves, so no task sorts more of a series than its hours.
+    """
+    hourly = rows.withColumn("hour", F.floor(F.col("t") / 3600))
+    hours = hourly.groupBy("series_id", "hour").agg(*[F.sum(c).alias(k) for k, c in sums.items()], F.min("t").alias("first"))
+    # t - seconds lies on a whole hour only if t does: else the oldest hour is one later
+    wide = [Window.partitionBy("series_id").orderBy("hour").rangeBetween(-seconds // 3600 + k, -1) for k in (0, 1)]
+    hours = hours.select("series_id", "hour", *[F.struct(*[F.coalesce(F.sum(k).over(w), F.lit(0)).alias(k) for k in sums], F.min("first").over(w).alias("first")).alias(f"before_{n}") for n, w in enumerate(wide)])
+    own = hourly.groupBy("series_id", "hour", "t").agg(*[F.sum(c).alias(f"own_{k}") for k, c in sums.items()])
+    within = Window.partitionBy("series_id", "hour").orderBy("t")
+    own = own.select("series_id", "t", "hour", *[F.sum(f"own_{k}").over(within).alias(f"own_{k}") for k in sums], F.min("t").over(within).alias("own_first"))
+    both = own.join(hours, ["series_id", "hour"]).withColumn("before", F.when(F.col("t") % 3600 == 0, F.col("before_0")).otherwise(F.col("before_1")))
+    return both.select("series_id", "t", *[(F.col(f"own_{k}") + F.col(f"before.{k}")).alias(k) for k in sums], F.coalesce("before.first", "own_first").alias("first"))
+
+
 def misses(outcomes: DataFrame, n: int) -> DataFrame:
     """Of the last ``n`` outcomes (seq, covered) the missed ones, and how many were missed in a row up to now."""
     w = by_series("seq")
