@@ -18,7 +18,11 @@ from loadloom.llm.columns import let
 from loadloom.session import materialize
 
 #: The patterns, tried in this order at each place.
-MAIL = r"(?<![\p{L}\p{M}\p{N}])[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+'’-]*@[\p{L}\p{M}\p{N}-]+(?:\.[\p{L}\p{M}\p{N}-]+)*\.\p{L}[\p{L}\p{M}]+"
+#: Groups that repeat without bound are possessive, as Java's regular expressions recurse in others, and a long text would end its task.
+#: A domain reaches to the last of its labels that begins with two letters.
+_LABEL, _TOP = r"[\p{L}\p{M}\p{N}-]++", r"\p{L}[\p{L}\p{M}]"
+_OTHERS = rf"(?:\.(?!{_TOP}){_LABEL})*+"
+MAIL = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])[\p{{L}}\p{{N}}][\p{{L}}\p{{M}}\p{{N}}._%+'’-]*@{_LABEL}(?:{_OTHERS}\.(?={_TOP}){_LABEL}(?={_OTHERS}\.{_TOP}))*+{_OTHERS}\.{_TOP}+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 #: Eight groups, or fewer about one '::'; a digit is demanded, which keeps names of code (a::b) out.
@@ -52,7 +56,7 @@ _SMALL = r"(?:(?:" + "|".join(sorted(PARTICLES, key=lambda t: (-len(t), t))) + r
 _PART = rf"{_SMALL}(?:{_INITIALS}|\p{{Lu}}[\p{{L}}\p{{M}}'’-]*)"
 NAME = rf"(?<!\p{{L}}){_TITLE}\x20{_PART}(?:\x20{_PART}){{0,3}}"
 #: Two or more capitalised words in a row: where a name that is known by a title elsewhere may stand without one.
-ROW = rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){_PART}(?:\x20{_PART})+"
+ROW = rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){_PART}(?:\x20{_PART})++"
 KINDS = {"mail": MAIL, "iban": IBAN, "ip": IPV4, "ip6": IPV6, "ssn": SSN, "card": CARD, "phone": PHONE, "plus": PLUS, "name": NAME}
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A quick test for texts that can't have an entity: no @, no four digits near each other, no two colons, no title.

@@ -634,6 +634,18 @@ def test_pii_is_distinct_and_coreferent(spark, monkeypatch):
     assert len(set(seen.values())) == len(seen) > 30 and not set(seen.values()) & seen.keys()
 
 
+def test_pii_of_long_rows_of_names(spark):
+    """Java's regular expressions must not recurse once for each word of a name or label of a domain."""
+    names, mail = " ".join(["Alpha de B."] * 20_000 + ["Omega"]), "anna@b" + ".c1" * 20_000 + ".com.x2"
+    for pattern, text, end in ((pii.ROW, names, len(names)), (pii.MAIL, mail, len(mail) - 3)):
+        found = spark._jvm.java.util.regex.Pattern.compile(pattern).matcher(text)
+        assert found.find() and (found.start(), found.end()) == (0, end)
+    long = " ".join(["Alpha", "Omega"] * 2_000)
+    got = [r.text for r in pii.replace_entities(spark.createDataFrame([(1, f"{long} and {mail}"), (2, "Mr. Alpha Omega")], "doc_id long, text string")).orderBy("doc_id").collect()]
+    name = got[1].split(" ", 1)[1]
+    assert got[0].startswith(" ".join([name] * 2_000) + " and ") and got[0].endswith(".example.com.x2") and "Alpha" not in got[0]
+
+
 def test_pii_keeps_other_columns(spark):
     docs = spark.createDataFrame([(1, "call Mr. John Smith", "mine", 5, "x")], "doc_id long, text string, _told string, entities int, `a.b` string")
     got = pii.replace_entities(docs)
