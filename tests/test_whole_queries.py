@@ -77,3 +77,16 @@ def test_weighted_pattern_from_every_origin(spark, sf):
                 expected[s, origin, step] = pytest.approx(v, abs=1e-3)
     got = {(r.series_id, r.origin, r.step): r.value for r in QUERIES["f04_weighted_pattern"](spark, sf).collect()}
     assert got == expected and any(k[1] % (12 * HOUR) for k in got)
+
+
+def test_nearest_forms_no_pairs(spark):
+    """Many points around each want: rows are carried, so none is joined to all; of equal times the least value that is there."""
+    from loadloom.operators import joins
+
+    rows = [("a", t, float(v) if v else None) for t in range(1_000, 1_040, 2) for v in (0, 2, 1)] + [("b", 5_000, 7.0), (None, 1_000, 1.0)]
+    history = spark.createDataFrame(rows, "series_id string, t long, value double")
+    wants = [("a", 1, 999), ("a", 2, 1_011), ("a", 3, 1_338), ("a", 4, 1_339), ("b", 5, 4_700), ("b", 6, 4_699), (None, 7, 1_000), ("a", 8, None), ("a", 2, 1_011)]
+    targets = spark.createDataFrame(wants, "series_id string, ord long, want long")
+    found = joins.nearest(targets, history, 300)
+    assert sorted(tuple(r) for r in found.collect()) == [("a", 1, 999, 1_000, 1.0), ("a", 2, 1_011, 1_010, 1.0), ("a", 3, 1_338, 1_038, 1.0), ("b", 5, 4_700, 5_000, 7.0)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
