@@ -195,11 +195,22 @@ def robust_scaled(points: DataFrame, boundary: int) -> DataFrame:
     return points.join(fit, "series_id").select("series_id", "t", (F.when(F.col("iqr") > 0, (F.col("value") - F.col("m")) / F.col("iqr")).otherwise(F.col("value") - F.col("m"))).alias("scaled"))
 
 
-def final_attempts(attempts: DataFrame, arms: int) -> DataFrame:
-    """The one final attempt of each hour that has every arm once; conflict where there are more, unfinalized where none."""
-    whole = attempts.groupBy("hour", "attempt").agg(F.count("*").alias("rows"), F.count_distinct("arm").alias("arms"), F.min("final").alias("lo"), F.max("final").alias("hi"))
-    valid = whole.withColumn("valid", (F.col("rows") == arms) & (F.col("arms") == arms) & (F.col("lo") == F.col("hi")))
-    finals = F.col("valid") & (F.col("hi") == 1)
-    out = valid.groupBy("hour").agg(F.count_if(finals).alias("finals"), F.min(F.when(finals, F.col("attempt"))).alias("first_final"))
+def final_attempts(attempts: DataFrame, lines: DataFrame, arms: int) -> DataFrame:
+    """The one final attempt of each hour that has every arm once; conflict where there are more, unfinalized where none.
+
+    ``attempts``: hour, attempt; ``lines``: attempt, arm (a whole number), final. Lines are counted where they are and then by attempt, before
+    they meet the hours, and arms that span under 64 numbers are the bits of one, so what a task holds is a few numbers for
+    each of its attempts. An attempt that an hour has twice has each line twice, so it is not final.
+    """
+    ends = lines.agg(F.min("arm").cast("decimal(20,0)").alias("lo"), F.max("arm").cast("decimal(20,0)").alias("hi")).first()
+    if ends["lo"] is not None and ends["hi"] - ends["lo"] < 64:
+        held = F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("arm") - F.lit(int(ends["lo"]))).cast("int"))))
+    else:
+        held = F.count_distinct("arm")
+    whole = lines.where("attempt is not null").groupBy("attempt").agg(F.count("*").alias("rows"), held.alias("arms"), F.min("final").alias("lo"), F.max("final").alias("hi"))
+    every = (F.col("rows") == arms) & (F.col("arms") == arms) & (F.col("lo") == F.col("hi")) & (F.col("hi") == 1)
+    told = attempts.join(whole.where(every).select("attempt", F.lit(True).alias("every")), "attempt", "left")
+    valid = told.groupBy("attempt", "hour").agg(((F.count("*") == 1) & F.coalesce(F.bool_and("every"), F.lit(False))).alias("final"))
+    out = valid.groupBy("hour").agg(F.count_if("final").alias("finals"), F.min(F.when(F.col("final"), F.col("attempt"))).alias("first_final"))
     status = F.when(F.col("finals") == 1, "final").when(F.col("finals") > 1, "conflict").otherwise("unfinalized")
     return out.select("hour", status.alias("status"), F.when(F.col("finals") == 1, F.col("first_final")).alias("attempt"))

@@ -240,8 +240,9 @@ ATTEMPTS = "att AS (SELECT o_orderdate AS hour, o_orderkey AS attempt, l_linenum
 def v17(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order's date is an hour, the order an attempt at it, its lines the arms, final where they are."""
     o, l = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "lineitem")
-    rows = o.join(l, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderdate").alias("hour"), F.col("o_orderkey").alias("attempt"), F.col("l_linenumber").alias("arm"), (F.col("l_linestatus") == "F").cast("int").alias("final"))
-    return ops.final_attempts(rows, 4)
+    attempts = o.select(F.col("o_orderdate").alias("hour"), F.col("o_orderkey").alias("attempt"))
+    lines = l.select(F.col("l_orderkey").alias("attempt"), F.col("l_linenumber").alias("arm"), (F.col("l_linestatus") == "F").cast("int").alias("final"))
+    return ops.final_attempts(attempts, lines, 4)
 
 
 @query("d01_sliding_examples", f"""WITH {G}, x AS (SELECT series_id, t, list(value) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS x, list(value) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS y FROM g)

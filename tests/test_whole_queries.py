@@ -90,3 +90,16 @@ def test_nearest_forms_no_pairs(spark):
     found = joins.nearest(targets, history, 300)
     assert sorted(tuple(r) for r in found.collect()) == [("a", 1, 999, 1_000, 1.0), ("a", 2, 1_011, 1_010, 1.0), ("a", 3, 1_338, 1_038, 1.0), ("b", 5, 4_700, 5_000, 7.0)]
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_counted_before_they_meet_their_hours(spark):
+    from loadloom.operators import outcomes as ops
+
+    attempts = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (2, 13), (3, 14), (3, 14), (4, None), (None, 15)], "hour long, attempt long")
+    arms = {10: (1, 2), 11: (1, 1), 12: (1, 2), 13: (1, 2), 14: (1, 2), 15: (1, 2), None: (1, 2)}
+    for far in (1, 10**6):  # arms as bits of one number, and too far apart for that
+        lines = spark.createDataFrame([(k, far * a, 1) for k, own in arms.items() for a in own], "attempt long, arm long, final int")
+        found = ops.final_attempts(attempts, lines, 2)
+        assert {r.hour: (r.status, r.attempt) for r in found.collect()} == {1: ("final", 10), 2: ("conflict", None), 3: ("unfinalized", None), 4: ("unfinalized", None), None: ("final", 15)}
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.rindex("Aggregate [attempt") > plan.index("Join ")  # below the join
