@@ -18,6 +18,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from loadloom.session import materialize
@@ -30,8 +31,10 @@ PARTITION_PIECES = 200_000
 GAIN = 1e-4
 #: Numbers of sequences set aside for one partition and for one round; both are far more than there can be.
 PART_BINS, ROUND_BINS = 1 << 22, 1 << 50
-#: Chunks of text whose ids a task remembers; it forgets all when it has more.
-REMEMBERED = 250_000
+#: Chunks of text and runs in them whose ids a task remembers; when it has more it keeps those that came again, if they are under half.
+REMEMBERED = 400_000
+#: Rows, and bytes of text, that are told apart together: the more, the fewer words are looked up twice.
+PORTION = (2048, 4 << 20)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, free boolean"
 
@@ -73,9 +76,9 @@ class ChunkIds:
     def __init__(self, path: str) -> None:
         self.tokenizer = tokenizer(path)
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
-        self.chunks: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.again: set[str] = set()  # of what is known, what a later batch had too
 
     def encoded(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
         for at in range(0, len(parts), 4096):
@@ -94,22 +97,36 @@ class ChunkIds:
             else:
                 yield from self.encoded(own)
 
-    def learn(self, chunks: list[str]) -> None:
-        runs = [(c,) if c.isalpha() else RUN.findall(c) for c in chunks]
-        new = {r for own in runs for r in own}.difference(self.runs)
-        self.runs.update(self.encoded_words([r for r in new if r.isalpha()]))
-        self.runs.update(self.encoded([r for r in new if not r.isalpha()]))
-        self.chunks.update((c, b"".join(map(self.runs.__getitem__, own))) for c, own in zip(chunks, runs, strict=True))
+    def learn(self, chunks: set[str]) -> None:
+        """A chunk of one run is that run, so both are kept in one place; runs are encoded first, then chunks put together."""
+        words = {c for c in chunks if c.isalpha()}
+        mixed = {c: RUN.findall(c) for c in chunks.difference(words)}
+        runs = set().union(*mixed.values())
+        new = runs.difference(self.known)
+        self.again.update(runs.difference(new))
+        words.update(r for r in new if r.isalpha())
+        self.known.update(self.encoded_words(list(words)))
+        self.known.update(self.encoded([r for r in new if not r.isalpha()]))
+        self.known.update((c, b"".join(map(self.known.__getitem__, own))) for c, own in mixed.items() if len(own) > 1)
+
+    def forget(self) -> None:
+        """Where too much is remembered, what no second batch had goes first."""
+        if len(self.known) > REMEMBERED:
+            self.known = {c: self.known[c] for c in self.again} if len(self.again) <= REMEMBERED // 2 else {}
+            self.again = set()
+        if len(self.odd) > REMEMBERED:
+            self.odd.clear()
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        for known in (self.chunks, self.odd, self.runs):
-            if len(known) > REMEMBERED:
-                known.clear()
+        self.forget()
         odd = [bool(t and ODD.search(t)) for t in texts]
         cut = [(SPACE.split(t) if o else t.lower().split()) if t else [] for t, o in zip(texts, odd, strict=True)]
         self.odd.update(self.encoded(list(set().union(*(c for c, o in zip(cut, odd, strict=True) if o)).difference(self.odd))))
-        self.learn(list(set().union(*(c for c, o in zip(cut, odd, strict=True) if not o)).difference(self.chunks)))
-        return [b"".join(map((self.odd if o else self.chunks).__getitem__, c)) for c, o in zip(cut, odd, strict=True)]
+        chunks = set().union(*(c for c, o in zip(cut, odd, strict=True) if not o))
+        new = chunks.difference(self.known)
+        self.again.update(chunks.difference(new))
+        self.learn(new)
+        return [b"".join(map((self.odd if o else self.known).__getitem__, c)) for c, o in zip(cut, odd, strict=True)]
 
 
 _known: dict[str, ChunkIds] = {}
@@ -122,14 +139,23 @@ def chunk_ids(path: str) -> ChunkIds:
     return _known[path]
 
 
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``PORTION`` rows and bytes of text; a longer text is one by itself."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, before = 0, 0
+    while at < batch.num_rows:
+        end = min(max(int(np.searchsorted(ends, before + PORTION[1], "right")), at + 1), at + PORTION[0])
+        yield batch.slice(at, end - at)
+        at, before = end, int(ends[end - 1])
+
+
 def cut_pieces(path: str, size: int):
     """(doc_id, text) to pieces of at most ``size`` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = chunk_ids(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in portions(batch):
                 rows = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), chunks.of(part.column(1).to_pylist()), strict=True):
                     ids += END_ID.to_bytes(4, "little")
