@@ -14,6 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loadloom.llm.text import held, portions
 from loadloom.session import materialize
 
 #: A-Z become a-z; what is neither a digit, a letter nor beyond ASCII becomes a space.
@@ -79,16 +80,13 @@ def merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
     return [(x, y) for x, y in out]
 
 
-_built: dict[int, tuple[list, int, Automaton]] = {}
-
-
 def automaton(items, size: int) -> Automaton:
     """A worker that runs several tasks builds it once."""
-    own = items.value
-    if id(own) not in _built or _built[id(own)][0] is not own or _built[id(own)][1] != size:
-        _built.clear()
-        _built[id(own)] = (own, size, Automaton(own, size))
-    return _built[id(own)][2]
+    own, built = items.value, held("automaton", dict)
+    if id(own) not in built or built[id(own)][0] is not own or built[id(own)][1] != size:
+        built.clear()
+        built[id(own)] = (own, size, Automaton(own, size))
+    return built[id(own)][2]
 
 
 RUNS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
@@ -99,7 +97,7 @@ def scanner(items, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(items, size)
-        for batch in batches:
+        for batch in (p for b in batches for p in portions(b, b.num_columns - 1)):
             counts, hits, owners = [], [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 words = normal_words(text)
@@ -188,7 +186,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
 def dropper(items, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(items, size)
-        for batch in batches:
+        for batch in (p for b in batches for p in portions(b, b.schema.get_field_index("text"))):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([not machine.scan(normal_words(t))[1] for t in texts], pa.bool_()))
 

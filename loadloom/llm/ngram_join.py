@@ -28,12 +28,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loadloom.llm.text import WordHashes, overlap, shingle_set, space_words
+from loadloom.llm.text import PORTION, WordHashes, held, overlap, portions, shingle_set, space_words
 from loadloom.session import materialize
 
 #: Shingle counts are kept in so many counters; they only decide the order of shingles, never the result.
 BUCKET_BITS = 18
 CHUNK = 1024
+#: Edges, blocks and sets that a task remembers in order not to give them twice; repeats are dropped later anyway.
+SAID = 100_000
 #: Shingles for one group of the vectors that blocks are searched with.
 BLOCK_SHARE = 2
 LEAF = 32
@@ -142,7 +144,7 @@ def _forest(points: np.ndarray, tree: CountTree, percent: int, sets: list[np.nda
 def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """Rows with equal first ``keys`` columns, of batches that are sorted by them."""
     now, rows = None, []
-    for batch in batches:
+    for batch in (b.slice(at, PORTION[0]) for b in batches for at in range(0, b.num_rows, PORTION[0])):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if row[:keys] != now:
                 if rows:
@@ -171,9 +173,9 @@ def signatures(k: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, SIGNATURE_TYPES, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), np.zeros(1 << BUCKET_BITS, np.int64)
+        hashes, seen = held("words", WordHashes), np.zeros(1 << BUCKET_BITS, np.int64)
         pick = np.uint64(64 - BUCKET_BITS)
-        for batch in batches:
+        for batch in (p for b in batches for p in portions(b, 3)):
             rows = []
             for text in batch.column(3).to_pylist():
                 s = shingle_set(space_words(text), hashes, k)
@@ -206,15 +208,15 @@ def prefix_keys(k: int, percent: int, weights):
     """(key, node) for each shingle of a set's prefix; equal sets in a task give theirs once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, weight, done = WordHashes(), weights.value, set()
+        hashes, weight, done = held("words", WordHashes), weights.value, set()
         pick = np.uint64(64 - BUCKET_BITS)
-        for batch in batches:
+        for batch in (p for b in batches for p in portions(b, 0)):
             keys, nodes, lengths = [], [], []
             for text in batch.column(0).to_pylist():
                 s = shingle_set(space_words(text), hashes, k)
                 if not len(s) or (d := digest_of(s)[:8]) in done:
                     continue
-                if len(done) >= 500_000:
+                if len(done) >= SAID:
                     done.clear()
                 done.add(d)
                 w = weight[(s >> pick).astype(np.int64)]
@@ -239,9 +241,9 @@ def block_edges(percent: int):
             same = hash(tuple(sorted(own)))
             if len(own) < 2 or same in blocks:
                 continue
-            if len(blocks) >= 500_000:
+            if len(blocks) >= SAID:
                 blocks.clear()
-            if len(said) >= 500_000:  # only spares repeats, which are dropped later anyway
+            if len(said) >= SAID:
                 said.clear()
             blocks.add(same)
             ids = list(own)
@@ -263,11 +265,11 @@ def verified_edges(k: int, percent: int):
     """Links of a spanning forest in each component; rows: component, tile, digest, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = held("words", WordHashes)
 
         def loaded():
             now, own = None, {}
-            for batch in batches:
+            for batch in (p for b in batches for p in portions(b, 3)):
                 for root, tile, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if (root, tile) != now:
                         if len(own) > 1:

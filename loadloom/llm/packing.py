@@ -18,9 +18,9 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from loadloom.llm.text import PORTION, held, portions  # noqa: F401  (PORTION: the slices of ``portions``)
 from loadloom.session import materialize
 
 SEQUENCE = 2048
@@ -33,8 +33,6 @@ GAIN = 1e-4
 PART_BINS, ROUND_BINS = 1 << 22, 1 << 50
 #: Chunks of text and runs in them whose ids a task remembers; when it has more it keeps those that came again, if they are under half.
 REMEMBERED = 400_000
-#: Rows, and bytes of text, that are told apart together: the more, the fewer words are looked up twice.
-PORTION = (2048, 4 << 20)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, free boolean"
 
@@ -129,24 +127,9 @@ class ChunkIds:
         return [b"".join(map((self.odd if o else self.known).__getitem__, c)) for c, o in zip(cut, odd, strict=True)]
 
 
-_known: dict[str, ChunkIds] = {}
-
-
 def chunk_ids(path: str) -> ChunkIds:
     """One for each worker, so that later tasks find what earlier ones encoded."""
-    if path not in _known:
-        _known[path] = ChunkIds(path)
-    return _known[path]
-
-
-def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """``batch`` in slices of at most ``PORTION`` rows and bytes of text; a longer text is one by itself."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at, before = 0, 0
-    while at < batch.num_rows:
-        end = min(max(int(np.searchsorted(ends, before + PORTION[1], "right")), at + 1), at + PORTION[0])
-        yield batch.slice(at, end - at)
-        at, before = end, int(ends[end - 1])
+    return held(("packing", path), lambda: ChunkIds(path))
 
 
 def cut_pieces(path: str, size: int):

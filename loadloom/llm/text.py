@@ -2,14 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable, Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
+#: Rows, and bytes of text, that a task holds as Python values at a time.
+PORTION = (2048, 4 << 20)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Odd multipliers, one for each place of a word in a shingle; the last is mixed in for texts of under five words.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
+def portions(batch: pa.RecordBatch, text: int = 1, most: tuple[int, int] = PORTION) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most so many rows and bytes of column ``text``; a longer text is one by itself."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, before = 0, 0
+    while at < batch.num_rows:
+        end = min(max(int(np.searchsorted(ends, before + most[1], "right")), at + 1), at + most[0])
+        yield batch.slice(at, end - at)
+        at, before = end, int(ends[end - 1])
+
+
+_held: dict[Hashable, object] = {}
+
+
+def held[T](name: Hashable, make: Callable[[], T]) -> T:
+    """What a worker holds from task to task, of one operator at a time: another one's is let go first, as workers outlive stages."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def space_words(text: str | None) -> list[bytes]:
     """Maximal runs without space, tab, line feed, vertical tab, form feed or carriage return; A-Z lower-cased."""
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []

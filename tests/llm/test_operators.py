@@ -748,3 +748,18 @@ def test_queries_have_unique_digests(spark, sf):
 
     r = op8_secret_scan(spark, sf).where("n_assign + n_access + n_hex = 0").first()
     assert r.base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_workers_hold_little_between_stages():
+    from loadloom.llm import text
+
+    path = packing.vocabulary_path()
+    chunks = packing.chunk_ids(path)
+    chunks.of(["some words to remember"])
+    assert chunks.known and packing.chunk_ids(path) is chunks
+    texts = [f"a text of six words {i}" for i in range(5000)]
+    ids = pa.array(range(5000), pa.int64())
+    told = list(ngram_join.signatures(5)(iter([pa.RecordBatch.from_arrays([ids, ids, ids, pa.array(texts)], names=["doc_id", "mark_a", "mark_b", "text"])])))
+    assert max(b.num_rows for b in told if b.column(7).null_count) <= text.PORTION[0]
+    assert [i for b in told for i in b.column(0).to_pylist() if i is not None] == list(range(5000))
+    assert packing.chunk_ids(path) is not chunks
