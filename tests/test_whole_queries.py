@@ -33,6 +33,21 @@ def test_overlaps_of_all_events(spark, sf, log):
     assert told == expected and {r.l for r in got} == {e.ord for e in log}
 
 
+def test_overlaps_are_dealt_to_all_tasks(spark):
+    """Few rows make many pairs: neither side is broadcast and no tasks are merged, however small the tables look; odd intervals as in SQL."""
+    from loadloom.operators import joins
+
+    spans = [(0, 240), (-700, -650), (599, 600), (600, 600), (1_250, 1_190), (650, 20), (-1, 2_000), (None, 5), (5, None), (0, 240)]
+    left = [(s, k, a, b) for s in ("a", "b", None) for k, (a, b) in enumerate(spans)]
+    right = [(s, k, c, d) for s in ("b", "a", None) for k, (c, d) in enumerate(spans)]
+    found = joins.overlaps(spark.createDataFrame(left, "series_id string, l long, a long, b long"), spark.createDataFrame(right, "series_id string, r long, c long, d long"), 600)
+    expected = [(*x, *y[1:]) for x in left for y in right if x[0] and x[0] == y[0] and None not in x + y and x[2] <= y[3] and x[3] >= y[2]]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    assert found.columns == ["series_id", "l", "a", "b", "r", "c", "d"]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_queue_status_of_every_event(spark, sf, log):
     got = {r.key: r.status for r in QUERIES["k02_queue_status"](spark, sf).collect()}
     for q in log:
