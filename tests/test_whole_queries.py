@@ -48,6 +48,22 @@ def test_overlaps_are_dealt_to_all_tasks(spark):
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_overlaps_are_written_in_few_bytes(spark, tmp_path):
+    """Dense intervals in any order: the pairs are whole, and their files take a fraction of a byte for each."""
+    from random import Random
+
+    from loadloom.operators import joins
+
+    times = Random(6)
+    left = [("a", k, t, t + 240) for k, t in enumerate(times.randrange(600) for _ in range(701))]
+    right = [("a", k, t, t + k % 4 * 600) for k, t in enumerate(times.randrange(600) for _ in range(701))]
+    found = joins.overlaps(spark.createDataFrame(left, "series_id string, l long, a long, b long"), spark.createDataFrame(right, "series_id string, r long, c long, d long"), 600)
+    found.write.parquet(str(tmp_path / "pairs"))
+    written = [(x.l, x.r) for x in spark.read.parquet(str(tmp_path / "pairs")).collect()]
+    assert sorted(written) == sorted((x[1], y[1]) for x in left for y in right if x[2] <= y[3] and x[3] >= y[2])
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.6 * len(written)
+
+
 def test_queue_status_of_every_event(spark, sf, log):
     got = {r.key: r.status for r in QUERIES["k02_queue_status"](spark, sf).collect()}
     for q in log:
