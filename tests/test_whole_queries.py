@@ -64,6 +64,19 @@ def test_overlaps_are_written_in_few_bytes(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.6 * len(written)
 
 
+def test_overlaps_deal_few_copies(spark, sf, log):
+    """What is dealt takes disk: each event comes once on either side, and few of them into a second bucket."""
+    found = QUERIES["j06_overlaps"](spark, sf)
+    found.collect()
+    dealt, nodes = 0, [found._jdf.queryExecution().executedPlan().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+        nodes += [node.plan()] if node.nodeName().endswith("QueryStage") else []
+        dealt += node.metrics().apply("shuffleRecordsWritten").value() if node.nodeName() == "Exchange" else 0
+    assert 2 * len(log) <= dealt < 2.5 * len(log)
+
+
 def test_queue_status_of_every_event(spark, sf, log):
     got = {r.key: r.status for r in QUERIES["k02_queue_status"](spark, sf).collect()}
     for q in log:
